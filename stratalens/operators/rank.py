@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import ratio
 from ..functions.positions import all_positions, top_positions
 from ..session import cut_lineage
 from .graph import REPO_FILE, REPO_NAME, centrality_of, edge_weight, linked_pairs
@@ -239,6 +240,18 @@ def top_ranked_files(ranks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def rank_bars(ranked: DataFrame) -> DataFrame:
+    """Each file's score in percent of the first one's."""
+    first = ranked.where(F.col("rank_position") == 1).select("repo_id", F.col("pagerank_score").alias("_first"))
+    return ranked.join(first, "repo_id").select(
+        "repo_id",
+        "rank_position",
+        "file",
+        "pagerank_score",
+        (ratio(F.col("pagerank_score"), F.col("_first")) * 100).alias("percent"),
+    )
+
+
 def node_listing(ranks: DataFrame) -> DataFrame:
     return ranks.select(
         "repo_id",
