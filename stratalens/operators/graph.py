@@ -74,13 +74,14 @@ def edge_listing(tags: DataFrame) -> DataFrame:
 def linked_pairs(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two halves of the graph, restricted to names that are both defined and referred to.
 
-    Returns ``refs(repo_id, name, path, ref_count, name_definers)`` and
-    ``defs(repo_id, name, path, name_referrers)``, where the last columns count the files on the other half.
+    Returns ``refs(repo_id, name, path, ref_count, ...)`` and ``defs(repo_id, name, path, ...)``, both with the
+    number of files on either half of their name: ``name_definers`` and ``name_referrers``.
     """
     refs, defs = ref_counts(tags), definers(tags)
     by_def = defs.groupBy(*REPO_NAME).agg(F.count("*").alias("name_definers"))
     by_ref = refs.groupBy(*REPO_NAME).agg(F.count("*").alias("name_referrers"))
-    return refs.join(by_def, REPO_NAME), defs.join(by_ref, REPO_NAME)
+    names = by_def.join(by_ref, REPO_NAME)
+    return refs.join(names, REPO_NAME), defs.join(names, REPO_NAME)
 
 
 def file_degrees(tags: DataFrame) -> DataFrame:

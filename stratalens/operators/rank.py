@@ -110,9 +110,8 @@ def _shares(refs: DataFrame, files: DataFrame, damping: float) -> DataFrame:
 def _defined(defs: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, name, file): who receives what goes to a name."""
     sizes = files.select("repo_id", F.col("file").alias("path"), "n", (F.col("pairs") + 1).alias("pairs"))
-    definers = defs.groupBy(*REPO_NAME).agg(F.count("*").alias("definers"))
-    of_names = defs.join(definers, REPO_NAME).join(sizes, ["repo_id", "path"]).select(
-        *REPO_NAME, F.col("path").alias("file"), "definers", "n", "pairs"
+    of_names = defs.join(sizes, ["repo_id", "path"]).select(
+        *REPO_NAME, F.col("path").alias("file"), F.col("name_definers").alias("definers"), "n", "pairs"
     )
     of_every_file = files.select(
         "repo_id",

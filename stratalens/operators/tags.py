@@ -6,6 +6,9 @@ Everything about one file is computed from its own row, so tagging is a map: no
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +24,26 @@ LINE_TEXT_LIMIT = 100
 _MARK = "\u0001"
 
 
+def _lookup(table: dict, value_type: str, key: Column) -> Column:
+    """Value of ``key`` in a constant table; null when it is not there.
+
+    The table is given as JSON, which Spark folds into a single literal.
+    """
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), f"map<string,{value_type}>"), key)
+
+
 def language_of(path: Column, extensions: dict[str, str] | None = None) -> Column:
     """Language of a file by its extension; null when unknown."""
-    table = EXTENSION_LANGUAGES if extensions is None else extensions
-    pairs = [F.lit(part) for pair in table.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), extension(path))
+    return _lookup(EXTENSION_LANGUAGES if extensions is None else extensions, "string", extension(path))
 
 
-def blank_skipped_text(content: Column, pattern: str) -> Column:
+def blank_skipped_text(content: Column, pattern: Column) -> Column:
     """Replace each comment and string (one match of ``pattern``) by a space plus the line breaks it held.
 
     Line numbers stay valid. Matches are set off by a control character, which splits the text into pieces of
     code (even places) and skipped text (odd places).
     """
-    marked = F.regexp_replace(F.replace(content, F.lit(_MARK), F.lit(" ")), f"(?ms){pattern}", f"{_MARK}$0{_MARK}")
+    marked = F.regexp_replace(F.replace(content, F.lit(_MARK), F.lit(" ")), pattern, F.lit(f"{_MARK}$0{_MARK}"))
     pieces = F.transform(
         F.split(marked, _MARK),
         lambda piece, i: F.when(i % 2 == 0, piece).otherwise(
@@ -44,29 +53,27 @@ def blank_skipped_text(content: Column, pattern: str) -> Column:
     return F.array_join(pieces, "")
 
 
-def _by_language(lang: Column, options: dict[str, Column]) -> Column:
-    choice = F
-    for name, value in options.items():
-        choice = choice.when(lang == name, value)
-    return choice
+def _tag(line: Column, name: Column, kind: Column, text: Column | None) -> Column:
+    fields = [line.alias("line"), name.alias("name"), kind.alias("kind")]
+    return F.struct(*fields) if text is None else F.struct(*fields, text.alias("text"))
 
 
-def _tag(line: Column, name: Column, kind: str, text: Column | None) -> Column:
-    fields = [line.alias("line"), name.alias("name"), F.lit(kind).alias("kind")]
-    return F.struct(*fields) if text is None else F.struct(*fields, text.alias("text"))
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, though it is used inside inner loops."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _line_tags(line: Column, number: Column, rules: list[Rule], text: Column | None) -> Column:
-    """All tags of one line, rule by rule."""
+def _captured(rule: Column, lines: Column, with_text: bool) -> Column:
+    """All tags one rule gives in a file. Rules go outside and lines inside, so a pattern is compiled once per file."""
 
-    def captured(rule: Rule) -> Column:
-        names = F.regexp_extract_all(line, F.lit(rule.pattern), F.lit(1))
+    def of_line(line: Column, i: Column) -> Column:
+        found = F.regexp_extract_all(line["code"], rule["pattern"], F.lit(1))
+        text = F.substring(line["shown"], 1, LINE_TEXT_LIMIT) if with_text else None
         return F.transform(
-            F.filter(names, lambda name: F.length(name) > 0),
-            lambda name: _tag(number, name, rule.kind, text),
+            F.filter(found, lambda name: F.length(name) > 0), lambda name: _tag(i, name, rule["kind"], text)
         )
 
-    return F.concat(*[captured(rule) for rule in rules])
+    return F.flatten(F.transform(lines, of_line))
 
 
 def tag_files(
@@ -85,45 +92,46 @@ def tag_files(
     a tag is on, so that source text need not be joined back later.
     """
     rules = RULES if rules is None else rules
-    extensions = EXTENSION_LANGUAGES if extensions is None else extensions
     skipped = SKIPPED_TEXT if skipped is None else skipped
     keywords = KEYWORDS if keywords is None else keywords
     langs = sorted({rule.lang for rule in rules})
     lang = F.col("_lang")
 
-    code = {name: blank_skipped_text(F.col("_content"), skipped[name]) for name in langs if skipped.get(name)}
-    blanked = F.coalesce(_by_language(lang, code), F.col("_content")) if code else F.col("_content")
+    by_lang = {name: [r._asdict() for r in rules if r.lang == name] for name in langs}
+    patterns = {name: f"(?ms){skipped[name]}" for name in langs if skipped.get(name)}
+    words = {name: list(keywords[name]) for name in langs if keywords.get(name)}
+    code = F.col("_content")
+    if patterns:
+        code = F.coalesce(blank_skipped_text(code, _lookup(patterns, "string", lang)), code)
+    file_rules = _lookup(by_lang, "array<struct<kind:string,pattern:string>>", lang)
 
-    def tags_of_line(line: Column, i: Column) -> Column:
-        text = F.substring(F.get("_shown", i), 1, LINE_TEXT_LIMIT) if with_text else None
-        options = {name: _line_tags(line, i, [r for r in rules if r.lang == name], text) for name in langs}
-        return _by_language(lang, options)
+    def all_tags(lines: Column) -> Column:
+        return F.flatten(F.transform(file_rules, lambda rule: _captured(rule, lines, with_text)))
 
+    pieces = [F.split("_code", "\n").alias("code")]
+    if with_text:
+        pieces.append(F.split("_content", "\n").alias("shown"))
     tagged = (
         files.select("repo_id", "path", language_of(F.col("path"), extensions).alias("_lang"), "content")
         .where(lang.isin(langs) & (F.length("content") > 0))
         .withColumn("_content", F.regexp_replace("content", r"\r\n?", "\n"))
-        .withColumn("_shown", F.split("_content", "\n") if with_text else F.lit(None))
-        .withColumn("_code", blanked)
-        .withColumn("_tags", F.flatten(F.transform(F.split("_code", "\n"), tags_of_line)))
+        .withColumn("_code", code)
+        .withColumn("_tags", _with(F.arrays_zip(*pieces), all_tags))
     )
     tags = F.col("_tags")
     if backfill:
-        tags = F.concat(tags, _filled_references(tags, lang, langs, keywords, with_text))
+        tags = F.concat(tags, _filled_references(tags, _lookup(words, "array<string>", lang), with_text))
     return tagged.select("repo_id", "path", F.inline(tags))
 
 
-def _filled_references(
-    tags: Column, lang: Column, langs: list[str], keywords: dict[str, list[str]], with_text: bool
-) -> Column:
+def _filled_references(tags: Column, reserved: Column, with_text: bool) -> Column:
     """One reference per identifier token of the code when ``tags`` holds definitions only."""
-    tokens = F.regexp_extract_all("_code", F.lit(IDENTIFIER), F.lit(0))
-    reserved = {name: F.array(*map(F.lit, keywords[name])) for name in langs if keywords.get(name)}
-    if reserved:
-        words = F.coalesce(_by_language(lang, reserved), F.array().cast("array<string>"))
-        tokens = F.filter(tokens, lambda token: ~F.array_contains(words, token))
+    tokens = F.filter(
+        F.regexp_extract_all("_code", F.lit(IDENTIFIER), F.lit(0)),
+        lambda token: ~F.coalesce(F.array_contains(reserved, token), F.lit(False)),
+    )
     text = F.lit(None).cast("string") if with_text else None
-    filled = F.transform(tokens, lambda token: _tag(F.lit(BACKFILLED_LINE), token, "ref", text))
+    filled = F.transform(tokens, lambda token: _tag(F.lit(BACKFILLED_LINE), token, F.lit("ref"), text))
     only_defs = F.exists(tags, lambda t: t["kind"] == "def") & ~F.exists(tags, lambda t: t["kind"] == "ref")
     return F.when(only_defs, filled).otherwise(F.slice(tags, 1, 0))
 

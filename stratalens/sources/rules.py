@@ -378,8 +378,8 @@ RULES: list[Rule] = [
     Rule("rust", "def", "class", r"\benum\s+([A-Za-z_]\w*)"),
     Rule("rust", "def", "class", r"\bunion\s+([A-Za-z_]\w*)"),
     Rule("rust", "def", "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+([A-Za-z_]\w*)[^;=]*="),
-    Rule("rust", "def", "method", r"^\s+[^/{}();=]*\bfn\s+([A-Za-z_]\w*)[^;]*$"),
-    Rule("rust", "def", "function", r"\bfn\s+([A-Za-z_]\w*)[^;]*$"),
+    Rule("rust", "def", "method", r"^\s+[^/{}();=]*\bfn\s+([A-Za-z_]\w*)(?![^{]*;\s*$)"),
+    Rule("rust", "def", "function", r"\bfn\s+([A-Za-z_]\w*)(?![^{]*;\s*$)"),
     Rule("rust", "def", "interface", r"\btrait\s+([A-Za-z_]\w*)"),
     Rule("rust", "def", "module", r"\bmod\s+([A-Za-z_]\w*)"),
     Rule("rust", "def", "macro", r"\bmacro_rules!\s*([A-Za-z_]\w*)"),
