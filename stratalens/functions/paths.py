@@ -43,9 +43,3 @@ def raw_suffixes(path: Column) -> Column:
 def ends_either_way(a: Column, b: Column) -> Column:
     """True when one path is a suffix of the other (equal paths included)."""
     return F.endswith(a, b) | F.endswith(b, a)
-
-
-def relative_to(path: Column, root: Column) -> Column:
-    """``path`` below ``root``; a path outside ``root`` is returned unchanged."""
-    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
-    return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)

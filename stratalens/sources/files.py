@@ -1,39 +1,112 @@
-"""Source files read from folders."""
+"""Source files read from folders.
+
+Spark's file sources leave out every file or folder whose name starts with ``_`` or ``.``, and empty files; for
+source code that loses ``__init__.py`` and counts too little. Folders are therefore listed and read by small
+functions inside Spark tasks: directories level by level, then contents, spread by size.
+"""
 
 from __future__ import annotations
 
+import math
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import relative_to
+from ..functions.paths import extension
+from ..session import cut_lineage
 from .rules import EXTENSION_LANGUAGES, RULES, Rule
 
 # Folders of version control data inside a repository.
 VCS_FOLDER = r"(^|/)\.git/"
 
-
-def _scan(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+# Contents one task reads, and hands to Spark at a time.
+TASK_BYTES = 256 * 1024 * 1024
+BATCH_BYTES = 16 * 1024 * 1024
+
+_ENTRY = "location string, length bigint, is_folder boolean"
+
+
+def _list_folders(folder: str):
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = fs.FileSystem.from_uri(folder)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for location in batch["location"]:
+                entries = system.get_file_info(fs.FileSelector(location, recursive=False))
+                rows = [
+                    (entry.path, entry.size or 0, entry.type == fs.FileType.Directory)
+                    for entry in entries
+                    # Linked folders are not followed.
+                    if not (local and entry.type == fs.FileType.Directory and os.path.islink(entry.path))
+                ]
+                yield pd.DataFrame(rows, columns=["location", "length", "is_folder"])
+
+    return listed
+
+
+def _read_contents(folder: str):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            held, size = [], 0
+            for row in batch.itertuples(index=False):
+                try:
+                    with system.open_input_stream(row.location) as stream:
+                        content = stream.read()
+                except OSError:
+                    continue
+                held.append((row.repo_id, row.path, content))
+                size += len(content)
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(held, columns=["repo_id", "path", "content"])
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=["repo_id", "path", "content"])
+
+    return read
 
 
-def _located(files: DataFrame, folder: str, repo_id: str | None) -> DataFrame:
-    """Add ``repo_id`` and the path below the repository root.
+def list_files(
+    spark: SparkSession, folder: str, repo_id: str | None = None, include_vcs: bool = True
+) -> DataFrame:
+    """(repo_id, path, length, location) of all files in a folder, empty ones included; a file lists itself.
 
-    Without ``repo_id``, ``folder`` holds one sub-folder per repository, named by its id.
+    Without ``repo_id``, ``folder`` holds one sub-folder per repository, named by its id. Each round lists all
+    directories of one depth in parallel, so a repository with very many directories is shared by all tasks.
     """
-    plain = F.regexp_replace("path", r"^file:/+", "/")
-    root = F.regexp_replace(F.lit(folder), r"^file:/+", "/")
-    below = files.withColumn("path", relative_to(plain, root))
-    if repo_id is not None:
-        alone = F.when(F.col("path") == root, F.element_at(F.split("path", "/"), -1)).otherwise(F.col("path"))
-        return below.withColumns({"repo_id": F.lit(repo_id), "path": alone})
-    return below.withColumn("repo_id", F.substring_index("path", "/", 1)).withColumn(
-        "path", F.substring(F.col("path"), F.length("repo_id") + 2, F.length("path"))
-    )
-
-
-def in_vcs_folder(path: Column) -> Column:
-    return F.rlike(path, F.lit(VCS_FOLDER))
+    system, base = fs.FileSystem.from_uri(folder)
+    info = system.get_file_info(base)
+    if info.type == fs.FileType.File:
+        found = spark.createDataFrame([(info.path, info.size, False)], _ENTRY)
+        base = os.path.dirname(info.path)
+    else:
+        open_folders = spark.createDataFrame([(base,)], "location string")
+        levels = []
+        while True:
+            level = cut_lineage(open_folders.mapInPandas(_list_folders(folder), _ENTRY))
+            levels.append(level.where(~F.col("is_folder")))
+            open_folders = level.where("is_folder").select("location").repartition("location")
+            if open_folders.isEmpty():
+                break
+        found = reduce(DataFrame.unionByName, levels)
+    below = F.substring(F.col("location"), len(base.rstrip("/")) + 2, F.length("location"))
+    if repo_id is None:
+        inside = F.contains(below, F.lit("/"))
+        found = found.where(inside).withColumns(
+            {
+                "repo_id": F.substring_index(below, "/", 1),
+                "path": F.substring(below, F.instr(below, "/") + 1, F.length(below)),
+            }
+        )
+    else:
+        found = found.withColumns({"repo_id": F.lit(repo_id), "path": below})
+    if not include_vcs:
+        found = found.where(~F.rlike("path", F.lit(VCS_FOLDER)))
+    return found.select("repo_id", "path", "length", "location")
 
 
 def decode_text(raw: Column) -> Column:
@@ -51,54 +124,34 @@ def read_source_files(
 ) -> DataFrame:
     """The source_files table of a folder, or of one file.
 
-    Only files in a language that has rules are opened: their extensions go to the source as a name filter.
-    Files that are empty or not UTF-8 are left out, as they give no tags.
+    Only files in a language that has rules are opened. Files that are empty, unreadable or not UTF-8 are left
+    out, as they give no tags.
     """
     langs = {rule.lang for rule in (RULES if rules is None else rules)}
     known = EXTENSION_LANGUAGES if extensions is None else extensions
-    wanted = ",".join(sorted(ext for ext, lang in known.items() if lang in langs))
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{{{wanted}}}")
-        .load(folder)
+    wanted = [ext for ext, lang in known.items() if lang in langs]
+    listing = list_files(spark, folder, repo_id, include_vcs)
+    listing = cut_lineage(listing.where(extension(F.col("path")).isin(wanted) & (F.col("length") > 0)))
+    size, count = listing.agg(F.sum("length"), F.count("*")).first()
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil((size or 0) / TASK_BYTES))
+    contents = (
+        listing.select("repo_id", "path", "location")
+        .repartition(max(1, min(parts, count)), "location")
+        .mapInPandas(_read_contents(folder), "repo_id string, path string, content binary")
     )
-    located = _located(files, folder, repo_id)
-    if not include_vcs:
-        located = located.where(~in_vcs_folder(F.col("path")))
-    return located.select("repo_id", "path", decode_text(F.col("content")).alias("content")).where(
+    return contents.select("repo_id", "path", decode_text(F.col("content")).alias("content")).where(
         F.length("content") > 0
     )
 
 
-def list_files(
-    spark: SparkSession, folder: str, repo_id: str | None = None, include_vcs: bool = True
-) -> DataFrame:
-    """(repo_id, path, length) of all files in a folder; contents are not read.
-
-    Files of length 0 are not listed by the source. Where they must count, keep a manifest table and count that.
-    """
-    located = _located(_scan(spark, folder), folder, repo_id)
-    if not include_vcs:
-        located = located.where(~in_vcs_folder(F.col("path")))
-    return located.select("repo_id", "path", "length")
-
-
 def file_counts(files: DataFrame) -> DataFrame:
     """Files per repository, of a listing, manifest or source_files table."""
     return files.groupBy("repo_id").agg(F.count("*").alias("file_count"))
 
 
 def missing_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of ``wanted(repo_id, text)`` that no path of the repository holds.
-
-    ``wanted`` is a short list of requested names. Paths that hold a text are reduced to the distinct texts
-    held before anything is shuffled by text.
-    """
-    held = (
-        files.select("repo_id", "path")
-        .join(wanted.withColumnRenamed("repo_id", "_repo"), (F.col("repo_id") == F.col("_repo")) & F.contains("path", "text"))
-        .select("repo_id", "text")
-        .distinct()
-    )
+    """Texts of ``wanted(repo_id, text)``, a short list of requested names, that no path of the repository holds."""
+    requests = wanted.withColumnRenamed("repo_id", "_repo")
+    same = (F.col("repo_id") == F.col("_repo")) & F.contains(F.col("path"), F.col("text"))
+    held = files.select("repo_id", "path").join(requests, same).select("repo_id", "text").distinct()
     return wanted.join(held, ["repo_id", "text"], "left_anti")
