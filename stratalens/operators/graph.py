@@ -1,8 +1,9 @@
 """The file dependency graph: who refers to a name that who defines.
 
-Input is the tags table. A reference to a name points from the referring file to every file of the same
-repository that defines it. Tables here are per (repository, name, file) pair; the edge list, whose size is the
-product of referrers and definers of each name, is built only by ``dependency_edges`` for those who want it.
+A reference to a name points from the referring file to every file of the same repository that defines it.
+Operators start from the pairs table, one row per (repository, name, file), which one pass over the tags gives.
+The edge list, whose size is the product of referrers and definers of each name, is built only by
+``dependency_edges`` for those who want it.
 """
 
 from __future__ import annotations
@@ -12,48 +13,61 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import damping, ratio
 from ..functions.positions import top_positions
+from ..session import cut_lineage
 
 REPO_NAME = ["repo_id", "name"]
 REPO_FILE = ["repo_id", "file"]
 
 
-def definers(tags: DataFrame) -> DataFrame:
+def tag_pairs(tags: DataFrame) -> DataFrame:
+    """``repo_id, name, path, ref_count, is_defined``: what each file does with each name.
+
+    A name that dominates the tags is summed before the shuffle and then spread over its files.
+    """
+    return tags.groupBy("repo_id", "name", "path").agg(
+        F.count_if(F.col("kind") == "ref").alias("ref_count"),
+        F.max(F.col("kind") == "def").alias("is_defined"),
+    )
+
+
+def keep_pairs(tags: DataFrame) -> DataFrame:
+    """``tag_pairs``, materialised, so that what follows reads neither tags nor text again."""
+    return cut_lineage(tag_pairs(tags))
+
+
+def definers(pairs: DataFrame) -> DataFrame:
     """Distinct (repo_id, name, path) of definitions."""
-    return tags.where(F.col("kind") == "def").select("repo_id", "name", "path").distinct()
+    return pairs.where("is_defined").select("repo_id", "name", "path")
 
 
-def ref_counts(tags: DataFrame) -> DataFrame:
+def ref_counts(pairs: DataFrame) -> DataFrame:
     """References per (repo_id, name, path), as ``ref_count``.
 
     In a repository without any reference each definition stands for one reference to itself.
     """
-    counted = (
-        tags.where(F.col("kind") == "ref")
-        .groupBy("repo_id", "name", "path")
-        .agg(F.count("*").alias("ref_count"))
-    )
-    have_refs = tags.where(F.col("kind") == "ref").select("repo_id").distinct()
-    stand_ins = definers(tags).join(have_refs, "repo_id", "left_anti").withColumn("ref_count", F.lit(1).cast("bigint"))
+    counted = pairs.where(F.col("ref_count") > 0).select("repo_id", "name", "path", "ref_count")
+    have_refs = counted.select("repo_id").distinct()
+    stand_ins = definers(pairs).join(have_refs, "repo_id", "left_anti").withColumn("ref_count", F.lit(1).cast("bigint"))
     return counted.unionByName(stand_ins)
 
 
-def linked_names(tags: DataFrame) -> DataFrame:
+def linked_names(pairs: DataFrame) -> DataFrame:
     """Distinct (repo_id, name) both defined and referred to."""
-    defined = definers(tags).select(*REPO_NAME).distinct()
-    return defined.join(ref_counts(tags).select(*REPO_NAME).distinct(), REPO_NAME, "left_semi")
+    defined = definers(pairs).select(*REPO_NAME).distinct()
+    return defined.join(ref_counts(pairs).select(*REPO_NAME).distinct(), REPO_NAME, "left_semi")
 
 
 def edge_weight() -> Column:
     return damping(F.col("name")) * F.sqrt(F.col("ref_count").cast("double"))
 
 
-def dependency_edges(tags: DataFrame) -> DataFrame:
+def dependency_edges(pairs: DataFrame) -> DataFrame:
     """One row per (name, referring file, defining file), self-references kept.
 
     The output is a product per name by definition. Both sides are grouped to one row per (name, file) before
     they meet, and adaptive execution splits the partition of a name that dominates.
     """
-    return _edges(ref_counts(tags), definers(tags))
+    return _edges(ref_counts(pairs), definers(pairs))
 
 
 def _edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -66,27 +80,27 @@ def _edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
     )
 
 
-def edge_listing(tags: DataFrame) -> DataFrame:
+def edge_listing(pairs: DataFrame) -> DataFrame:
     """Edges with the weight at 4 decimals, as they are published."""
-    return dependency_edges(tags).withColumn("weight", F.round("weight", 4))
+    return dependency_edges(pairs).withColumn("weight", F.round("weight", 4))
 
 
-def linked_pairs(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two halves of the graph, restricted to names that are both defined and referred to.
 
     Returns ``refs(repo_id, name, path, ref_count, ...)`` and ``defs(repo_id, name, path, ...)``, both with the
     number of files on either half of their name: ``name_definers`` and ``name_referrers``.
     """
-    refs, defs = ref_counts(tags), definers(tags)
+    refs, defs = ref_counts(pairs), definers(pairs)
     by_def = defs.groupBy(*REPO_NAME).agg(F.count("*").alias("name_definers"))
     by_ref = refs.groupBy(*REPO_NAME).agg(F.count("*").alias("name_referrers"))
     names = by_def.join(by_ref, REPO_NAME)
     return refs.join(names, REPO_NAME), defs.join(names, REPO_NAME)
 
 
-def file_degrees(tags: DataFrame) -> DataFrame:
+def file_degrees(pairs: DataFrame) -> DataFrame:
     """Out- and in-degree per file of the graph, parallel edges counted, without building the edges."""
-    refs, defs = linked_pairs(tags)
+    refs, defs = linked_pairs(pairs)
     return degrees_of(refs, defs)
 
 
@@ -101,10 +115,10 @@ def degrees_of(refs: DataFrame, defs: DataFrame) -> DataFrame:
     )
 
 
-def graph_sizes(tags: DataFrame) -> DataFrame:
+def graph_sizes(pairs: DataFrame) -> DataFrame:
     """Nodes and edges per repository."""
     return (
-        file_degrees(tags)
+        file_degrees(pairs)
         .groupBy("repo_id")
         .agg(F.count("*").alias("graph_nodes"), F.sum("out_degree").alias("graph_edges"))
     )
@@ -119,8 +133,8 @@ def centrality_of(degrees: DataFrame) -> DataFrame:
     )
 
 
-def degree_centrality(tags: DataFrame) -> DataFrame:
-    return centrality_of(file_degrees(tags))
+def degree_centrality(pairs: DataFrame) -> DataFrame:
+    return centrality_of(file_degrees(pairs))
 
 
 def most_central(centrality: DataFrame) -> DataFrame:
@@ -150,14 +164,14 @@ def top_nodes(ranks: DataFrame, n: int | None) -> DataFrame:
     )
 
 
-def subgraph_edges(tags: DataFrame, nodes: DataFrame) -> DataFrame:
+def subgraph_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``, self-references left out.
 
     The pair tables are cut to those files before they meet, so no edge is built only to be dropped.
     """
     kept = nodes.select("repo_id", F.col("file").alias("path")).distinct()
-    refs = ref_counts(tags).join(kept, ["repo_id", "path"], "left_semi")
-    defs = definers(tags).join(kept, ["repo_id", "path"], "left_semi")
+    refs = ref_counts(pairs).join(kept, ["repo_id", "path"], "left_semi")
+    defs = definers(pairs).join(kept, ["repo_id", "path"], "left_semi")
     return _edges(refs, defs).where(F.col("source") != F.col("target"))
 
 

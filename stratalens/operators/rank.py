@@ -157,7 +157,7 @@ def _settle(vector: DataFrame, columns: list[str], tolerance: float) -> DataFram
 
 
 def rank_files(
-    tags: DataFrame,
+    pairs: DataFrame,
     damping: float = DAMPING,
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
@@ -171,9 +171,10 @@ def rank_files(
 
     The pair tables are partitioned once. A file or name with very many pairs is split into chunks of bounded
     size there, and only the one-row-per-key side of each join is repeated per chunk, so no partition grows
-    with the largest key. Pair tables and every job's vector are checkpointed, so lineage stays short.
+    with the largest key. Every job's vector is checkpointed, so lineage stays short; ``pairs`` is read several
+    times and should be a materialised table (``keep_pairs``).
     """
-    refs, defs = map(cut_lineage, linked_pairs(tags))
+    refs, defs = linked_pairs(pairs)
     files = cut_lineage(graph_files(refs, defs))
     largest = files.agg(F.max("pairs"), F.max("n")).first()
     chunked = max(filter(None, largest), default=0) >= CHUNK_ROWS
@@ -260,12 +261,12 @@ def node_listing(ranks: DataFrame) -> DataFrame:
     )
 
 
-def ranked_definitions(tags: DataFrame, ranks: DataFrame) -> DataFrame:
+def ranked_definitions(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     """Rank each definition receives: ``repo_id, file, ident, rank``.
 
     A name passes on the same mass to each of its definers, so the spread is one join per pair table.
     """
-    refs, defs = linked_pairs(tags)
+    refs, defs = linked_pairs(pairs)
     refs = refs.withColumn("_u", edge_weight())
     given = refs.groupBy("repo_id", "path").agg(F.sum(F.col("_u") * F.col("name_definers")).alias("_out"))
     per_out = (
@@ -295,7 +296,7 @@ def ordered_definitions(definitions: DataFrame) -> DataFrame:
 RANKED_TAG, BARE_FILE = 1, 2
 
 
-def ranked_tags(tags: DataFrame, ranks: DataFrame) -> DataFrame:
+def ranked_tags(tags: DataFrame, pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     """Tags of ranked definitions, then the ranked files that have none.
 
     Rows sort by ``section`` (1 tags, 2 bare files), then rank and names descending, then line.
@@ -304,7 +305,7 @@ def ranked_tags(tags: DataFrame, ranks: DataFrame) -> DataFrame:
         "repo_id", F.col("path").alias("file"), F.col("name").alias("ident"), "line"
     ).distinct()
     tagged = (
-        ranked_definitions(tags, ranks)
+        ranked_definitions(pairs, ranks)
         .join(found, ["repo_id", "file", "ident"])
         .select("repo_id", F.lit(RANKED_TAG).alias("section"), "file", "ident", "line", "rank")
     )

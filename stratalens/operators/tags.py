@@ -68,7 +68,9 @@ def _captured(rule: Column, lines: Column, with_text: bool) -> Column:
 
     def of_line(line: Column, i: Column) -> Column:
         found = F.regexp_extract_all(line["code"], rule["pattern"], F.lit(1))
-        text = F.substring(line["shown"], 1, LINE_TEXT_LIMIT) if with_text else None
+        text = None
+        if with_text:
+            text = F.when(rule["kind"] == "def", F.substring(line["shown"], 1, LINE_TEXT_LIMIT))
         return F.transform(
             F.filter(found, lambda name: F.length(name) > 0), lambda name: _tag(i, name, rule["kind"], text)
         )
@@ -89,7 +91,7 @@ def tag_files(
 
     Lines count from 0. A file with definitions and no references gets one reference per identifier token of
     its text, on line -1, duplicates kept, when ``backfill`` is set. ``with_text`` adds the start of the line
-    a tag is on, so that source text need not be joined back later.
+    a definition is on, so that source text need not be joined back later.
     """
     rules = RULES if rules is None else rules
     skipped = SKIPPED_TEXT if skipped is None else skipped

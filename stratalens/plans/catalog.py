@@ -81,8 +81,16 @@ def _repos(tags: DataFrame) -> DataFrame:
     return tags.select("repo_id").distinct().select("repo_id", url.alias("repo_url"), F.col("repo_id").alias("repo_name"))
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.tag_pairs(_tags(spark, folder))
+
+
+def _kept(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.keep_pairs(_tags(spark, folder))
+
+
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return rank.rank_files(_tags(spark, folder))
+    return rank.rank_files(_kept(spark, folder))
 
 
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,35 +145,35 @@ def churn_chart(spark, folder):
 
 
 def definers(spark, folder):
-    return graph.definers(_tags(spark, folder))
+    return graph.definers(_pairs(spark, folder))
 
 
 def ref_counts(spark, folder):
-    return graph.ref_counts(_tags(spark, folder))
+    return graph.ref_counts(_pairs(spark, folder))
 
 
 def ref_counts_without_refs(spark, folder):
-    return graph.ref_counts(_tags(spark, folder).where(F.col("kind") == "def"))
+    return graph.ref_counts(graph.tag_pairs(_tags(spark, folder).where(F.col("kind") == "def")))
 
 
 def linked_names(spark, folder):
-    return graph.linked_names(_tags(spark, folder))
+    return graph.linked_names(_pairs(spark, folder))
 
 
 def dependency_edges(spark, folder):
-    return graph.edge_listing(_tags(spark, folder))
+    return graph.edge_listing(_pairs(spark, folder))
 
 
 def graph_sizes(spark, folder):
-    return graph.graph_sizes(_tags(spark, folder))
+    return graph.graph_sizes(_pairs(spark, folder))
 
 
 def degree_centrality(spark, folder):
-    return graph.degree_centrality(_tags(spark, folder)).withColumn("centrality", F.round("centrality", 6))
+    return graph.degree_centrality(_pairs(spark, folder)).withColumn("centrality", F.round("centrality", 6))
 
 
 def most_central(spark, folder):
-    found = graph.most_central(graph.degree_centrality(_tags(spark, folder)))
+    found = graph.most_central(graph.degree_centrality(_pairs(spark, folder)))
     return found.withColumn("centrality", F.round("centrality", 6))
 
 
@@ -175,20 +183,20 @@ def top_n_nodes(spark, folder):
 
 
 def top_n_subgraph(spark, folder):
-    tags = _tags(spark, folder)
-    nodes = graph.top_nodes(rank.rank_files(tags), SHOWN_NODES)
-    return graph.subgraph_edges(tags, nodes).withColumn("weight", F.round("weight", 4))
+    pairs = _kept(spark, folder)
+    nodes = graph.top_nodes(rank.rank_files(pairs), SHOWN_NODES)
+    return graph.subgraph_edges(pairs, nodes).withColumn("weight", F.round("weight", 4))
 
 
 def collapsed_edges(spark, folder):
-    tags = _tags(spark, folder)
-    nodes = graph.top_nodes(rank.rank_files(tags), SHOWN_NODES)
-    edges = graph.collapse_edges(graph.subgraph_edges(tags, nodes))
+    pairs = _kept(spark, folder)
+    nodes = graph.top_nodes(rank.rank_files(pairs), SHOWN_NODES)
+    edges = graph.collapse_edges(graph.subgraph_edges(pairs, nodes))
     return edges.select("repo_id", "source", "target", *_digits("weight", digits=4), F.array_join("idents", ",").alias("idents"))
 
 
 def collapsed_graph(spark, folder):
-    edges = graph.dependency_edges(_tags(spark, folder)).where(F.col("source") != F.col("target"))
+    edges = graph.dependency_edges(_pairs(spark, folder)).where(F.col("source") != F.col("target"))
     shown = graph.collapse_edges(edges)
     return shown.select("repo_id", "source", "target", *_digits("weight", digits=4), F.array_join("idents", ",").alias("idents"))
 
@@ -198,7 +206,7 @@ def pagerank_files(spark, folder):
 
 
 def pagerank_fixed_rounds(spark, folder):
-    ranks = rank.rank_files(_tags(spark, folder), tolerance=0.0, max_rounds=FIXED_ROUNDS)
+    ranks = rank.rank_files(_kept(spark, folder), tolerance=0.0, max_rounds=FIXED_ROUNDS)
     return ranks.select("repo_id", "file", *_digits("rank", digits=9))
 
 
@@ -215,19 +223,20 @@ def pagerank_bars(spark, folder):
 
 
 def ranked_definitions(spark, folder):
-    tags = _tags(spark, folder)
-    return rank.ranked_definitions(tags, rank.rank_files(tags)).withColumn("rank", F.round("rank", 9))
+    pairs = _kept(spark, folder)
+    return rank.ranked_definitions(pairs, rank.rank_files(pairs)).withColumn("rank", F.round("rank", 9))
 
 
 def ordered_definitions(spark, folder):
-    tags = _tags(spark, folder)
-    ordered = rank.ordered_definitions(rank.ranked_definitions(tags, rank.rank_files(tags)))
+    pairs = _kept(spark, folder)
+    ordered = rank.ordered_definitions(rank.ranked_definitions(pairs, rank.rank_files(pairs)))
     return ordered.withColumn("rank", F.round("rank", 9))
 
 
 def ranked_tags(spark, folder):
     tags = _tags(spark, folder)
-    listed = rank.in_tag_order(rank.ranked_tags(tags, rank.rank_files(tags)))
+    pairs = graph.keep_pairs(tags)
+    listed = rank.in_tag_order(rank.ranked_tags(tags, pairs, rank.rank_files(pairs)))
     return listed.withColumn("rank", F.round("rank", 9))
 
 
@@ -277,7 +286,8 @@ def definition_tags(spark, folder):
 
 
 def repo_map_lines(spark, folder):
-    return text.repo_map_lines(_prose(spark, folder, PROSE_LINKED, with_text=True))
+    tags = cut_lineage(_prose(spark, folder, PROSE_LINKED, with_text=True))
+    return text.repo_map_lines(tags, graph.tag_pairs(tags))
 
 
 def repo_map_text(spark, folder):
@@ -287,7 +297,7 @@ def repo_map_text(spark, folder):
 
 
 def prose_graph(spark, folder):
-    return graph.graph_sizes(_prose(spark, folder, PROSE_LINKED))
+    return graph.graph_sizes(graph.keep_pairs(_prose(spark, folder, PROSE_LINKED)))
 
 
 def parse_numstat(spark, folder):

@@ -1,4 +1,5 @@
-"""Whole analyses composed of operators. Each returns DataFrames by name; nothing runs but the rank rounds."""
+"""Whole analyses composed of operators. Each returns DataFrames by name; nothing runs ahead but what must
+be materialised: tags taken from text, the pairs table, and the rank rounds."""
 
 from __future__ import annotations
 
@@ -9,21 +10,23 @@ from pyspark.sql import functions as F
 
 from ..operators import churn as ch
 from ..operators import graph, hotspots, rank, tags as tg, text, tree, usage
+from ..session import cut_lineage
 from ..sources.files import file_counts
 from ..sources.results import summary_documents
 
 
-def repo_map(tags: DataFrame, ranks: DataFrame | None = None) -> dict[str, DataFrame]:
+def repo_map(tags: DataFrame) -> dict[str, DataFrame]:
     """Everything that follows from the tags: ranks, graph listings and symbol tree."""
-    ranks = rank.rank_files(tags) if ranks is None else ranks
+    pairs = graph.keep_pairs(tags)
+    ranks = rank.rank_files(pairs)
     symbols = tg.file_symbols(tags)
     nodes = tree.symbol_tree(symbols)
     return {
         "ranks": ranks,
         "ranked_files": rank.ranked_files(ranks),
         "nodes": rank.node_listing(ranks),
-        "edges": graph.edge_listing(tags),
-        "sizes": graph.graph_sizes(tags),
+        "edges": graph.edge_listing(pairs),
+        "sizes": graph.graph_sizes(pairs),
         "symbols": symbols,
         "tree": nodes,
         "symbol_totals": tree.symbol_totals(nodes),
@@ -49,14 +52,16 @@ def process_table(
 
 def ranked_tag_list(source_files: DataFrame, **tagging) -> DataFrame:
     """Source files to the ordered list of ranked tags."""
-    tags = tg.tag_files(source_files, **tagging)
-    return rank.in_tag_order(rank.ranked_tags(tags, rank.rank_files(tags)))
+    tags = cut_lineage(tg.tag_files(source_files, **tagging))
+    pairs = graph.keep_pairs(tags)
+    return rank.in_tag_order(rank.ranked_tags(tags, pairs, rank.rank_files(pairs)))
 
 
 def repo_map_blocks(source_files: DataFrame, **tagging) -> DataFrame:
     """Source files to the repository map text, one block per file of the graph."""
-    tags = tg.tag_files(source_files, with_text=True, **tagging)
-    return text.repo_map_text(text.repo_map_lines(tags), graph.file_degrees(tags))
+    tags = cut_lineage(tg.tag_files(source_files, with_text=True, **tagging))
+    pairs = graph.keep_pairs(tags)
+    return text.repo_map_text(text.repo_map_lines(tags, pairs), graph.file_degrees(pairs))
 
 
 def analyze(

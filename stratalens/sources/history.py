@@ -27,8 +27,12 @@ def read_history(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(repo.alias("repo_id"), F.col("value").alias("record"))
 
 
+# Fixed value: white space that does not count at the ends of a line.
+BLANKS = " \t\r\f\v"
+
+
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.btrim(line, F.lit(BLANKS))
 
 
 def parse_history(records: DataFrame) -> DataFrame:
@@ -38,23 +42,28 @@ def parse_history(records: DataFrame) -> DataFrame:
     leaves out binary files, which show dashes. Renamed paths stay as git writes them. The author ends at the
     next colon.
     """
-    lines = F.split("record", "\n")
-    header = F.split(F.regexp_replace(_trimmed(F.get(lines, F.lit(0))), f"^{HEADER}", ""), ":")
-    fields = F.split(_trimmed(F.col("line")), "\t")
+    header = F.col("header")
     seconds = F.try_element_at(header, F.lit(-1)).try_cast("bigint")
-    stamped = F.when(F.size(header) > 2, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
-    parsed = records.select(
-        "repo_id",
-        F.get(header, F.lit(0)).alias("commit_hash"),
-        F.coalesce(F.get(header, F.lit(1)), F.lit("")).alias("author_email"),
-        stamped.alias("commit_ts"),
-        F.explode(F.slice(lines, 2, F.size(lines))).alias("line"),
-    ).select("*", fields.alias("fields"))
-    counts = {"added": 0, "removed": 1}
+    stamp = F.when(F.size(header) > 3, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
+    count = lambda i: F.get("fields", F.lit(i)).try_cast("int")
+    # The first record of a file keeps the header's mark, the others lost it to the split.
+    marked = F.when(F.startswith("record", F.lit(HEADER)), F.col("record")).otherwise(
+        F.concat(F.lit(HEADER), "record")
+    )
     return (
-        parsed.where(F.size("fields") == 3)
-        .withColumns({name: F.get("fields", F.lit(i)).try_cast("int") for name, i in counts.items()})
-        .withColumn("path", F.get("fields", F.lit(2)))
+        records.select("repo_id", F.split(marked, "\n").alias("lines"))
+        .select("repo_id", "lines", F.split(_trimmed(F.get("lines", F.lit(0))), ":").alias("header"))
+        .select(
+            "repo_id",
+            F.get(header, F.lit(1)).alias("commit_hash"),
+            F.coalesce(F.get(header, F.lit(2)), F.lit("")).alias("author_email"),
+            stamp.alias("commit_ts"),
+            F.slice("lines", 2, F.size("lines")).alias("lines"),
+        )
+        .select("repo_id", "commit_hash", "author_email", "commit_ts", F.explode("lines").alias("line"))
+        .withColumn("fields", F.split(_trimmed(F.col("line")), "\t"))
+        .where(F.size("fields") == 3)
+        .withColumns({"path": F.get("fields", F.lit(2)), "added": count(0), "removed": count(1)})
         .where(F.col("added").isNotNull() & F.col("removed").isNotNull())
         .select(*COMMIT_FILES.names)
     )

@@ -70,7 +70,7 @@ MIXED = (
 def test_ranks_equal_the_edge_list_form(make, monkeypatch, tolerance, rounds, chunk):
     """Also with every file and name split into small chunks."""
     monkeypatch.setattr(rank, "CHUNK_ROWS", chunk)
-    tags = make(MIXED, TAGS)
+    tags = graph.keep_pairs(make(MIXED, TAGS))
     ranks = rank.rank_files(tags, tolerance=tolerance, max_rounds=rounds)
     got = {(r.repo_id, r.file): r["rank"] for r in ranks.collect()}
     spread = {(r.repo_id, r.file, r.ident): r["rank"] for r in rank.ranked_definitions(tags, ranks).collect()}
@@ -84,13 +84,13 @@ def test_ranks_equal_the_edge_list_form(make, monkeypatch, tolerance, rounds, ch
 
 
 def test_no_edges(make):
-    ranks = rank.rank_files(make([("apart", "a", 0, "x", "def"), ("apart", "a", 1, "z", "ref")], TAGS))
+    ranks = rank.rank_files(graph.tag_pairs(make([("apart", "a", 0, "x", "def"), ("apart", "a", 1, "z", "ref")], TAGS)))
     assert ranks.count() == 0
     assert rank.ranked_files(ranks).count() == 0
 
 
 def test_invariants(spark):
-    tags = b.bind(spark, SF, b.TAGS)
+    tags = graph.keep_pairs(b.bind(spark, SF, b.TAGS))
     ranks = rank.rank_files(tags)
     for row in ranks.groupBy("repo_id").agg(F.sum("rank").alias("total")).collect():
         assert row.total == pytest.approx(1, abs=1e-12)
@@ -104,20 +104,21 @@ def test_invariants(spark):
 
 def test_private_names_and_single_node(make, rows):
     tags = make([("r", "a", 0, "_x", "def")] + [("r", "b", 0, "_x", "ref")] * 4, TAGS)
-    assert rows(graph.dependency_edges(tags)) == [("r", "b", "a", "_x", pytest.approx(0.2))]
+    assert rows(graph.dependency_edges(graph.tag_pairs(tags))) == [("r", "b", "a", "_x", pytest.approx(0.2))]
     alone = make([("r", "a", 0, "x", "def"), ("r", "a", 1, "x", "ref")], TAGS)
-    assert rows(graph.degree_centrality(alone)) == [("r", "a", 1.0)]
+    assert rows(graph.degree_centrality(graph.tag_pairs(alone))) == [("r", "a", 1.0)]
 
 
 def test_equal_ranks_order_by_last_name_first(make, rows):
     tags = make([("r", p, 0, "x", "def") for p in "abc"], TAGS)
-    ranked = rank.ranked_files(rank.rank_files(tags)).select("rank_position", "file")
+    ranked = rank.ranked_files(rank.rank_files(graph.tag_pairs(tags))).select("rank_position", "file")
     assert rows(ranked) == [(1, "c"), (2, "b"), (3, "a")]
 
 
 def test_bare_files_follow_ranked_tags(make, rows):
     tags = make([("r", "a", 5, "x", "def"), ("r", "a", 9, "x", "def"), ("r", "b", 0, "x", "ref")], TAGS)
-    listed = rank.in_tag_order(rank.ranked_tags(tags, rank.rank_files(tags)))
+    pairs = graph.keep_pairs(tags)
+    listed = rank.in_tag_order(rank.ranked_tags(tags, pairs, rank.rank_files(pairs)))
     got = [(r.section, r.file, r.ident, r.line) for r in listed.collect()]
     assert got == [(1, "a", "x", 5), (1, "a", "x", 9), (2, "b", None, None)]
 
@@ -125,9 +126,9 @@ def test_bare_files_follow_ranked_tags(make, rows):
 def test_subgraph_hides_self_references(make, rows):
     tags = make([("r", "a", 0, "x", "def"), ("r", "a", 1, "x", "ref"), ("r", "b", 1, "x", "ref"), ("r", "c", 1, "x", "ref")], TAGS)
     nodes = make([("r", "a"), ("r", "b")], "repo_id string, file string")
-    assert rows(graph.subgraph_edges(tags, nodes)) == [("r", "b", "a", "x", 1.0)]
+    assert rows(graph.subgraph_edges(graph.tag_pairs(tags), nodes)) == [("r", "b", "a", "x", 1.0)]
 
 
 def test_collapsed_edges_name_at_most_five(make, rows):
     tags = make([("r", "a", 0, f"n{i}", "def") for i in range(8)] + [("r", "b", 0, f"n{i}", "ref") for i in range(8)], TAGS)
-    assert rows(graph.collapse_edges(graph.dependency_edges(tags))) == [("r", "b", "a", 8.0, ["n0", "n1", "n2", "n3", "n4"])]
+    assert rows(graph.collapse_edges(graph.dependency_edges(graph.tag_pairs(tags)))) == [("r", "b", "a", 8.0, ["n0", "n1", "n2", "n3", "n4"])]
