@@ -27,22 +27,28 @@ SAFE = "safe territory"
 _MATCHED = ["commits", "total_churn"]
 
 
-def match_top_churn(ranked: DataFrame, churn: DataFrame, how: str, k: int = TOP_FILES) -> DataFrame:
+def match_top_churn(
+    ranked: DataFrame, churn: DataFrame, how: str, k: int = TOP_FILES, per_repo_values: DataFrame | None = None
+) -> DataFrame:
     """Attach to each ranked file the first of its repository's ``k`` churn rows that matches by suffix.
 
-    The bounded churn rows of a repository travel as one row, so the join is one to one and a repository with
-    any number of ranked files is never multiplied by them.
+    The bounded churn rows of a repository travel as one row, with ``per_repo_values`` where given, so there is
+    one join, it is one to one, and a repository's ranked files are never multiplied by its churn rows.
     """
     rows = churn.where((F.col("position") <= k) & (F.col("filename") != "")).select(
         "repo_id", F.struct("position", "filename", *_MATCHED).alias("row")
     )
     per_repo = rows.groupBy("repo_id").agg(F.array_sort(F.collect_list("row")).alias("_rows"))
+    kept = [*ranked.columns]
+    if per_repo_values is not None:
+        per_repo = per_repo.join(per_repo_values, "repo_id")
+        kept += [c for c in per_repo_values.columns if c != "repo_id"]
     first = F.get(F.filter("_rows", lambda row: ends_either_way(F.col("file"), row["filename"])), F.lit(0))
     matched = (
         ranked.where(F.col("file") != "")
         .join(per_repo, "repo_id", "left" if how == "left" else "inner")
         .withColumn("_first", first)
-        .select(*ranked.columns, *[F.col(f"_first.{c}").alias(c) for c in _MATCHED])
+        .select(*kept, *[F.col(f"_first.{c}").alias(c) for c in _MATCHED])
     )
     return matched if how == "left" else matched.where(F.col("commits").isNotNull())
 
@@ -82,10 +88,21 @@ def match_exact(ranked: DataFrame, churn: DataFrame, how: str) -> DataFrame:
     return ranked.where(F.col("file") != "").join(rows, ["repo_id", "file"], how)
 
 
-def _match(ranked: DataFrame, churn: DataFrame, how: str, match: str, k: int | None) -> DataFrame:
-    if match == EXACT:
-        return match_exact(ranked, churn if k is None else churn.where(F.col("position") <= k), how)
-    return match_all_churn(ranked, churn, how) if k is None else match_top_churn(ranked, churn, how, k)
+def _match(
+    ranked: DataFrame,
+    churn: DataFrame,
+    how: str,
+    match: str,
+    k: int | None,
+    per_repo_values: DataFrame | None = None,
+) -> DataFrame:
+    if match == SUFFIX and k is not None:
+        return match_top_churn(ranked, churn, how, k, per_repo_values)
+    if match == SUFFIX:
+        matched = match_all_churn(ranked, churn, how)
+    else:
+        matched = match_exact(ranked, churn if k is None else churn.where(F.col("position") <= k), how)
+    return matched if per_repo_values is None else matched.join(per_repo_values, "repo_id")
 
 
 def hotspots(
@@ -100,8 +117,7 @@ def hotspots(
     most_commits = rows.groupBy("repo_id").agg(F.max("commits").alias("_commits"))
     score = ratio(F.col("pagerank_score"), F.col("_rank")) * ratio(F.col("commits"), F.col("_commits"))
     return (
-        _match(ranked, churn, "inner", match, k)
-        .join(highest_rank.join(most_commits, "repo_id"), "repo_id")
+        _match(ranked, churn, "inner", match, k, highest_rank.join(most_commits, "repo_id"))
         .select(
             "repo_id",
             "file",

@@ -15,6 +15,8 @@ def build_session(master: str | None = None, app: str = "stratalens", **conf: st
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A repository that holds much of a table is split also where joins on it follow each other.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.checkpoint.compress": "true",
