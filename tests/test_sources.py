@@ -175,7 +175,7 @@ def test_pipelines_from_source_text(spark, corpus, tmp_path, rows):
     source = files.read_source_files(spark, corpus)
     listed = pipelines.ranked_tag_list(source)
     assert [(r.repo_id, r.section, r.file, r.ident) for r in listed.collect()] == [
-        ("one", 1, "src/__init__.py", "start"), ("one", 1, "my dir/b+c.py", "b"), ("one", 2, "src/a.py", None),
+        ("one", 1, "my dir/b+c.py", "b"), ("one", 1, "src/__init__.py", "start"), ("one", 2, "src/a.py", None),
         ("two", 1, "a.go", "main"),
     ]
     from stratalens.operators.text import write_repo_map
