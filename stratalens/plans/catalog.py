@@ -303,7 +303,7 @@ def prose_graph(spark, folder):
 def parse_numstat(spark, folder):
     """The commit_files binding written as log text and read back."""
     counts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("added", "removed")]
-    seconds = F.unix_timestamp(F.col("commit_ts").cast("timestamp")).cast("string")
+    seconds = F.unix_seconds(F.col("commit_ts").cast("timestamp")).cast("string")
     header = F.concat_ws(":", F.lit("COMMIT"), "commit_hash", "author_email", seconds)
     record = F.concat(header, F.lit("\n"), F.concat_ws("\t", *counts, "path"), F.lit("\n"))
     return history.parse_history(_commits(spark, folder).select("repo_id", record.alias("record")))

@@ -42,6 +42,7 @@ def parse_history(records: DataFrame) -> DataFrame:
     leaves out binary files, which show dashes. Renamed paths stay as git writes them. The author ends at the
     next colon.
     """
+    # An outer explode: for a plain one Spark would add a test that there are lines, splitting each record twice.
     header = F.col("header")
     seconds = F.try_element_at(header, F.lit(-1)).try_cast("bigint")
     stamp = F.when(F.size(header) > 3, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
@@ -60,7 +61,7 @@ def parse_history(records: DataFrame) -> DataFrame:
             stamp.alias("commit_ts"),
             F.slice("lines", 2, F.size("lines")).alias("lines"),
         )
-        .select("repo_id", "commit_hash", "author_email", "commit_ts", F.explode("lines").alias("line"))
+        .select("repo_id", "commit_hash", "author_email", "commit_ts", F.explode_outer("lines").alias("line"))
         .withColumn("fields", F.split(_trimmed(F.col("line")), "\t"))
         .where(F.size("fields") == 3)
         .withColumns({"path": F.get("fields", F.lit(2)), "added": count(0), "removed": count(1)})
