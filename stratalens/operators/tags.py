@@ -138,6 +138,12 @@ def _filled_references(tags: Column, reserved: Column, with_text: bool) -> Colum
     return F.when(only_defs, filled).otherwise(F.slice(tags, 1, 0))
 
 
+def tag_definitions(files: DataFrame, rules: list[Rule] | None = None, **options) -> DataFrame:
+    """``tag_files`` for definitions alone: the rules for references, which match most, are not applied."""
+    only = [rule for rule in (RULES if rules is None else rules) if rule.kind == "def"]
+    return tag_files(files, only, **{**options, "backfill": False})
+
+
 def file_symbols(tags: DataFrame) -> DataFrame:
     """Definitions per file, one row each, duplicates kept."""
     return tags.where(F.col("kind") == "def").select("repo_id", "path", "line", "name")

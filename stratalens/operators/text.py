@@ -9,13 +9,13 @@ from .graph import REPO_NAME, linked_names
 from .tags import LINE_TEXT_LIMIT
 
 
-def repo_map_lines(tags: DataFrame, pairs: DataFrame) -> DataFrame:
+def repo_map_lines(definitions: DataFrame, pairs: DataFrame) -> DataFrame:
     """(repo_id, path, line, text) of definitions whose name is referred to in their repository.
 
-    ``tags`` must carry the line text (``tag_files(with_text=True)``), so source text is read only once.
+    ``definitions`` must carry the line text (``with_text=True``), so source text is not joined back.
     """
     return (
-        tags.where(F.col("kind") == "def")
+        definitions.where(F.col("kind") == "def")
         .join(linked_names(pairs), REPO_NAME, "left_semi")
         .select("repo_id", "path", "line", "text")
         .distinct()

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..operators import churn as ch
 from ..operators import graph, hotspots as hs, rank, tags as tg, text, tree, usage
-from ..session import cut_lineage
 from ..sources import history, results, usage_log
 from ..sources.files import file_counts, missing_files
 from ..sources.rules import Rule
@@ -286,8 +285,11 @@ def definition_tags(spark, folder):
 
 
 def repo_map_lines(spark, folder):
-    tags = cut_lineage(_prose(spark, folder, PROSE_LINKED, with_text=True))
-    return text.repo_map_lines(tags, graph.tag_pairs(tags))
+    pairs = graph.keep_pairs(_prose(spark, folder, PROSE_LINKED))
+    definitions = tg.tag_definitions(
+        _files(spark, folder), PROSE_LINKED, extensions=PROSE, skipped={}, keywords=PROSE_KEYWORDS, with_text=True
+    )
+    return text.repo_map_lines(definitions, pairs)
 
 
 def repo_map_text(spark, folder):

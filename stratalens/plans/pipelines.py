@@ -1,18 +1,17 @@
 """Whole analyses composed of operators. Each returns DataFrames by name; nothing runs ahead but what must
-be materialised: tags taken from text, the pairs table, and the rank rounds."""
+be materialised: the pairs table and the rank rounds."""
 
 from __future__ import annotations
 
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import churn as ch
 from ..operators import graph, hotspots, rank, tags as tg, text, tree, usage
-from ..session import cut_lineage
 from ..sources.files import file_counts
 from ..sources.results import summary_documents
+from ..sources.rules import Rule
 
 
 def repo_map(tags: DataFrame) -> dict[str, DataFrame]:
@@ -50,18 +49,22 @@ def process_table(
     return ch.process_metrics(ch.history_window(commit_files, as_of, months), k)
 
 
-def ranked_tag_list(source_files: DataFrame, **tagging) -> DataFrame:
-    """Source files to the ordered list of ranked tags."""
-    tags = cut_lineage(tg.tag_files(source_files, **tagging))
-    pairs = graph.keep_pairs(tags)
-    return rank.in_tag_order(rank.ranked_tags(tags, pairs, rank.rank_files(pairs)))
+def ranked_tag_list(source_files: DataFrame, rules: list[Rule] | None = None, **tagging) -> DataFrame:
+    """Source files to the ordered list of ranked tags.
+
+    Text is read twice, once for all tags, which go straight into the pairs table, and once for definitions;
+    the tags themselves, most of them references, are never stored.
+    """
+    pairs = graph.keep_pairs(tg.tag_files(source_files, rules, **tagging))
+    definitions = tg.tag_definitions(source_files, rules, **tagging)
+    return rank.in_tag_order(rank.ranked_tags(definitions, pairs, rank.rank_files(pairs)))
 
 
-def repo_map_blocks(source_files: DataFrame, **tagging) -> DataFrame:
+def repo_map_blocks(source_files: DataFrame, rules: list[Rule] | None = None, **tagging) -> DataFrame:
     """Source files to the repository map text, one block per file of the graph."""
-    tags = cut_lineage(tg.tag_files(source_files, with_text=True, **tagging))
-    pairs = graph.keep_pairs(tags)
-    return text.repo_map_text(text.repo_map_lines(tags, pairs), graph.file_degrees(pairs))
+    pairs = graph.keep_pairs(tg.tag_files(source_files, rules, **tagging))
+    definitions = tg.tag_definitions(source_files, rules, with_text=True, **tagging)
+    return text.repo_map_text(text.repo_map_lines(definitions, pairs), graph.file_degrees(pairs))
 
 
 def analyze(

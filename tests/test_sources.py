@@ -6,8 +6,8 @@ import json
 import pytest
 
 from stratalens import bindings as b
-from stratalens.functions import paths, urls
-from stratalens.operators import tags as tg, tree, usage
+from stratalens.functions import paths
+from stratalens.operators import tree, usage
 from stratalens.plans import pipelines
 from stratalens.schemas import ANALYSES, LEADS
 from stratalens.sources import files, history, results, usage_log
