@@ -46,44 +46,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_sums(
-    df: DataFrame, value: Column, order: list[str], by: list[str] | None = None, name: str = "before"
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows that come earlier in ``order`` (within ``by``), as a long.
+def running_sums(df: DataFrame, values: dict[str, Column], order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Add a long column per entry of ``values``: its sum over the rows earlier in ``order`` (within ``by``).
 
     Two passes, so that no group is summed in one task: rows are range-partitioned by (by, order) and stored; sums per
     partition and group, a row each, give every partition its offset; inside a partition a window adds the rows up.
-    ``df`` should be narrow. ``order`` must tell all rows apart, or rows that tie count in any order.
+    ``df`` should be narrow. Rows that tie in ``order`` count in any order.
     """
     by = by or []
-    spark = df.sparkSession
-    parts = max(partitions(spark), 1)
     dealt = store(
-        df.withColumn("_value", value.cast("long"))
-        .repartitionByRange(parts, *by, *order)
+        df.withColumns({f"_v_{name}": value.cast("long") for name, value in values.items()})
+        .repartitionByRange(max(partitions(df.sparkSession), 1), *by, *order)
         .withColumn("_part", F.spark_partition_id())
     )
     # Range partitions follow each other, so the earlier rows of a group are those of its earlier partitions.
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy("_part", *by)
-        .agg(F.sum("_value").alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("long")))
-        .drop("_sum")
-    )
-    joined = _with_offsets(dealt, offsets, by)
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(
-        name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0).cast("long"))
-    ).drop("_part", "_value", "_offset")
-
-
-def _with_offsets(dealt: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
-    """Join on partition and group; null is a group like any other."""
-    renamed = offsets.select(
-        F.col("_part").alias("_p"), *(F.col(c).alias(f"_b_{c}") for c in by), "_offset"
+    zero = F.lit(0).cast("long")
+    sums = dealt.groupBy("_part", *by).agg(*(F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values))
+    offsets = sums.select(
+        F.col("_part").alias("_p"),
+        *(F.col(c).alias(f"_b_{c}") for c in by),
+        *(F.coalesce(F.sum(f"_s_{name}").over(earlier), zero).alias(f"_o_{name}") for name in values),
     )
     on = F.col("_part") == F.col("_p")
     for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    return dealt.join(renamed, on).drop("_p", *(f"_b_{c}" for c in by))
+        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))  # null is a group like any other
+    return dealt.join(offsets, on).select(
+        *df.columns,
+        *(
+            (F.col(f"_o_{name}") + F.coalesce(F.sum(f"_v_{name}").over(inside), zero)).alias(name)
+            for name in values
+        ),
+    )

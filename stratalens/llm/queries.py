@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules, url_filter
+from . import hilbert_shards, packing, pfair_mix, quality_rules, url_filter
 
+SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -16,6 +18,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    shards = hilbert_shards.assign_shards(_table(spark, folder, "documents"), SHARDS)
+    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
     return quality_rules.judge(docs).select("doc_id", "source", "_quality.*")
@@ -29,7 +36,11 @@ def op8_host_words(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return pfair_mix.interleave(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_host_rules, op7_concatenate_and_cut, op8_host_words)
+    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op7_concatenate_and_cut, op8_host_words, op10_pfair_mix)
 }
 ORACLES: dict[str, str] = {}
