@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, line_suffixes, packing, pfair_mix, quality_rules, url_filter
+from . import hilbert_shards, jaccard_forest, line_suffixes, packing, pfair_mix, quality_rules, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op5_line_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return line_suffixes.dedup_lines(docs).select("doc_id", "_lines.*", kept.alias("kept_sha256"))
 
 
+def op6_jaccard_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_forest.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op7_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), TOKENIZER).drop("ids")
 
@@ -47,6 +51,6 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op5_line_suffixes, op7_concatenate_and_cut, op8_host_words, op10_pfair_mix)
+    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op5_line_suffixes, op6_jaccard_forest, op7_concatenate_and_cut, op8_host_words, op10_pfair_mix)
 }
 ORACLES: dict[str, str] = {}
