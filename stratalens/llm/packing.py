@@ -11,10 +11,11 @@ pieces; only the last sequence is short; other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,56 +27,45 @@ from .common import store
 
 SEQUENCE = 1024
 END_ID = 0
-CACHED_CHUNKS = 1 << 17
-_AT_ONCE = 1 << 16
-
-# White space as Unicode defines it; the end of such a run joins the next word only if it is a blank.
-_WS = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
 class Encoder:
-    """Ids of texts, as bytes of unsigned integers, with a bounded memory of chunks met before.
+    """Ids of texts, as bytes of unsigned integers.
 
-    The byte-level pre-tokenizer never lets a token cross the borders of ``_CHUNK``, so chunks can be encoded alone.
-    A text that spells an added token is encoded whole, since such a token ends the run of white space before it.
+    ``path`` is the tokenizer's file and says what the ids are. ``ranks``, the same byte-level vocabulary as a rank file,
+    gives the same ids four times as fast; a text that spells an added token is left to the tokenizer.
     """
 
-    def __init__(self, path: str, dtype: str) -> None:
+    def __init__(self, path: str, ranks: str | None, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
 
-    def _chunks(self, chunks: list[str]) -> bytes:
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > CACHED_CHUNKS:  # start anew with what this text needs
-            known = self.known = {c: known[c] for c in set(chunks) if c in known}
-        if new:
-            known.update(zip(new, self._encode(new)))
-        return b"".join([known[c] for c in chunks])
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding(
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
+            )
 
     def __call__(self, text: str) -> bytes:
-        if any(token in text for token in self.added):
-            return self._encode([text])[0]
-        if len(text) < _AT_ONCE * 8:
-            return self._chunks(_CHUNK.findall(text))
-        parts, chunks = [], []
-        for match in _CHUNK.finditer(text):  # a very long text goes in pieces
-            chunks.append(match.group())
-            if len(chunks) == _AT_ONCE:
-                parts.append(self._chunks(chunks))
-                chunks = []
-        parts.append(self._chunks(chunks))
-        return b"".join(parts)
+        if self.fast is None or any(token in text for token in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, ranks: str | None, dtype: str) -> Encoder:
+    """One per Python worker, which serves many tasks."""
+    return Encoder(path, ranks, dtype)
 
 
 def _dtype(path: str) -> str:
@@ -84,14 +74,14 @@ def _dtype(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """task, before, doc_id, n, ids: before counts the ids of earlier documents of the same task. Stored."""
     dtype = _dtype(path)
     width = int(dtype[-1])
     end = np.array([END_ID], dtype=dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, dtype)
+        encode = encoder(path, ranks, dtype)
         task, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # small steps bound what is held at once
@@ -116,10 +106,15 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
 
 
 def pack(
-    docs: DataFrame, path: str, length: int = SEQUENCE, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    ranks: str | None = None,
+    length: int = SEQUENCE,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (list of int)."""
-    stored = tokenize(docs, path, doc_id, text)
+    stored = tokenize(docs, path, ranks, doc_id, text)
     dtype = _dtype(path)
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored.groupBy("task").agg(F.sum("n").alias("ids_")).select(

@@ -12,6 +12,7 @@ from . import hilbert_shards, jaccard_forest, line_suffixes, packing, pfair_mix,
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op6_jaccard_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), TOKENIZER).drop("ids")
+    return packing.pack(_table(spark, folder, "documents"), TOKENIZER, RANKS).drop("ids")
 
 
 def op8_host_words(spark: SparkSession, folder: str) -> DataFrame:
