@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, jaccard_forest, line_suffixes, packing, pfair_mix, quality_rules, url_filter
+from . import hilbert_shards, jaccard_forest, line_suffixes, packing, pfair_mix, quality_rules, span_graph, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,11 @@ def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "source", "_quality.*")
 
 
+def op4_de_bruijn_spans(spark: SparkSession, folder: str) -> DataFrame:
+    spans = span_graph.remove_repeats(_table(spark, folder, "documents"))
+    return spans.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_line_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -52,6 +57,6 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op5_line_suffixes, op6_jaccard_forest, op7_concatenate_and_cut, op8_host_words, op10_pfair_mix)
+    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op4_de_bruijn_spans, op5_line_suffixes, op6_jaccard_forest, op7_concatenate_and_cut, op8_host_words, op10_pfair_mix)
 }
 ORACLES: dict[str, str] = {}
