@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, jaccard_forest, line_suffixes, packing, pfair_mix, quality_rules, span_graph, url_filter
+from . import hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, packing, pfair_mix, quality_rules, span_graph, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,11 +52,15 @@ def op8_host_words(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op9_ngram_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_trie.train_and_score(_table(spark, folder, "documents"))
+
+
 def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return pfair_mix.interleave(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op4_de_bruijn_spans, op5_line_suffixes, op6_jaccard_forest, op7_concatenate_and_cut, op8_host_words, op10_pfair_mix)
+    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op4_de_bruijn_spans, op5_line_suffixes, op6_jaccard_forest, op7_concatenate_and_cut, op8_host_words, op9_ngram_trie, op10_pfair_mix)
 }
 ORACLES: dict[str, str] = {}
