@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_sums, store
-from .shingles import mixed, shingle_set
+from .shingles import mixed, packed_text, shingle_set, texts_of, unpacked
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -62,11 +62,6 @@ def signatures(shingles: list[np.ndarray], values: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _bodies(column: pa.Array) -> Iterator[list[bytes]]:
-    for value in column.cast(pa.large_binary()):
-        yield (value.as_buffer().to_pybytes() if value.is_valid else b"").split()
-
-
 def sign(docs: DataFrame, depth: int, trees: int, deepest: int, words: int) -> DataFrame:
     """doc, copy (hash of the words), keys (of the node in each tree), bytes (low bits of the signature)."""
 
@@ -76,7 +71,7 @@ def sign(docs: DataFrame, depth: int, trees: int, deepest: int, words: int) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = list(_bodies(part.column("body")))
+                texts = [t.split() for t in texts_of(part.column("body"))]
                 used = [i for i, t in enumerate(texts) if t]
                 values = signatures([shingle_set(texts[i], words) for i in used], trees * deepest)
                 keys = np.zeros((len(used), trees), dtype=np.uint64)
@@ -96,14 +91,14 @@ def sign(docs: DataFrame, depth: int, trees: int, deepest: int, words: int) -> D
     return docs.mapInArrow(run, "doc long, copy binary, keys array<long>, bytes binary")
 
 
-def _sets(bodies: Column, words: int) -> Column:
-    """Sorted shingle hashes as bytes."""
+def _sets(packed: Column, words: int) -> Column:
+    """Sorted shingle hashes of packed texts, as bytes."""
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, words).tobytes() for t in _bodies(column)], pa.binary())
+        return pa.array([shingle_set(t.split(), words).tobytes() for t in unpacked(column)], pa.binary())
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "binary")(bodies)
+    return F.arrow_udf(run, "binary")(packed)
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -293,7 +288,10 @@ def near_duplicates(
         .distinct()
     )
     sets = store(
-        bodies.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", _sets(F.col("body"), words).alias("set"))
+        bodies.select("doc", packed_text(F.col("body")).alias("packed"))
+        .join(wanted, "doc", "left_semi")
+        .dropDuplicates(["doc"])
+        .select("doc", _sets(F.col("packed"), words).alias("set"))
     )
     verified = store(
         apart.join(sets.toDF("a", "set_a"), "a")

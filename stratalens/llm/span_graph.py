@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
-from .shingles import mixed, windows, word_hashes
+from .shingles import mixed, packed_text, texts_of, unpacked, windows, word_hashes
 
 WINDOW = 20
 ANCHOR = 6
@@ -52,11 +52,6 @@ def paths_of(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
     return anchors[at[first]], content, first, number
 
 
-def _texts(column: pa.Array) -> Iterator[bytes]:
-    for value in column.cast(pa.large_binary()):
-        yield value.as_buffer().to_pybytes() if value.is_valid else b""
-
-
 def _paths(docs: DataFrame, window: int, anchor: int, anchors_only: bool = False) -> DataFrame:
     """anchor, and unless ``anchors_only`` content, doc, start, n: a row per path of every document."""
 
@@ -64,7 +59,7 @@ def _paths(docs: DataFrame, window: int, anchor: int, anchors_only: bool = False
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = [paths_of(word_hashes(t.split()), window, anchor) for t in _texts(part.column("body"))]
+                found = [paths_of(word_hashes(t.split()), window, anchor) for t in texts_of(part.column("body"))]
                 columns = [np.concatenate(c) for c in zip(*found)]
                 names = ["anchor"]
                 arrays = [pa.array(columns[0].view(np.int64))]
@@ -83,33 +78,12 @@ def _paths(docs: DataFrame, window: int, anchor: int, anchors_only: bool = False
     return docs.mapInArrow(run, schema)
 
 
-def _packed(text: Column) -> Column:
-    """Texts are compressed before they are shuffled, better than by the shuffle itself."""
-
-    def run(column: pa.Array) -> pa.Array:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3)
-        return pa.array([press.compress(t) for t in _texts(column)], pa.binary())
-
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "binary")(text)
-
-
-def _unpacked(column: pa.Array) -> Iterator[bytes]:
-    import zstandard
-
-    press = zstandard.ZstdDecompressor()
-    for value in column:
-        yield press.decompress(value.as_buffer())
-
-
 def _edges(packed: Column, spans: Column, window: int) -> Column:
     """Hashes of the edges that the paths of a text cover, with their starts."""
 
     def run(bodies: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
-        for body, items in zip(_unpacked(bodies), lists.to_pylist()):
+        for body, items in zip(unpacked(bodies), lists.to_pylist()):
             edges = windows(word_hashes(body.split()), window).view(np.int64)
             out.append(
                 [
@@ -141,7 +115,7 @@ def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     branching = contents.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
     ends = contents.join(branching, "anchor", "left_semi").select("first.doc", F.struct("anchor", "first.start", "n").alias("p"))
     lists = ends.groupBy("doc").agg(F.collect_list("p").alias("paths"))
-    packed = docs.select("doc", _packed(F.col("body")).alias("packed"))
+    packed = docs.select("doc", packed_text(F.col("body")).alias("packed"))
     edges = store(
         packed.join(lists, "doc")
         .select("doc", F.explode(_edges(F.col("packed"), F.col("paths"), window)).alias("e"))
@@ -157,7 +131,7 @@ def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 def _cleaned(packed: Column, spans: Column, window: int) -> Column:
     def run(bodies: pa.Array, lists: pa.Array) -> pa.Array:
         counts, removed, kept = [], [], []
-        for body, items in zip(_unpacked(bodies), lists):
+        for body, items in zip(unpacked(bodies), lists):
             words = body.split()
             gone = np.zeros(len(words) + 1, dtype=np.int64)
             if items.is_valid:
@@ -187,6 +161,6 @@ def remove_repeats(
     )
     later = later_edges(bodies, window, anchor)
     spans = later.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    packed = bodies.select("doc", _packed(F.col("body")).alias("packed"))
+    packed = bodies.select("doc", packed_text(F.col("body")).alias("packed"))
     cleaned = packed.join(spans, "doc", "left").select("doc", _cleaned(F.col("packed"), F.col("spans"), window).alias("c"))
     return cleaned.select(F.nullif(F.col("doc"), F.lit(_NO_ID)).alias("doc_id"), "c.*")
