@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, packing, pfair_mix, quality_rules, span_graph, url_filter
+from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, packing, pfair_mix, quality_rules, span_graph, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_hilbert_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert_ann.nearest(_table(spark, folder, "embeddings"))
+
+
 def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     shards = hilbert_shards.assign_shards(_table(spark, folder, "documents"), SHARDS)
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -61,6 +65,18 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hilbert_shards, op3_host_rules, op4_de_bruijn_spans, op5_line_suffixes, op6_jaccard_forest, op7_concatenate_and_cut, op8_host_words, op9_ngram_trie, op10_pfair_mix)
+    f.__name__: f
+    for f in (
+        op1_hilbert_ann,
+        op2_hilbert_shards,
+        op3_host_rules,
+        op4_de_bruijn_spans,
+        op5_line_suffixes,
+        op6_jaccard_forest,
+        op7_concatenate_and_cut,
+        op8_host_words,
+        op9_ngram_trie,
+        op10_pfair_mix,
+    )
 }
 ORACLES: dict[str, str] = {}
