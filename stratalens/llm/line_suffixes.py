@@ -122,7 +122,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_
     """``docs`` with repeated runs gone from ``text``, plus ``_lines``: a struct of n_lines, n_removed, deepest."""
     gone = store(removed_lines(docs, min_lines, doc_id, text)).withColumnsRenamed({"doc": "_doc", "twin": "_twin"})
     same = F.col(doc_id).eqNullSafe(F.col("_doc")) & (_twin(F.col(text)) == F.col("_twin"))
-    joined = docs.join(gone, same, "left").withColumns(
+    # The lists have no size bound, so the join is the same at every size: never a broadcast.
+    joined = docs.join(gone.hint("merge"), same, "left").withColumns(
         {"_all": F.split(F.col(text), "\n", -1), "_flags": keep_flags(F.col("removed"))}
     )
     kept = F.filter("_all", lambda _, i: F.coalesce(F.get("_flags", i), F.lit(True)))
