@@ -289,7 +289,7 @@ def near_duplicates(
     )
     sets = store(
         bodies.select("doc", packed_text(F.col("body")).alias("packed"))
-        .join(wanted, "doc", "left_semi")
+        .join(wanted.hint("merge"), "doc", "left_semi")  # no size bound: never a broadcast
         .dropDuplicates(["doc"])
         .select("doc", _sets(F.col("packed"), words).alias("set"))
     )
