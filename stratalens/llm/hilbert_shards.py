@@ -128,4 +128,5 @@ def write_shards(docs: DataFrame, shards: int, folder: str, doc_id: str = "doc_i
     """Write ``docs`` as one Parquet folder per shard, rows in the order of the curve. Ids must be unique here."""
     places = assign_shards(docs, shards, doc_id=doc_id, **options).select(F.col("doc_id").alias("_id"), "shard", "slot")
     joined = docs.join(places, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    ordered = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.drop("slot").write.partitionBy("shard").parquet(folder)
