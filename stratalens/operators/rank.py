@@ -33,8 +33,12 @@ ROUNDS_PER_JOB = 5
 # Largest number of pair rows of one file, or of one name, that stay together in a partition.
 CHUNK_ROWS = 1_000_000
 
-# The name that every file of a repository refers to and defines; no identifier is empty.
-EVERY_FILE = ""
+# Pair rows of a partition of the kept tables.
+PARTITION_ROWS = 5_000_000
+
+# The name that every file of a repository refers to and defines. Other names carry the mark before them in the kept
+# tables, so whatever a user's tags hold, also an empty name, is none of theirs.
+EVERY_FILE, NAME_MARK = "*", "="
 
 # Ranks equal up to this many decimals are the same rank computed in another order of additions.
 TIE_DIGITS = 12
@@ -44,21 +48,24 @@ def _chunks(rows: str) -> Column:
     return F.ceil(F.col(rows) / F.lit(CHUNK_ROWS)).cast("int")
 
 
-def _per_chunk(df: DataFrame, rows: str, chunked: bool) -> DataFrame:
-    """Repeat each row for every chunk of its key's pair rows."""
-    return df.withColumn("chunk", F.explode(F.sequence(F.lit(0), _chunks(rows) - 1))) if chunked else df
+def _per_chunk(df: DataFrame, rows: str) -> DataFrame:
+    """Repeat each row for every chunk of its key's pair rows; one for all but very large keys."""
+    return df.withColumn("chunk", F.explode(F.sequence(F.lit(0), _chunks(rows) - 1)))
 
 
-def _keep(df: DataFrame, keys: list[str], spread: str, rows: str, chunked: bool) -> DataFrame:
-    """Partition and sort a pair table by ``keys`` once and keep it for all rounds.
+def _keep(df: DataFrame, keys: list[str], spread: str, rows: str, total: int) -> DataFrame:
+    """Partition and sort a pair table of ``total`` rows by ``keys`` once and keep it for all rounds.
 
-    The partition count is that of the session's shuffles, so the sums of each round arrive in place.
+    Small tables have as many partitions as the session's shuffles, so the sums of each round arrive in place.
     """
-    if chunked:
-        df = df.withColumn("chunk", F.pmod(F.xxhash64(spread), _chunks(rows)).cast("int"))
-        keys = [*keys, "chunk"]
-    partitions = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys).persist()
+    df = df.withColumn("chunk", F.pmod(F.xxhash64(spread), _chunks(rows)).cast("int"))
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*keys, "chunk"]
+    return df.repartition(max(2, session, total // PARTITION_ROWS + 1), *keys).sortWithinPartitions(*keys).persist()
+
+
+def _marked() -> Column:
+    return F.concat(F.lit(NAME_MARK), "name").alias("name")
 
 
 def graph_files(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def _shares(refs: DataFrame, files: DataFrame, damping: float) -> DataFrame:
     to_names = refs.join(weights, ["repo_id", "path"]).select(
         "repo_id",
         F.col("path").alias("file"),
-        "name",
+        _marked(),
         (F.lit(damping) * edge_weight() / F.col("out_weight")).alias("share"),
         F.col("name_definers").alias("definers"),
         (F.col("pairs") + 1).alias("pairs"),
@@ -111,7 +118,7 @@ def _defined(defs: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, name, file): who receives what goes to a name."""
     sizes = files.select("repo_id", F.col("file").alias("path"), "n", (F.col("pairs") + 1).alias("pairs"))
     of_names = defs.join(sizes, ["repo_id", "path"]).select(
-        *REPO_NAME, F.col("path").alias("file"), F.col("name_definers").alias("definers"), "n", "pairs"
+        "repo_id", _marked(), F.col("path").alias("file"), F.col("name_definers").alias("definers"), "n", "pairs"
     )
     of_every_file = files.select(
         "repo_id",
@@ -124,22 +131,19 @@ def _defined(defs: DataFrame, files: DataFrame) -> DataFrame:
     return of_names.unionByName(of_every_file)
 
 
-def _one_round(
-    vector: DataFrame, shares: DataFrame, defined: DataFrame, columns: list[str], chunked: bool
-) -> DataFrame:
+def _one_round(vector: DataFrame, shares: DataFrame, defined: DataFrame, columns: list[str]) -> DataFrame:
     """Send every rank column through the names once."""
-    chunk = ["chunk"] if chunked else []
     held = shares.drop("pairs")
     got = (
-        _per_chunk(vector.select(*REPO_FILE, "pairs", *columns), "pairs", chunked)
-        .join(held, [*REPO_FILE, *chunk])
+        _per_chunk(vector.select(*REPO_FILE, "pairs", *columns), "pairs")
+        .join(held, [*REPO_FILE, "chunk"])
         .groupBy(*REPO_NAME)
         .agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in columns], F.max("definers").alias("definers"))
     )
     return (
-        _per_chunk(got, "definers", chunked)
+        _per_chunk(got, "definers")
         .drop("definers")
-        .join(defined.drop("definers"), [*REPO_NAME, *chunk])
+        .join(defined.drop("definers"), [*REPO_NAME, "chunk"])
         .groupBy(*REPO_FILE)
         .agg(*[F.sum(c).alias(c) for c in columns], F.max("pairs").alias("pairs"), F.max("n").alias("n"))
     )
@@ -176,11 +180,10 @@ def rank_files(
     """
     refs, defs = linked_pairs(pairs)
     files = cut_lineage(graph_files(refs, defs))
-    largest = files.agg(F.max("pairs"), F.max("n")).first()
-    chunked = max(filter(None, largest), default=0) >= CHUNK_ROWS
+    total = files.agg(F.sum("pairs") + F.count("*")).first()[0] or 0
 
-    shares = _keep(_shares(refs, files, damping), REPO_FILE, "name", "pairs", chunked)
-    defined = _keep(_defined(defs, files), REPO_NAME, "file", "definers", chunked)
+    shares = _keep(_shares(refs, files, damping), REPO_FILE, "name", "pairs", total)
+    defined = _keep(_defined(defs, files), REPO_NAME, "file", "definers", total)
     lags = ROUNDS_PER_JOB + 1 if tolerance > 0 else 1
     columns = [f"r{lag}" for lag in range(lags)]
     start = F.lit(1.0) / F.col("n")
@@ -191,7 +194,7 @@ def rank_files(
         while done < max_rounds:
             for _ in range(min(ROUNDS_PER_JOB, max_rounds - done)):
                 known = columns[: done + 1]
-                vector = _one_round(vector, shares, defined, known, chunked)
+                vector = _one_round(vector, shares, defined, known)
                 # Before enough rounds have run, the older columns hold the start vector.
                 vector = vector.select("*", *[start.alias(c) for c in columns[len(known) :]])
                 done += 1

@@ -204,6 +204,12 @@ def pagerank_files(spark, folder):
     return _ranked(spark, folder)
 
 
+def pagerank_empty_names(spark, folder):
+    """A name that is empty is a name like any other."""
+    name = F.when(F.col("name").rlike("[05]0$"), F.lit("")).otherwise(F.col("name"))
+    return rank.ranked_files(rank.rank_files(graph.keep_pairs(_tags(spark, folder).withColumn("name", name))))
+
+
 def pagerank_fixed_rounds(spark, folder):
     ranks = rank.rank_files(_kept(spark, folder), tolerance=0.0, max_rounds=FIXED_ROUNDS)
     return ranks.select("repo_id", "file", *_digits("rank", digits=9))
@@ -448,7 +454,7 @@ QUERIES: dict[str, Query] = {
         churn_process_metrics, churn_process_gross, churn_find_file, churn_chart,
         definers, ref_counts, ref_counts_without_refs, linked_names, dependency_edges, graph_sizes,
         degree_centrality, most_central, top_n_nodes, top_n_subgraph, collapsed_edges, collapsed_graph,
-        pagerank_files, pagerank_fixed_rounds, pagerank_nodes, pagerank_top, pagerank_bars,
+        pagerank_files, pagerank_empty_names, pagerank_fixed_rounds, pagerank_nodes, pagerank_top, pagerank_bars,
         ranked_definitions, ordered_definitions, ranked_tags, file_rank_lookup,
         hotspots, hotspots_exact, hotspots_all_churn, prioritization_matrix,
         file_languages, extract_tags, backfill_refs, file_symbols, definition_tags,

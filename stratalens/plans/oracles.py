@@ -430,6 +430,17 @@ ORACLES: dict[str, str] = {
     "collapsed_edges": _sql(_RANKS, _COLLAPSE.format(edges="sub")),
     "collapsed_graph": _sql(_GRAPH, _COLLAPSE.format(edges="(SELECT * FROM e WHERE source <> target)")),
     "pagerank_files": _sql(_RANKS, "SELECT * FROM ranked"),
+    "pagerank_empty_names": _sql(
+        [
+            (
+                "b_tags",
+                "SELECT repo_id, path, line, CASE WHEN regexp_matches(name, '[05]0$') THEN '' ELSE name END AS name, kind"
+                f" FROM ({_T})",
+            ),
+            *_RANKS[1:],
+        ],
+        "SELECT * FROM ranked",
+    ),
     "pagerank_fixed_rounds": _sql(
         _rounds(20), "SELECT repo_id, id AS file, round(rk, 9) AS rank FROM pr WHERE it = 20"
     ),

@@ -62,6 +62,10 @@ MIXED = (
     + [("quiet", "a", 0, "x", "def"), ("quiet", "b", 0, "x", "def"), ("quiet", "b", 1, "y", "def")]
     + [("self", "a", 0, "x", "def"), ("self", "a", 1, "x", "ref")]
     + [("apart", "a", 0, "x", "def"), ("apart", "a", 1, "z", "ref")]
+    # names that the random jump's own name might be taken for
+    + [("blank", f, i, n, k) for i, (f, n, k) in enumerate([
+        ("a", "", "def"), ("b", "", "ref"), ("b", "*", "def"), ("c", "*", "ref"), ("c", "=", "def"), ("a", "=", "ref"), ("b", "=", "ref")
+    ])]
 )
 
 
