@@ -102,7 +102,9 @@ def _edges(packed: Column, spans: Column, window: int) -> Column:
 def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc, start, n: runs of edges whose words also start earlier. ``docs`` has doc (not null) and body."""
     place = F.struct("doc", "start")
-    repeated = _paths(docs, window, anchor, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    # Counts are stored before they are joined: only a join of plain shuffles can split the rows of a hot anchor.
+    counted = _paths(docs, window, anchor, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("c"))
+    repeated = store(counted.where("c > 1").select("anchor"))
     paths = store(_paths(docs, window, anchor).join(repeated, "anchor", "left_semi"))
     contents = store(
         paths.groupBy("anchor", "content").agg(
@@ -112,7 +114,7 @@ def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     copies = paths.join(contents.where("c > 1").select("anchor", "content", "first"), ["anchor", "content"])
     whole = copies.where(place != F.col("first")).select("doc", "start", "n")
 
-    branching = contents.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    branching = store(contents.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
     ends = contents.join(branching, "anchor", "left_semi").select("first.doc", F.struct("anchor", "first.start", "n").alias("p"))
     lists = ends.groupBy("doc").agg(F.collect_list("p").alias("paths"))
     packed = docs.select("doc", packed_text(F.col("body")).alias("packed"))
@@ -121,9 +123,8 @@ def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         .select("doc", F.explode(_edges(F.col("packed"), F.col("paths"), window)).alias("e"))
         .select("doc", "e.*")
     )
-    shared = (
-        edges.groupBy("anchor", "edge").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    )
+    met = edges.groupBy("anchor", "edge").agg(F.min(place).alias("first"), F.count("*").alias("c"))
+    shared = store(met.where("c > 1").drop("c"))
     alone = edges.join(shared, ["anchor", "edge"]).where(place != F.col("first"))
     return whole.unionByName(alone.select("doc", "start", F.lit(1).alias("n")))
 
