@@ -25,7 +25,11 @@ def damping(name: Column) -> Column:
 
 
 def _day(as_of: dt.date | str) -> Column:
-    return F.lit(as_of).cast("date") if isinstance(as_of, str) else F.lit(as_of)
+    return F.lit(as_of).cast("date") if isinstance(as_of, str) else F.to_date(F.lit(as_of))
+
+
+def _has_time(as_of: dt.date | str) -> bool:
+    return ":" in as_of if isinstance(as_of, str) else isinstance(as_of, dt.datetime)
 
 
 def window_start(as_of: dt.date | str, months: int) -> Column:
@@ -33,9 +37,11 @@ def window_start(as_of: dt.date | str, months: int) -> Column:
 
 
 def in_window(ts: Column, as_of: dt.date | str, months: int) -> Column:
-    """True from ``months`` calendar months before ``as_of`` up to ``as_of``, both included."""
+    """True from the day ``months`` calendar months before ``as_of`` up to ``as_of``: an instant, or the end of a bare date."""
     start = window_start(as_of, months).cast("timestamp_ntz")
-    return ts.between(start, _day(as_of).cast("timestamp_ntz"))
+    if _has_time(as_of):
+        return ts.between(start, F.lit(as_of).cast("timestamp_ntz"))
+    return (ts >= start) & (ts < F.date_add(_day(as_of), 1).cast("timestamp_ntz"))
 
 
 def period_label(as_of: dt.date | str, months: int) -> Column:

@@ -109,7 +109,7 @@ _WINDOW = [
     (
         "win",
         f"SELECT * FROM b_commit_files WHERE commit_ts >= TIMESTAMP '{b.AS_OF}' - INTERVAL {b.MONTHS} MONTH"
-        f" AND commit_ts <= TIMESTAMP '{b.AS_OF}' AND added IS NOT NULL AND removed IS NOT NULL",
+        f" AND commit_ts < TIMESTAMP '{b.AS_OF}' + INTERVAL 1 DAY AND added IS NOT NULL AND removed IS NOT NULL",
     ),
     (
         "au",

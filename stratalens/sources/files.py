@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,12 +29,20 @@ VCS_FOLDER = r"(^|/)\.git/"
 TASK_BYTES = 256 * 1024 * 1024
 BATCH_BYTES = 16 * 1024 * 1024
 
+# Entries of a listing handed to Spark at a time.
+ENTRIES = 10_000
+
 _ENTRY = "location string, length bigint, is_folder boolean"
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a local path or a file, hdfs, gs, abfs or s3 address; s3a and s3n are names for s3."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def _list_folders(folder: str):
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, _ = fs.FileSystem.from_uri(folder)
+        system, _ = file_system(folder)
         local = isinstance(system, fs.LocalFileSystem)
         for batch in batches:
             for location in batch["location"]:
@@ -44,28 +53,33 @@ def _list_folders(folder: str):
                     # Linked folders are not followed.
                     if not (local and entry.type == fs.FileType.Directory and os.path.islink(entry.path))
                 ]
-                yield pd.DataFrame(rows, columns=["location", "length", "is_folder"])
+                for at in range(0, len(rows), ENTRIES):
+                    yield pd.DataFrame(rows[at : at + ENTRIES], columns=["location", "length", "is_folder"])
 
     return listed
 
 
 def _read_contents(folder: str):
+    columns = ["repo_id", "path", "content", "problem"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, _ = fs.FileSystem.from_uri(folder)
+        system, _ = file_system(folder)
         for batch in batches:
             held, size = [], 0
             for row in batch.itertuples(index=False):
+                content, problem = None, None
                 try:
                     with system.open_input_stream(row.location) as stream:
                         content = stream.read()
-                except OSError:
-                    continue
-                held.append((row.repo_id, row.path, content))
-                size += len(content)
+                except (FileNotFoundError, PermissionError) as error:
+                    # Gone, or not ours to read: told apart from a failing store, which fails the task and is tried again.
+                    problem = f"{type(error).__name__}: {error}"
+                held.append((row.repo_id, row.path, content, problem))
+                size += len(content or b"")
                 if size >= BATCH_BYTES:
-                    yield pd.DataFrame(held, columns=["repo_id", "path", "content"])
+                    yield pd.DataFrame(held, columns=columns)
                     held, size = [], 0
-            yield pd.DataFrame(held, columns=["repo_id", "path", "content"])
+            yield pd.DataFrame(held, columns=columns)
 
     return read
 
@@ -78,7 +92,7 @@ def list_files(
     Without ``repo_id``, ``folder`` holds one sub-folder per repository, named by its id. Each round lists all
     directories of one depth in parallel, so a repository with very many directories is shared by all tasks.
     """
-    system, base = fs.FileSystem.from_uri(folder)
+    system, base = file_system(folder)
     info = system.get_file_info(base)
     if info.type == fs.FileType.File:
         found = spark.createDataFrame([(info.path, info.size, False)], _ENTRY)
@@ -114,19 +128,15 @@ def decode_text(raw: Column) -> Column:
     return F.try_validate_utf8(raw.cast("string"))
 
 
-def read_source_files(
+def _opened_files(
     spark: SparkSession,
     folder: str,
-    repo_id: str | None = None,
-    rules: list[Rule] | None = None,
-    extensions: dict[str, str] | None = None,
-    include_vcs: bool = False,
+    repo_id: str | None,
+    rules: list[Rule] | None,
+    extensions: dict[str, str] | None,
+    include_vcs: bool,
 ) -> DataFrame:
-    """The source_files table of a folder, or of one file.
-
-    Only files in a language that has rules are opened. Files that are empty, unreadable or not UTF-8 are left
-    out, as they give no tags.
-    """
+    """(repo_id, path, content, problem) of the files in a language that has rules."""
     langs = {rule.lang for rule in (RULES if rules is None else rules)}
     known = EXTENSION_LANGUAGES if extensions is None else extensions
     wanted = [ext for ext, lang in known.items() if lang in langs]
@@ -134,16 +144,45 @@ def read_source_files(
     listing = cut_lineage(listing.where(extension(F.col("path")).isin(wanted) & (F.col("length") > 0)))
     size, count = listing.agg(F.sum("length"), F.count("*")).first()
     parts = max(spark.sparkContext.defaultParallelism, math.ceil((size or 0) / TASK_BYTES))
-    contents = (
+    return (
         listing.select("repo_id", "path", "location")
         .repartition(max(1, min(parts, count)), "location")
-        .mapInPandas(_read_contents(folder), "repo_id string, path string, content binary")
+        .mapInPandas(_read_contents(folder), "repo_id string, path string, content binary, problem string")
     )
+
+
+def read_source_files(
+    spark: SparkSession,
+    folder: str,
+    repo_id: str | None = None,
+    rules: list[Rule] | None = None,
+    extensions: dict[str, str] | None = None,
+    include_vcs: bool = False,
+) -> DataFrame:
+    """The source_files table of a folder, or of one file.
+
+    Only files in a language that has rules are opened. Files that are empty or not UTF-8 are left out, as they give no
+    tags, and so are those that are gone or denied (``unreadable_files`` names them). Any other error fails the job.
+    """
+    contents = _opened_files(spark, folder, repo_id, rules, extensions, include_vcs)
     return contents.select("repo_id", "path", decode_text(F.col("content")).alias("content")).where(
         F.length("content") > 0
     )
 
 
+def unreadable_files(
+    spark: SparkSession,
+    folder: str,
+    repo_id: str | None = None,
+    rules: list[Rule] | None = None,
+    extensions: dict[str, str] | None = None,
+    include_vcs: bool = False,
+) -> DataFrame:
+    """(repo_id, path, problem) of the files that ``read_source_files`` leaves out because they cannot be opened."""
+    opened = _opened_files(spark, folder, repo_id, rules, extensions, include_vcs)
+    return opened.where(F.col("problem").isNotNull()).select("repo_id", "path", "problem")
+
+
 def file_counts(files: DataFrame) -> DataFrame:
     """Files per repository, of a listing, manifest or source_files table."""
     return files.groupBy("repo_id").agg(F.count("*").alias("file_count"))

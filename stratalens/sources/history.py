@@ -5,26 +5,76 @@ The export is ``git log --numstat --pretty=format:COMMIT:%H:%ae:%ct``, one text
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import COMMIT_FILES
+from .files import file_system, list_files
 
 HEADER = "COMMIT:"
 
 
+# Bytes of a log that is read in a task taken up at a time.
+_CHUNK = 16 * 1024 * 1024
+
+
+def _split_records(folder: str):
+    mark = f"\n{HEADER}".encode()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = file_system(folder)
+        for batch in batches:
+            for repo, location in zip(batch["repo_id"], batch["location"]):
+                rest = b""
+                with system.open_input_stream(location) as stream:
+                    while chunk := stream.read(_CHUNK):
+                        *whole, rest = (rest + chunk).split(mark)
+                        yield _records(repo, whole)
+                if rest:
+                    yield _records(repo, [rest])
+
+    return read
+
+
+def _records(repo: str, records: list[bytes]) -> pd.DataFrame:
+    texts = [record.decode("utf-8", "replace") for record in records]
+    return pd.DataFrame({"repo_id": [repo] * len(texts), "record": texts})
+
+
 def read_history(spark: SparkSession, folder: str) -> DataFrame:
     """(repo_id, record) with one row per commit.
 
     Commits are split at their header, so a large log is read in parallel. A repository is the ``repo_id=...``
-    folder a log is in, or else its file name without extension.
+    folder a log is in, or else the path of the log below ``folder`` without extension, so logs of one name in different
+    folders stay apart. Spark's reader passes over names that start with ``_`` or ``.``; such logs are read in tasks.
     """
-    records = spark.read.option("lineSep", f"\n{HEADER}").text(folder)
-    if "repo_id" in records.columns:
-        repo = F.col("repo_id").cast("string")
-    else:
-        repo = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return records.select(repo.alias("repo_id"), F.col("value").alias("record"))
+    base = file_system(folder)[1].rstrip("/")
+    logs = list_files(spark, folder, repo_id="").where(~F.col("path").rlike(r"(^|/)(_SUCCESS|[._].*\.crc)$"))
+    passed_over = F.col("path").rlike(r"(^|/)(\.|_(?![^/]*=))")
+    in_tasks = (
+        logs.where(passed_over)
+        .select(_repository(F.col("path")).alias("repo_id"), "location")
+        .repartition("location")
+        .mapInPandas(_split_records(folder), "repo_id string, record string")
+    )
+    if logs.where(~passed_over).isEmpty():
+        return in_tasks
+    records = spark.read.option("lineSep", f"\n{HEADER}").option("recursiveFileLookup", True).text(folder)
+    # The address of a file is percent-encoded, where a plus stands for itself.
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    start = F.instr(address, f"{base}/")
+    inside = F.substring(address, start + len(base) + 1, F.length(address))
+    path = F.when(start > 0, inside).otherwise(F.col("_metadata.file_name"))
+    return records.select(_repository(path).alias("repo_id"), F.col("value").alias("record")).unionByName(in_tasks)
+
+
+def _repository(path: Column) -> Column:
+    """The repo_id=... folder a log is in, or its path without extension."""
+    folder = F.nullif(F.regexp_extract(path, r"(?:^|/)repo_id=([^/]*)/", 1), F.lit(""))
+    return F.coalesce(folder, F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""))
 
 
 # Fixed value: white space that does not count at the ends of a line.

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 
 from stratalens import bindings as b
@@ -10,6 +11,7 @@ from stratalens.functions import paths
 from stratalens.operators import tree, usage
 from stratalens.plans import pipelines
 from stratalens.schemas import ANALYSES, LEADS
+from stratalens.functions.numbers import in_window
 from stratalens.sources import files, history, results, usage_log
 from stratalens.streaming import usage_feed
 from pyspark.sql import functions as F
@@ -79,6 +81,46 @@ def test_read_history(spark, tmp_path, rows):
     assert history.parse_history(history.read_history(spark, str(tmp_path / "parts"))).first().repo_id == "7"
 
 
+def test_hidden_logs_and_equal_names(spark, tmp_path):
+    for path in (".github.log", "_tools.log", "ok.log", "org1/app.log", "org2/app.log", "org2/.x/a+b c.log", "org1/._y.log"):
+        file = tmp_path / "logs" / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"COMMIT:h1:a@x:100\n1\t2\t{path}\n\nCOMMIT:h2:b@x:200\n3\t4\t{path}\n")
+    table = history.parse_history(history.read_history(spark, str(tmp_path / "logs")))
+    got = sorted((r.repo_id, r.commit_hash) for r in table.collect())
+    repos = [".github", "_tools", "ok", "org1/app", "org2/app", "org2/.x/a+b c", "org1/._y"]
+    assert got == sorted((r, h) for r in repos for h in ("h1", "h2"))
+    only_hidden = history.read_history(spark, str(tmp_path / "logs" / "org2" / ".x"))
+    assert [r.repo_id for r in only_hidden.select("repo_id").distinct().collect()] == ["a+b c"]
+
+
+def test_only_missing_and_denied_files_are_passed_over(tmp_path):
+    (tmp_path / "a.py").write_text("x = 1")
+    read = files._read_contents(str(tmp_path))
+    listed = lambda *names: iter([pd.DataFrame(
+        {"repo_id": "r", "path": list(names), "location": [str(tmp_path / n) for n in names]}
+    )])
+    found = pd.concat(read(listed("a.py", "gone.py")))
+    assert list(found["content"]) == [b"x = 1", None]
+    assert found["problem"][0] is None and found["problem"][1].startswith("FileNotFoundError")
+    with pytest.raises(OSError):  # any other error fails the task
+        list(read(listed("")))
+
+
+def test_addresses_of_stores():
+    for scheme in ("s3", "s3a", "s3n"):
+        system, path = files.file_system(f"{scheme}://bucket/logs?region=eu-west-1")
+        assert (system.type_name, path) == ("s3", "bucket/logs")
+
+
+def test_window_ends(make):
+    stamps = [dt.datetime(2024, 6, 30, 9), dt.datetime(2024, 7, 1), dt.datetime(2024, 1, 30), dt.datetime(2023, 12, 30, 12)]
+    frame = make([(t,) for t in stamps], "t timestamp_ntz")
+    kept = lambda as_of: [r.t for r in frame.where(in_window(F.col("t"), as_of, 6)).collect()]
+    assert kept("2024-06-30") == kept(dt.date(2024, 6, 30)) == [stamps[0], stamps[2], stamps[3]]
+    assert kept("2024-06-30 08:00:00") == kept(dt.datetime(2024, 6, 30, 8)) == [stamps[2], stamps[3]]
+
+
 def test_usage_log_evolves(spark, tmp_path, make):
     folder = str(tmp_path / "analyses")
     old = make([(1, "u", "n", AT)], "id long, repo_url string, repo_name string, timestamp timestamp_ntz")
