@@ -169,15 +169,19 @@ def churn_files(window: DataFrame, k: int | None = TOP_FILES) -> DataFrame:
     )
 
 
-def churn_totals(window: DataFrame, as_of: dt.date | str, months: int) -> DataFrame:
-    """Window label and number of files with commits per repository."""
-    return (
+def churn_totals(
+    window: DataFrame, as_of: dt.date | str, months: int, repos: DataFrame | None = None
+) -> DataFrame:
+    """Window label and number of files with commits per repository; one without commits counts if ``repos`` has it."""
+    totals = (
         window.groupBy("repo_id", "path")
         .agg(F.lit(1).alias("one"))
         .groupBy("repo_id")
         .agg(F.count("*").alias("total_files_with_commits"))
-        .withColumn("period", period_label(as_of, months))
     )
+    if repos is not None:
+        totals = repos.select("repo_id").join(totals, "repo_id", "left").fillna(0, ["total_files_with_commits"])
+    return totals.withColumn("period", period_label(as_of, months))
 
 
 def process_metrics(window: DataFrame, k: int | None = TOP_PROCESS_FILES, churn: str = "net") -> DataFrame:

@@ -8,7 +8,7 @@ The edge list, whose size is the product of referrers and definers of each name,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import damping, ratio
@@ -181,10 +181,16 @@ SHOWN_IDENTS = 5
 def collapse_edges(edges: DataFrame) -> DataFrame:
     """One row per file pair: sum of the published weights and the first five names in order."""
     pair = ["repo_id", "source", "target"]
-    totals = edges.groupBy(*pair).agg(F.sum(F.round("weight", 4)).alias("weight"))
-    names = (
-        top_positions(edges.select(*pair, "ident").distinct(), pair, [F.asc("ident")], SHOWN_IDENTS, "_position")
+    # A name has one edge per pair. One sort by pair gives both the total and the first names.
+    own = Window.partitionBy(*pair)
+    numbered = edges.select(
+        *pair,
+        "ident",
+        F.sum(F.round("weight", 4)).over(own).alias("weight"),
+        F.row_number().over(own.orderBy("ident")).alias("_position"),
+    )
+    return (
+        numbered.where(F.col("_position") <= SHOWN_IDENTS)
         .groupBy(*pair)
-        .agg(F.array_sort(F.collect_list("ident")).alias("idents"))
+        .agg(F.max("weight").alias("weight"), F.array_sort(F.collect_list("ident")).alias("idents"))
     )
-    return totals.join(names, pair)

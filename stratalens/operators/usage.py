@@ -88,10 +88,12 @@ def run_summary(
     churn: DataFrame,
     spots: DataFrame,
     symbol_totals: DataFrame,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
     """The analyses row of each repository: sizes of its result tables and their first entries.
 
-    A repository counts once it has files or history; counts of what it lacks are 0.
+    With ``repos`` each of its repositories has a row and no other; without it one counts once it has files or history.
+    Counts of what it lacks are 0.
     """
     first_spot = F.max(F.struct("hotspot_score", -F.col("rank_position"), "file"))
     parts = [
@@ -111,9 +113,9 @@ def run_summary(
         ),
         symbol_totals.select("repo_id", F.col("total_symbols").alias("ast_symbol_count")),
     ]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, "repo_id", "full")
+    joined, how = (parts.pop(0), "full") if repos is None else (repos.select("repo_id"), "left")
+    for part in parts:
+        joined = joined.join(part, "repo_id", how)
     counts = [
         "file_count",
         "ranked_files_count",

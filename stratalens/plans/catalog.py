@@ -409,6 +409,15 @@ def _analysis(spark, folder) -> dict[str, DataFrame]:
     return pipelines.analyze(tags, _commits(spark, folder), _repos(tags), b.AS_OF, b.MONTHS)
 
 
+def run_summary_all_repos(spark, folder):
+    """Also of a repository that has neither tags nor history."""
+    tags = _tags(spark, folder)
+    repos = _repos(tags)
+    bare = repos.limit(1).select(F.lit("none").alias("repo_id"), "repo_url", F.lit("none").alias("repo_name"))
+    results = pipelines.analyze(tags, _commits(spark, folder), repos.unionByName(bare), b.AS_OF, b.MONTHS)
+    return results["summary"].join(results["churn_totals"], "repo_id")
+
+
 def run_summary(spark, folder):
     return _analysis(spark, folder)["summary"]
 
@@ -462,6 +471,6 @@ QUERIES: dict[str, Query] = {
         symbol_tree, symbol_tree_of_text, tree_files, symbol_totals, symbol_search, total_files, missing_file_names,
         usage_totals, popular_repos, repo_popularity, recent_analyses, recent_leads, valid_leads, merged_analyses,
         exported_analyses, valid_repo_urls, cache_keys, new_repos_only, known_repos,
-        run_summary, cached_summary, report_ranked, report_churn, report_hotspots, result_json, result_sections,
+        run_summary, run_summary_all_repos, cached_summary, report_ranked, report_churn, report_hotspots, result_json, result_sections,
     ]
 }

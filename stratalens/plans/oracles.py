@@ -539,6 +539,17 @@ ORACLES: dict[str, str] = {
         "SELECT repo_url, cache_key, true AS cached, 0e0 AS duration_seconds FROM req SEMI JOIN stored USING (cache_key)",
     ),
     "run_summary": _sql(_SUFFIX_SPOTS, _summary(False)),
+    "run_summary_all_repos": _sql(
+        _SUFFIX_SPOTS,
+        f"SELECT * FROM (SELECT * FROM ({_summary(False)}) UNION ALL BY NAME SELECT 'none' AS repo_id, 0 AS file_count,"
+        " 0 AS ranked_files_count, 0 AS churn_files_count, 0 AS hotspot_count, 0 AS graph_nodes, 0 AS graph_edges,"
+        " 0 AS ast_symbol_count, 0 AS churn_total_contributors)"
+        " JOIN (SELECT s.repo_id, coalesce(n, 0) AS total_files_with_commits,"
+        f" strftime(DATE '{b.AS_OF}' - INTERVAL {b.MONTHS} MONTH, '%Y-%m-%d') || ' to {b.AS_OF}' AS period"
+        " FROM (SELECT DISTINCT repo_id FROM b_tags UNION ALL SELECT 'none') s"
+        " LEFT JOIN (SELECT repo_id, count(DISTINCT path) AS n FROM win GROUP BY ALL) t ON t.repo_id = s.repo_id)"
+        " USING (repo_id)",
+    ),
     "cached_summary": _sql(_SUFFIX_SPOTS, _summary(True)),
     "report_ranked": _sql(
         _RANKS,

@@ -33,12 +33,16 @@ def repo_map(tags: DataFrame) -> dict[str, DataFrame]:
 
 
 def churn_report(
-    commit_files: DataFrame, as_of: dt.date | str, months: int = 6, k: int | None = ch.TOP_FILES
+    commit_files: DataFrame,
+    as_of: dt.date | str,
+    months: int = 6,
+    k: int | None = ch.TOP_FILES,
+    repos: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Window label, file count and churn table of each repository."""
     window = ch.history_window(commit_files, as_of, months)
     return {
-        "churn_totals": ch.churn_totals(window, as_of, months),
+        "churn_totals": ch.churn_totals(window, as_of, months, repos),
         "churn": ch.churn_files(window, k),
     }
 
@@ -74,15 +78,19 @@ def analyze(
     as_of: dt.date | str,
     months: int = 6,
     files: DataFrame | None = None,
+    k: int | None = ch.TOP_FILES,
+    match: str = hotspots.SUFFIX,
 ) -> dict[str, DataFrame]:
     """All results of an analysis for the repositories in ``repos(repo_id, repo_url, repo_name)``.
 
+    Each of them has a row in ``summary``, ``churn_totals`` and ``summary_documents``, also one without tags or history.
+    ``k`` is the length of the churn table, None for all files, and ``match`` how ranked files find their churn rows.
     ``files`` is a listing or manifest with one row per file; without it the files that have tags are counted.
     """
     listing = tags.select("repo_id", "path").distinct() if files is None else files
-    results = {**repo_map(tags), **churn_report(commit_files, as_of, months)}
-    results["hotspots"] = hotspots.hotspots(results["ranked_files"], results["churn"])
-    results["matrix"] = hotspots.prioritization_matrix(results["ranked_files"], results["churn"])
+    results = {**repo_map(tags), **churn_report(commit_files, as_of, months, k, repos)}
+    results["hotspots"] = hotspots.hotspots(results["ranked_files"], results["churn"], match, k)
+    results["matrix"] = hotspots.prioritization_matrix(results["ranked_files"], results["churn"], match, k)
     results["summary"] = usage.run_summary(
         file_counts(listing),
         results["ranked_files"],
@@ -90,6 +98,7 @@ def analyze(
         results["churn"],
         results["hotspots"],
         results["symbol_totals"],
+        repos,
     )
     results["summary_documents"] = summary_documents(
         repos, results["summary"], results["churn_totals"], results["churn"]

@@ -11,7 +11,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.churn import TOP_FILES
 from ..operators.hotspots import hotspot_order
 from ..functions.positions import all_positions
 from ..functions.urls import cache_key
@@ -30,13 +29,14 @@ def _entries(df: DataFrame, section: str, position: Column, fields: list[str]) -
 
 
 def summary_documents(repos: DataFrame, summary: DataFrame, churn_totals: DataFrame, churn: DataFrame) -> DataFrame:
-    """One bounded document per repository: its name and address, sizes, and the churn table."""
+    """One document per repository: its name and address, sizes, and the churn table, as many rows as were asked for."""
     order = ["position", "filename", *[c for c in churn.columns if c not in ("repo_id", "position", "filename")]]
-    rows = churn.where(F.col("position") <= TOP_FILES).select("repo_id", F.struct(*order).alias("_row"))
-    top = rows.groupBy("repo_id").agg(F.array_sort(F.collect_list("_row")).alias("top_files"))
+    rows = churn.select("repo_id", F.struct(*order).alias("_row"))
+    top = rows.groupBy("repo_id").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    listed = F.coalesce("_rows", F.from_json(F.lit("[]"), top.schema["_rows"].dataType)).alias("top_files")
     history = (
         churn_totals.join(top, "repo_id", "left")
-        .select("repo_id", F.struct("period", "total_files_with_commits", "top_files").alias("churn"))
+        .select("repo_id", F.struct("period", "total_files_with_commits", listed).alias("churn"))
     )
     sizes = [c for c in summary.columns if c not in ("repo_id", "file_count")]
     doc = F.to_json(F.struct("repo_name", "repo_url", "file_count", F.struct(*sizes).alias("sizes"), "churn"))
