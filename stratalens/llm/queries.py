@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, packing, pfair_mix, quality_rules, span_graph, url_filter
+from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, oracles, packing, pfair_mix, quality_rules, span_graph, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,4 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pfair_mix,
     )
 }
-ORACLES: dict[str, str] = {}
+# Tokenizers, Viterbi, signatures and fitted windows have no SQL form.
+ORACLES: dict[str, str] = {
+    "op2_hilbert_shards": oracles.shards_sql(SHARDS),
+    "op3_host_rules": oracles.RULES_SQL,
+    "op4_de_bruijn_spans": oracles.SPANS_SQL,
+    "op5_line_suffixes": oracles.LINES_SQL,
+    "op10_pfair_mix": oracles.mix_sql(),
+}

@@ -278,3 +278,12 @@ def test_pipeline_stages(spark, documents):
     assert rows[3].keys() == {d for (d, _), c in zip(texts, brute_near(texts)[1]) if d == c}
     assert rows[4] == rows[3]
     assert {r["doc_id"] for r in kept[-1].collect()} == rows[4].keys()
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_queries_agree_with_sql(spark, name, monkeypatch):
+    from tools import check_oracles
+
+    monkeypatch.setattr(check_oracles, "QUERIES", queries.QUERIES)
+    monkeypatch.setattr(check_oracles, "ORACLES", queries.ORACLES)
+    assert check_oracles.compare(spark, "/root/testdata/sf0.001", name) == ""
