@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="stratalens-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share; it goes when the session ends.
 
@@ -21,8 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="stratalens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     folder = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
