@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -110,7 +112,10 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, rules: Rules = Rule
     The prior is Beta(m s, (1 - m) s): m is the failure rate of all rows, s follows from how far the hosts' rates spread
     beyond what chance alone gives (method of moments). Only one row of sums reaches the driver.
     """
-    hosts = judged.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
+    # Stored, so that texts are counted once for it and its size is known when it is joined to them.
+    hosts = store(
+        judged.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
+    )
     total = hosts.agg(
         F.sum("n_docs").alias("n"),
         F.sum("n_failed").alias("k"),
