@@ -105,6 +105,7 @@ def tag_files(
     code = F.col("_content")
     if patterns:
         code = F.coalesce(blank_skipped_text(code, _lookup(patterns, "string", lang)), code)
+    code = F.regexp_replace(code, r"[ \t\x0B\f]+", " ")
     file_rules = _lookup(by_lang, "array<struct<kind:string,pattern:string>>", lang)
 
     def all_tags(lines: Column) -> Column:

@@ -2,7 +2,8 @@
 
 The rules are data. A user may pass other rows (``Rule`` tuples, or a table read with ``read_rules``) to the
 tag operators. A pattern is a Java regular expression whose first group is the name; it is applied to each
-line after comments and strings are blanked.
+line after comments and strings are blanked and runs of blanks are one blank. A test of what stands before a name
+may therefore take white space to be one character.
 """
 
 from __future__ import annotations
@@ -182,11 +183,11 @@ def _call(lang: str, name: str = IDENTIFIER, before: str = "", after: str = "",
 _JS_NAME = r"[A-Za-z_$][\w$]*"
 _JS_FUNCTION = rf"(?:async\s+)?(?:function\b|\([^()]*\)\s*(?::[^=]*)?=>|{_JS_NAME}\s*=>)"
 _JS_CONTROL = _not_word("if for while switch catch function return constructor with".split())
-_JS_METHOD_HEAD = r"^\s*(?:(?:static|async|get|set|public|private|protected|override|readonly)\s+|\*\s*){0,6}"
+_JS_METHOD_HEAD = r"^\s*(?:(?:static|async|get|set|public|private|protected|override|readonly)\s+|\*\s*)*"
 
 _JAVA_MODIFIERS = "public private protected static final abstract synchronized native default strictfp".split()
 _JAVA_METHOD = (
-    rf"^\s*(?:(?:{'|'.join(_JAVA_MODIFIERS)})\s+){{0,8}}(?:<[^>]*>\s+)?"
+    rf"^\s*(?:(?:{'|'.join(_JAVA_MODIFIERS)})\s+)*(?:<[^>]*>\s+)?"
     rf"{_not_word(_JAVA_MODIFIERS + 'return new else throw case assert'.split())}"
     r"[\w.]+(?:<[^=;(){}]*>)?(?:\[\])*\s+([A-Za-z_$][\w$]*)\s*\("
 )
@@ -194,18 +195,18 @@ _CS_MODIFIERS = (
     "public private protected internal static virtual override abstract sealed async extern unsafe new partial readonly"
 ).split()
 _CS_METHOD = (
-    rf"^\s*(?:(?:{'|'.join(_CS_MODIFIERS)})\s+){{0,8}}"
+    rf"^\s*(?:(?:{'|'.join(_CS_MODIFIERS)})\s+)*"
     rf"{_not_word(_CS_MODIFIERS + 'return else throw case await yield using lock goto delegate'.split())}"
     r"[\w.]+(?:<[^=;(){}]*>)?(?:\[\])*\??\s+([A-Za-z_]\w*)\s*(?:<[^>()]*>)?\("
 )
 # A name after a type or another word is being declared; one after these words is being called.
 _NOT_DECLARED = (
-    r"(?:(?<=\b(?:return|else|throw|case|assert|await|yield|do)\s{1,4})"
-    r"|(?<![\w$\]]\s{0,4})(?<!\w[>*&]\s{1,4}))"
+    r"(?:(?<=\b(?:return|else|throw|case|assert|await|yield|do)\s)"
+    r"|(?<![\w$\]]\s?)(?<!\w[>*&]\s))"
 )
 _C_FUNCTION = (
     rf"^\s*{_not_word('return else goto case typedef if while for switch sizeof new delete throw using'.split())}"
-    r"(?:[A-Za-z_][\w:<>,]*[\s*&]+){1,6}?"
+    r"(?:[A-Za-z_][\w:<>,]*[\s*&]+)+?"
 )
 
 RULES: list[Rule] = [
@@ -219,11 +220,11 @@ RULES: list[Rule] = [
     Rule("cpp", "def", "class", r"\bstruct\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^:;][^;]*)?(?:\{|$)"),
     Rule("cpp", "def", "class", r"^\s*union\s+([A-Za-z_]\w*)\s*(?:\{|$|\w)"),
     Rule("cpp", "def", "function", _C_FUNCTION + r"(?<!::)(~?[A-Za-z_]\w*)\s*\("),
-    Rule("cpp", "def", "method", r"^\s*(?:[A-Za-z_][\w:<>,]*[\s*&]+){0,6}?[A-Za-z_]\w*::([A-Za-z_]\w*)\s*\("),
+    Rule("cpp", "def", "method", r"^\s*(?:[A-Za-z_][\w:<>,]*[\s*&]+)*?[A-Za-z_]\w*::([A-Za-z_]\w*)\s*\("),
     Rule("cpp", "def", "type", r"^\s*(?:typedef\b[^(){}]*[\s*]|\}\s*)([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?;"),
     Rule("cpp", "def", "type", r"\benum\s+(?!class\b|struct\b)([A-Za-z_]\w*)"),
     Rule("cpp", "def", "type", r"\benum\s+(?:class|struct)\s+([A-Za-z_]\w*)"),
-    Rule("cpp", "def", "class", r"(?<!\benum\s{1,4})\bclass\s+([A-Za-z_]\w*)(?!\s*[>,])"),
+    Rule("cpp", "def", "class", r"(?<!\benum\s)\bclass\s+([A-Za-z_]\w*)(?!\s*[>,])"),
     # c_sharp
     Rule("c_sharp", "def", "class", r"\bclass\s+([A-Za-z_]\w*)"),
     Rule("c_sharp", "def", "interface", r"\binterface\s+([A-Za-z_]\w*)"),
@@ -242,7 +243,7 @@ RULES: list[Rule] = [
     Rule("c_sharp", "ref", "class", r"\bwhere\s+\w+\s*:\s*(?!class\b|struct\b|new\b|notnull\b)([A-Za-z_]\w*)"),
     Rule(
         "c_sharp", "ref", "class",
-        r"^\s*(?:(?:public|private|protected|internal|static|readonly|const|volatile)\s+){0,6}"
+        r"^\s*(?:(?:public|private|protected|internal|static|readonly|const|volatile)\s+)*"
         rf"{_not_word(KEYWORDS['c_sharp'])}([A-Za-z_]\w*)\s+[A-Za-z_]\w*\s*(?:=(?!=)|;|,)",
     ),
     Rule("c_sharp", "ref", "send", r"\.\s*([A-Za-z_]\w*)\s*\("),
@@ -251,7 +252,7 @@ RULES: list[Rule] = [
     Rule("elisp", "def", "function", r"\(\s*defmacro\s+([^\s()'\"`,;\[\]]+)"),
     Rule(
         "elisp", "ref", "function",
-        r"(?<![^\s('`,@])(?<!\bdef(?:un|subst|macro)\s{1,4})(?!(?:defun|defsubst|defmacro|let\*?|if|cond|while|quote"
+        r"(?<![^\s('`,@])(?<!\bdef(?:un|subst|macro)\s)(?!(?:defun|defsubst|defmacro|let\*?|if|cond|while|quote"
         r"|function|progn|setq|and|or|lambda)[\s)])(?![:&?\d.])([^\s()'\"`,;\[\]]+)",
     ),
     # elixir: the forms that define things are calls themselves
@@ -285,7 +286,7 @@ RULES: list[Rule] = [
     Rule("go", "def", "method", r"^func\s*\([^)]*\)\s*([A-Za-z_]\w*)"),
     Rule("go", "def", "type", r"^\s*type\s+([A-Za-z_]\w*)"),
     Rule("go", "def", "type", r"^\s+([A-Z]\w*)\s+(?:struct|interface)\s*\{"),
-    Rule("go", "ref", "call", _call("go", before=r"(?<!\bfunc\s{1,4})(?<!\)\s{1,4})")),
+    Rule("go", "ref", "call", _call("go", before=r"(?<!\bfunc\s)(?<!\)\s)")),
     Rule("go", "ref", "type", r"^\s*type\s+([A-Za-z_]\w*)"),
     Rule("go", "ref", "type", r"(?:\*|\[\]|&)\s*([A-Z]\w*)(?![\w(.])"),
     Rule("go", "ref", "type", r"(?<![\w.*&\]])([A-Z]\w*)\{"),
@@ -310,10 +311,10 @@ RULES: list[Rule] = [
     Rule("javascript", "def", "function", rf"\bfunction\s*\*?\s*({_JS_NAME})"),
     Rule("javascript", "def", "function", rf"\b(?:const|let|var)\s+({_JS_NAME})\s*=\s*{_JS_FUNCTION}"),
     Rule("javascript", "def", "function",
-         rf"(?<!\b(?:const|let|var)\s{{1,4}})(?<![\w$])({_JS_NAME})\s*=\s*{_JS_FUNCTION}"),
+         rf"(?<!\b(?:const|let|var)\s)(?<![\w$])({_JS_NAME})\s*=\s*{_JS_FUNCTION}"),
     Rule("javascript", "def", "function", rf"(?<![\w$?])({_JS_NAME})\s*:\s*{_JS_FUNCTION}"),
     Rule("javascript", "ref", "call",
-         _call("javascript", _JS_NAME, r"(?<!\b(?:function|new)\s{1,4})(?<!\bfunction\s{0,4}\*\s{0,4})",
+         _call("javascript", _JS_NAME, r"(?<!\b(?:function|new)\s)(?<!\bfunction\s?\*\s?)",
                r"[^()]*\)\s*\{", extra="require")),
     Rule("javascript", "ref", "class", rf"\bnew\s+({_JS_NAME}(?:\.{_JS_NAME})*)"),
     # ocaml
@@ -324,49 +325,49 @@ RULES: list[Rule] = [
     Rule("ocaml", "def", "function", r"\bexternal\s+([a-z_][\w']*)"),
     Rule("ocaml", "def", "function", r"\b(?:let|and)\s+(?:rec\s+)?\(\s*([^\s\w()]+)\s*\)"),
     Rule("ocaml", "def", "class", r"\bclass\s+(?:type\s+)?(?:virtual\s+)?(?:\[[^\]]*\]\s*)?([a-z_][\w']*)"),
-    Rule("ocaml", "def", "method", r"\bmethod!?\s+(?:(?:private|virtual)\s+){0,2}([a-z_][\w']*)"),
+    Rule("ocaml", "def", "method", r"\bmethod!?\s+(?:(?:private|virtual)\s+)*([a-z_][\w']*)"),
     Rule("ocaml", "ref", "module", r"\b([A-Z][\w']*)\s*\."),
     Rule("ocaml", "ref", "module", r"\b(?:open|include)!?\s+(?:[A-Z][\w']*\.)*([A-Z][\w']*)(?![\w'.])"),
     Rule("ocaml", "ref", "implementation", r"\bmodule\s+[A-Z][\w']*\s*:\s*(?:[A-Z][\w']*\.)*([A-Z][\w']*)(?![\w'.])"),
     Rule("ocaml", "ref", "call",
-         r"(?<![\w'#~?])(?<!\b(?:let|and|rec|method|external|val|class|type|fun|inherit|new)\s{1,4})"
+         r"(?<![\w'#~?])(?<!\b(?:let|and|rec|method|external|val|class|type|fun|inherit|new)\s)"
          rf"{_not_word(KEYWORDS['ocaml'])}([a-z_][\w']*)(?=\s+(?!(?:then|else|in|do|done|with|of|and|when|to|as)\b)[\w(\[~])"),
     Rule("ocaml", "ref", "call", r"([a-z_][\w']*)\s*@@"),
     Rule("ocaml", "ref", "call", r"\|>\s*(?:[A-Z][\w']*\.)*([a-z_][\w']*)(?!\s+[\w(\[~])"),
     Rule("ocaml", "ref", "call",
-         r"(?<![!$%&*+\-/<=>@^|~?:])(?!->|<-|\|\]|:|=(?![=<>@^|&+\-*/$%])|\|(?![|>]))([!$%&*+\-/<=>@^|~]{1,8}|:=|mod\b|land\b|lor\b)"),
+         r"(?<![!$%&*+\-/<=>@^|~?:])(?!->|<-|\|\]|:|=(?![=<>@^|&+\-*/$%])|\|(?![|>]))([!$%&*+\-/<=>@^|~]+|:=|mod\b|land\b|lor\b)"),
     Rule("ocaml", "ref", "class", r"\b(?:inherit|new)!?\s+(?:[A-Z][\w']*\.)*([a-z_][\w']*)"),
     Rule("ocaml", "ref", "call", r"#\s*([a-z_][\w']*)"),
     # php
     Rule("php", "def", "class", r"(?<![:$>\w])class\s+([A-Za-z_]\w*)"),
     Rule("php", "def", "function", r"\bfunction\s+&?\s*([A-Za-z_]\w*)"),
     Rule("php", "ref", "class", r"\bnew\s+\\?(?:\w+\\)*([A-Za-z_]\w*)"),
-    Rule("php", "ref", "call", _call("php", before=r"(?<!\b(?:function|new)\s{1,4})(?<!\bfunction\s{1,4}&)(?<!\bnew\s\\?[\w\\]{0,99})")),
+    Rule("php", "ref", "call", _call("php", before=r"(?<!\b(?:function|new)\s)(?<!\bfunction\s&)(?<!\bnew\s\\?[\w\\]{0,99})")),
     # python
     Rule("python", "def", "class", r"^\s*class\s+([A-Za-z_]\w*)"),
     Rule("python", "def", "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"),
-    Rule("python", "ref", "call", _call("python", before=r"(?<!\b(?:def|class)\s{1,4})")),
+    Rule("python", "ref", "call", _call("python", before=r"(?<!\b(?:def|class)\s)")),
     # ql
     Rule("ql", "def", "function",
-         rf"^(?:(?:private|cached|deprecated|external|pragma\[\w+\])\s+){{0,4}}(?!class\b|module\b|newtype\b|import\b)[A-Za-z]\w*\s+([a-z]\w*)\s*\("),
+         rf"^(?:(?:private|cached|deprecated|external|pragma\[\w+\])\s+)*(?!class\b|module\b|newtype\b|import\b)[A-Za-z]\w*\s+([a-z]\w*)\s*\("),
     Rule("ql", "def", "method",
-         rf"^\s+(?:(?:private|override|final|abstract|cached|deprecated)\s+){{0,4}}{_not_word('and or not if then else in exists forall'.split())}[A-Za-z]\w*\s+([a-z]\w*)\s*\([^()]*\)\s*(?:\{{|$|;)"),
+         rf"^\s+(?:(?:private|override|final|abstract|cached|deprecated)\s+)*{_not_word('and or not if then else in exists forall'.split())}[A-Za-z]\w*\s+([a-z]\w*)\s*\([^()]*\)\s*(?:\{{|$|;)"),
     Rule("ql", "def", "module", r"\bmodule\s+([A-Za-z]\w*)"),
     Rule("ql", "def", "class", r"\bclass\s+([A-Z]\w*)"),
     Rule("ql", "def", "class", r"\bnewtype\s+([A-Z]\w*)"),
     Rule("ql", "def", "class", r"(?:^\s*newtype\s+\w+\s*=|^\s*(?:=|or))\s*([A-Z]\w*)\s*\("),
     Rule("ql", "ref", "call",
-         r"(?<![\w.$])(?<!\b(?!(?:and|or|not|if|then|else|in|where|select)\s)[A-Za-z]\w{0,60}\s{1,4})"
+         r"(?<![\w.$])(?<!\b(?!(?:and|or|not|if|then|else|in|where|select)\s)[A-Za-z]\w{0,60}\s)"
          rf"{_not_word(KEYWORDS['ql'])}([a-z]\w*)\s*\("),
     Rule("ql", "ref", "call", r"\.\s*([a-z]\w*)\s*\("),
-    Rule("ql", "ref", "type", r"(?<!\bclass\s{1,4})(?<!\bnewtype\s{1,4})(?<!\bmodule\s{1,4})\b([A-Z]\w*)\b(?!\s*(?:\(|::))"),
+    Rule("ql", "ref", "type", r"(?<!\bclass\s)(?<!\bnewtype\s)(?<!\bmodule\s)\b([A-Z]\w*)\b(?!\s*(?:\(|::))"),
     # ruby: every name is a reference, a call with a receiver is one twice
     Rule("ruby", "def", "method", r"\bdef\s+(?:\w+\.)?([A-Za-z_]\w*[?!=]?)"),
     Rule("ruby", "def", "method", r"\balias\s+:?([A-Za-z_]\w*[?!=]?)"),
     Rule("ruby", "def", "class", r"\bclass\s+(?:[A-Z]\w*::)*([A-Z]\w*)"),
     Rule("ruby", "def", "module", r"\bmodule\s+(?:[A-Z]\w*::)*([A-Z]\w*)"),
     Rule("ruby", "ref", "call", r"\.\s*([a-z_]\w*[?!]?)"),
-    Rule("ruby", "ref", "call", _call("ruby", r"[a-z_]\w*[?!]?", before=r"(?<![.:@$])(?<!\bdef\s{1,4})")),
+    Rule("ruby", "ref", "call", _call("ruby", r"[a-z_]\w*[?!]?", before=r"(?<![.:@$])(?<!\bdef\s)")),
     Rule(
         "ruby", "ref", "call",
         r"(?<![\w:@$])"
@@ -383,7 +384,7 @@ RULES: list[Rule] = [
     Rule("rust", "def", "interface", r"\btrait\s+([A-Za-z_]\w*)"),
     Rule("rust", "def", "module", r"\bmod\s+([A-Za-z_]\w*)"),
     Rule("rust", "def", "macro", r"\bmacro_rules!\s*([A-Za-z_]\w*)"),
-    Rule("rust", "ref", "call", _call("rust", before=r"(?<!\bfn\s{1,4})(?<!::)(?<!\bstruct\s{1,4})(?<!#\[)")),
+    Rule("rust", "ref", "call", _call("rust", before=r"(?<!\bfn\s)(?<!::)(?<!\bstruct\s)(?<!#\[)")),
     Rule("rust", "ref", "call", r"(?<![\w:])(?!macro_rules\b)([A-Za-z_]\w*)!\s*[(\[{]"),
     Rule("rust", "ref", "implementation",
          r"^\s*(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+!?([A-Za-z_]\w*)(?:<[^{]*>)?\s+for\b"),
@@ -392,15 +393,15 @@ RULES: list[Rule] = [
     # typescript: an interface is captured twice
     Rule("typescript", "def", "function", rf"\bdeclare\s+function\s+({_JS_NAME})"),
     Rule("typescript", "def", "method", rf"^\s+{_JS_CONTROL}({_JS_NAME})\??\s*(?:<[^>()]*>)?\([^()]*\)\s*:[^{{=]*;"),
-    Rule("typescript", "def", "method", rf"^\s*(?:\w+\s+){{0,3}}abstract\s+(?:\w+\s+){{0,3}}?({_JS_NAME})\s*(?:<[^>()]*>)?\("),
+    Rule("typescript", "def", "method", rf"^\s*(?:\w+\s+)*abstract\s+(?:\w+\s+)*?({_JS_NAME})\s*(?:<[^>()]*>)?\("),
     Rule("typescript", "def", "class", rf"\babstract\s+class\s+({_JS_NAME})"),
     Rule("typescript", "def", "module", rf"\bmodule\s+({_JS_NAME})"),
     Rule("typescript", "def", "interface", rf"\binterface\s+({_JS_NAME})"),
-    Rule("typescript", "ref", "type", rf"(?<!\?\s{{0,2}}):\s*{_not_word('string number boolean any void never unknown object symbol undefined null'.split())}({_JS_NAME})(?![\w$.(:]|\s*=>)"),
+    Rule("typescript", "ref", "type", rf"(?<!\?\s?):\s*{_not_word('string number boolean any void never unknown object symbol undefined null'.split())}({_JS_NAME})(?![\w$.(:]|\s*=>)"),
     Rule("typescript", "ref", "class", rf"\bnew\s+({_JS_NAME})\s*[(<]"),
-    Rule("typescript", "def", "function", rf"(?<!\bdeclare\s{{1,4}})\bfunction\s+({_JS_NAME})"),
+    Rule("typescript", "def", "function", rf"(?<!\bdeclare\s)\bfunction\s+({_JS_NAME})"),
     Rule("typescript", "def", "method", rf"{_JS_METHOD_HEAD}{_JS_CONTROL.replace('|constructor', '')}({_JS_NAME})\s*(?:<[^>()]*>)?\([^()]*\)\s*(?::[^{{}};=]*)?\{{"),
-    Rule("typescript", "def", "class", rf"(?<!\babstract\s{{1,4}})\bclass\s+(?!extends\b)({_JS_NAME})"),
+    Rule("typescript", "def", "class", rf"(?<!\babstract\s)\bclass\s+(?!extends\b)({_JS_NAME})"),
     Rule("typescript", "def", "class", rf"\binterface\s+({_JS_NAME})"),
     Rule("typescript", "def", "type", rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+({_JS_NAME})[^=]*="),
     Rule("typescript", "def", "enum", rf"\benum\s+({_JS_NAME})"),
