@@ -197,6 +197,17 @@ def test_elias_fano(n, top):
     assert (elias_fano.find(elias_fano.encode(values), asked) == want).all()
 
 
+def test_elias_fano_of_a_frequent_context():
+    """Most numbers in a small part of the range, as a frequent context gives: long runs of ones, few zeros."""
+    rng = np.random.default_rng(4)
+    near = np.uint64(1 << 62) + rng.integers(0, 1 << 30, 30_000, dtype=np.uint64)
+    values = np.unique(np.concatenate([near, rng.integers(0, 2**64 - 1, 500, dtype=np.uint64)]))
+    asked = np.concatenate([values, values + np.uint64(1), values - np.uint64(1)])
+    place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    want = np.where(values[place] == asked, place, -1)
+    assert (elias_fano.find(elias_fano.encode(values), asked) == want).all()
+
+
 @pytest.mark.parametrize("table", ["odd", "repeated", "none", "documents"])
 @pytest.mark.parametrize("per_file", [None, 500])
 def test_language_model(table, per_file, request, monkeypatch):
