@@ -92,11 +92,17 @@ def assign_shards(
     doc_id: str = "doc_id",
     text: str = "text",
     bits: int = BITS,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, text_crc32, the bins, curve, shard, slot: one row per row of ``docs``."""
+    """doc_id, size, text_crc32, the bins, curve, shard, slot: one row per row of ``docs``.
+
+    ``row`` names a column of ``docs`` without repeats: it orders ties and comes first.
+    """
+    keys = [row] if row else []
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = store(
         docs.select(
+            *keys,
             F.col(doc_id).alias("doc_id"),
             *(F.col(d).alias(d) for d in dims),
             (F.length(body) + ROW_BYTES).cast("long").alias("size"),
@@ -111,7 +117,7 @@ def assign_shards(
     keyed = binned.withColumn("curve", curve_index(cells, bits)).drop(*dims)
     placed = store(
         running_sums(
-            keyed, {"_bytes": F.col("size"), "_rows": F.lit(1)}, ["curve", "doc_id", "size", "text_crc32"]
+            keyed, {"_bytes": F.col("size"), "_rows": F.lit(1)}, ["curve", "doc_id", "size", "text_crc32", *keys]
         ).withColumn(
             # the middle of the row decides, so that each cut is at the row border nearest to the even one
             "shard",
@@ -120,13 +126,14 @@ def assign_shards(
     )
     first = placed.groupBy("shard").agg(F.min("_rows").alias("_first"))
     return placed.join(first, "shard").select(
-        "doc_id", "size", "text_crc32", *(f"bin_{d}" for d in dims), "curve", "shard", (F.col("_rows") - F.col("_first")).alias("slot")
+        *keys, "doc_id", "size", "text_crc32", *(f"bin_{d}" for d in dims), "curve", "shard", (F.col("_rows") - F.col("_first")).alias("slot")
     )
 
 
 def write_shards(docs: DataFrame, shards: int, folder: str, doc_id: str = "doc_id", **options) -> None:
-    """Write ``docs`` as one Parquet folder per shard, rows in the order of the curve. Ids must be unique here."""
-    places = assign_shards(docs, shards, doc_id=doc_id, **options).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    joined = docs.join(places, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id")
+    """Write ``docs`` as one Parquet folder per shard, rows in the order of the curve. Ids may be null or repeat."""
+    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+    places = assign_shards(keyed, shards, doc_id=doc_id, row="_row", **options).select("_row", "shard", "slot")
+    joined = keyed.join(places, "_row").drop("_row")
     ordered = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     ordered.drop("slot").write.partitionBy("shard").parquet(folder)

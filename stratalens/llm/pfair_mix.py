@@ -104,15 +104,18 @@ def interleave(
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    row: str | None = None,
 ) -> DataFrame:
     """doc_id, source, size, block (of its source, from 0), released, due, slot: one row per row of ``docs``.
 
     ``weights`` has source and weight, each source once; one that it lacks gets the least share, a slot in each period.
     Without it a source weighs the square root of its bytes, which evens sizes out. ``slots`` is raised to four times the
-    number of sources where that is more.
+    number of sources where that is more. ``row`` names a column of ``docs`` without repeats: it orders ties and comes first.
     """
+    keys = [row] if row else []
     rows = store(
         docs.select(
+            *keys,
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             (F.length(F.coalesce(F.col(text), F.lit("")).cast("binary")) + ROW_BYTES).cast("long").alias("size"),
@@ -129,7 +132,7 @@ def interleave(
     counts = store(slot_counts(weights, slots))
     period = store(schedule(counts, slots))
     numbered = counts.select(F.col("source").alias("_source"), "number", "q")
-    blocks = running_sums(rows, {"_before": F.col("size")}, ["doc_id", "size"], ["source"]).withColumn(
+    blocks = running_sums(rows, {"_before": F.col("size")}, ["doc_id", "size", *keys], ["source"]).withColumn(
         "block", F.expr(f"_before div {block_bytes}")
     )
     placed = blocks.join(numbered, F.col("source").eqNullSafe(F.col("_source"))).withColumns(
@@ -137,6 +140,7 @@ def interleave(
     )
     ahead = F.col("_period") * slots
     return placed.join(period.drop("q"), ["number", "i"]).select(
+        *keys,
         "doc_id",
         "source",
         "size",
@@ -148,9 +152,15 @@ def interleave(
 def mix(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` in the order of the schedule: files written from it hold runs of slots, each mixed to the weights.
 
-    Ids must be unique.
+    Ids may be null or repeat: rows find their slots by a number of their own, stored so that it stays the same.
     """
-    slots = store(interleave(docs, doc_id=doc_id, **options).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot")))
-    joined = docs.join(slots, F.col(doc_id).eqNullSafe(F.col("_id")))
-    ordered = joined.repartitionByRange(partitions(docs.sparkSession), "_slot", "_id").sortWithinPartitions("_slot", "_id")
-    return ordered.select(*(docs[c] for c in docs.columns))
+    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+    slots = store(
+        interleave(keyed, doc_id=doc_id, row="_row", **options).select(
+            F.col("_row").alias("_key"), F.col("doc_id").alias("_id"), F.col("slot").alias("_slot")
+        )
+    )
+    joined = keyed.join(slots, F.col("_row") == F.col("_key"))
+    order = ["_slot", "_id", "_row"]
+    ordered = joined.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return ordered.select(*(keyed[c] for c in docs.columns))

@@ -79,6 +79,21 @@ def test_written_shards(spark, documents, tmp_path):
     assert sorted(map(tuple, back.drop("shard").collect())) == sorted(map(tuple, documents.collect()))
 
 
+@pytest.mark.parametrize("table", ["odd", "repeated", "none"])
+def test_shards_and_mix_keep_every_row_once(spark, table, request, tmp_path):
+    """Rows of one id, rows without an id and fully equal rows are neither lost nor multiplied."""
+    docs = request.getfixturevalue(table)
+    no_id = docs.where("rank % 3 = 0").selectExpr("cast(null as long) as doc_id", *docs.columns[1:])
+    docs = docs.unionByName(no_id)
+    want = Counter(map(tuple, docs.collect()))
+    mixed = pfair_mix.mix(docs, block_bytes=2000)
+    assert mixed.columns == docs.columns
+    assert Counter(map(tuple, mixed.collect())) == want
+    if want:
+        hilbert_shards.write_shards(docs, 5, str(tmp_path / "out"))
+        assert Counter(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*docs.columns).collect())) == want
+
+
 @pytest.mark.parametrize("quotas", [[1, 1, 1], [5, 3, 2], [97, 1, 1, 1], [13, 7, 29, 51], [100]])
 def test_schedule_is_pfair(spark, quotas):
     slots = sum(quotas)
