@@ -1,6 +1,6 @@
 """Documents that share most of their word shingles: MinHash LSH forest, then exact verification.
 
-Texts of the same words are one class of copies, and only its smallest id goes on. Every tree of the forest holds the
+Texts of the same words are one class of copies, and only one of them goes on, under a number of its own. Every tree of the forest holds the
 signatures as sequences of ``DEPTH`` values, a prefix trie. A match of full depth is only likely for very similar texts, so
 the matched prefix is shortened level by level until a pair at the threshold meets in some tree with the target recall.
 Texts under one node of that depth are candidates:
@@ -13,8 +13,9 @@ Texts under one node of that depth are candidates:
 Links join texts into near-duplicate classes by large-star and small-star rounds.
 
 Defined results: a text without words (null, empty, blank) is a class of its own without links; one of fewer words than a
-shingle has one shingle, all its words; repeated rows are copies and each get a row; a null id is kept, but such rows are
-one class with the copies of their text only if that text also has an id; an empty table gives an empty table.
+shingle has one shingle, all its words; repeated rows are copies and each get a row; rows without an id and different texts
+of one id link like others; a class is named by its smallest id, by null if it has none, so that texts of one id can give two
+classes one name, which ``one_of_each`` still tells apart; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import running_sums, store
 from .shingles import mixed, packed_text, shingle_set, texts_of, unpacked
@@ -63,7 +65,9 @@ def signatures(shingles: list[np.ndarray], values: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, depth: int, trees: int, deepest: int, words: int) -> DataFrame:
-    """doc, copy (hash of the words), keys (of the node in each tree), bytes (low bits of the signature)."""
+    """All columns but body, copy (hash of the words), keys (of the node in each tree), bytes (low bits of the signature)."""
+    kept = [c for c in docs.columns if c != "body"]
+    made = {"copy": T.BinaryType(), "keys": T.ArrayType(T.LongType()), "bytes": T.BinaryType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -80,15 +84,16 @@ def sign(docs: DataFrame, depth: int, trees: int, deepest: int, words: int) -> D
                     keys = mixed(keys + prefix[:, :, level] + np.arange(trees, dtype=np.uint64) * np.uint64(1 << 40))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc").take(pa.array(used, pa.int64())),
+                        *(part.column(c).take(pa.array(used, pa.int64())) for c in kept),
                         pa.array([hashlib.md5(b" ".join(texts[i])).digest() for i in used], pa.binary()),
                         pa.array([row.view(np.int64) for row in keys], pa.list_(pa.int64())),
                         pa.array([row.astype(np.uint8).tobytes() for row in values], pa.binary()),
                     ],
-                    names=["doc", "copy", "keys", "bytes"],
+                    names=[*kept, *made],
                 )
 
-    return docs.mapInArrow(run, "doc long, copy binary, keys array<long>, bytes binary")
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, kind) for c, kind in made.items()])
+    return docs.mapInArrow(run, schema)
 
 
 def _sets(packed: Column, words: int) -> Column:
@@ -219,25 +224,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(
-    docs: DataFrame,
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, class_id (smallest id of its near-duplicate class), n_links (documents of its similarity or more, copies
+    among them), copy_id (smallest id of the same words): one row per row of ``docs``. For ``options`` see ``grouped``."""
+    bodies = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
+    return _per_row(bodies, *grouped(bodies, **options))
+
+
+def grouped(
+    bodies: DataFrame,
     threshold: float = THRESHOLD,
     words: int = WORDS,
-    doc_id: str = "doc_id",
-    text: str = "text",
     trees: int = TREES,
     deepest: int = DEPTH,
     recall: float = RECALL,
     small: int = SMALL,
     block: int = BLOCK,
-) -> DataFrame:
-    """doc_id, class_id (smallest id of its near-duplicate class), n_links (documents of its similarity or more, copies
-    among them), copy_id (smallest id of the same words): one row per row of ``docs``."""
-    bodies = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
+) -> tuple[DataFrame, DataFrame]:
+    """``bodies`` (doc, body, others) with words, signed; and for each copy its copy_id, class_id, n_links and root, which
+    is the number of its class."""
+    bodies = bodies.withColumn("own", F.unhex(F.md5(F.col("body").cast("binary"))))
     signed = store(sign(bodies, depth_for(threshold, trees, deepest, recall), trees, deepest, words))
-    copies = store(signed.groupBy("copy").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    reps = copies.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc"), "copies", "copy")
-    forest = store(signed.join(reps, ["doc", "copy"]).dropDuplicates(["doc"]).select("doc", "copies", "keys", "bytes"))
+    found = signed.groupBy("copy").agg(F.min("doc").alias("rep"), F.min("own").alias("own"), F.count("*").alias("copies"))
+    # Numbers follow the ids, none last: the smallest number of a class has its smallest id.
+    ordered = running_sums(found.withColumn("none", F.col("rep").isNull()), {"number": F.lit(1)}, ["none", "rep", "copy"])
+    copies = store(ordered.drop("none"))
+    # From here to the classes, doc is the number of a distinct text.
+    numbers = copies.select("copy", F.col("number").alias("doc"), "copies")
+    forest = store(
+        signed.select("copy", "keys", "bytes").dropDuplicates(["copy"]).join(numbers, "copy").select("doc", "copies", "keys", "bytes")
+    )
 
     postings = forest.select("doc", F.explode("keys").alias("node"))
     nodes = postings.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("hub")).where("n > 1")
@@ -287,10 +303,11 @@ def near_duplicates(
         .unionByName(placed.select("doc"))
         .distinct()
     )
+    owners = copies.select(F.col("number").alias("doc"), "own").join(wanted, "doc")
     sets = store(
-        bodies.select("doc", packed_text(F.col("body")).alias("packed"))
-        .join(wanted.hint("merge"), "doc", "left_semi")  # no size bound: never a broadcast
-        .dropDuplicates(["doc"])
+        bodies.select("own", packed_text(F.col("body")).alias("packed"))
+        .dropDuplicates(["own"])  # in each task first, so a text of many rows is not one task's
+        .join(owners.hint("merge"), "own")  # no size bound: never a broadcast
         .select("doc", _sets(F.col("packed"), words).alias("set"))
     )
     verified = store(
@@ -318,23 +335,28 @@ def near_duplicates(
         .agg(F.sum("links").alias("links"))
     )
     roots = components(verified.unionByName(dense.where("b is not null").select("a", "b")))
+    named = roots.join(copies.select(F.col("number").alias("root"), F.col("rep").alias("least")), "root")
     classes = store(
-        copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(counted.withColumnRenamed("a", "rep"), "rep", "left")
+        copies.join(named.withColumnRenamed("node", "number"), "number", "left")
+        .join(counted.withColumnRenamed("a", "number"), "number", "left")
         .select(
             "copy",
             F.col("rep").alias("copy_id"),
-            F.coalesce("root", "rep").alias("class_id"),
+            F.coalesce("least", "rep").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("root", "number").alias("root"),
         )
     )
-    return _per_row(bodies, signed, classes)
+    return signed, classes
+
+
+def _wordless(bodies: DataFrame) -> DataFrame:
+    return bodies.where(~F.coalesce(F.col("body").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
 
 
 def _per_row(bodies: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per document; those without words are not in ``signed``."""
-    wordless = bodies.where(~F.coalesce(F.col("body").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    alone = wordless.select(
+    alone = _wordless(bodies).select(
         F.col("doc").alias("doc_id"),
         F.col("doc").alias("class_id"),
         F.lit(0).cast("long").alias("n_links"),
@@ -348,7 +370,17 @@ def _per_row(bodies: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFr
     )
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each near-duplicate class; ids must be unique."""
-    first = near_duplicates(docs, doc_id=doc_id, **options).where("doc_id = class_id or doc_id is null")
-    return docs.join(first.select(F.col("doc_id").alias("_id")), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row, of the smallest id, of each near-duplicate class. A row without an id stays only if its class
+    has none. Of equal rows without words one stays, if they have an id; without one each is a class of its own."""
+    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+    bodies = keyed.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), F.col("_row").alias("row"))
+    signed, classes = grouped(bodies, **options)
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("best")
+    worded = (
+        signed.groupBy("copy").agg(best).join(classes, "copy").groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    )
+    blank = _wordless(bodies)
+    alone = blank.where("doc is not null").groupBy("doc", F.md5(F.col("body").cast("binary"))).agg(F.min("row").alias("row"))
+    first = worded.unionByName(alone.select("row")).unionByName(blank.where("doc is null").select("row"))
+    return keyed.join(first.withColumnRenamed("row", "_first"), F.col("_row") == F.col("_first"), "left_semi").drop("_row")

@@ -54,6 +54,49 @@ def test_repeated_rows_are_copies(repeated):
     assert {r["class_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
 
 
+@pytest.mark.parametrize("options", [{}, {"small": 1, "block": 2}])
+def test_rows_without_or_with_reused_ids(spark, options):
+    """Null ids link like others, also where a text has no other row; different texts of one id are told apart; one row of
+    each class stays."""
+    rng = random.Random(7)
+    a, b, c, d = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "abcd")
+    near = lambda words, at: " ".join([*words[:at], "other", *words[at + 1 :]])
+    a, b, c, d, e = " ".join(a), near(a, 20), near(a, 60), " ".join(b), " ".join(c)
+    f, g = near(e.split(), 0), " ".join(d_ for d_ in reversed(d.split()))
+    rows = [
+        (None, a), (None, a), (None, b), (None, c),  # a class without any id
+        (5, d), (5, d), (5, e), (None, near(d.split(), 3)),  # repeated rows, and two texts of one id
+        (9, f), (3, near(d.split(), 79)), (None, f), (5, g),
+        (1, ""), (1, ""), (None, None), (None, ""),
+    ]
+    links, _ = brute_near([(0, t) for _, t in rows])
+    names = [None] * 4 + [3, 3, 5, 3, 5, 3, 5, 5, 1, 1, None, None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_forest.near_duplicates(docs, **options).collect()
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    want = [(i, n, k) for (i, _), n, k in zip(rows, names, links)]
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=key) == sorted(want, key=key)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_forest.one_of_each(docs, **options).collect()]
+    assert sum(i is None and t in (a, b, c) for i, t in kept) == 1
+    rest = [(i, t or "") for i, t in kept if t not in (a, b, c)]
+    want = [(3, near(d.split(), 79)), (5, e), (5, g), (1, ""), (None, ""), (None, "")]
+    assert sorted(rest, key=key_text) == sorted(want, key=key_text)
+
+
+def key_text(row):
+    return row[0] is not None, row[0] or 0, row[1]
+
+
+@pytest.mark.parametrize("table", ["odd", "repeated"])
+def test_one_row_of_each_class_stays(table, request):
+    docs = request.getfixturevalue(table)
+    rows = sorted({(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()})
+    want = [d for (d, _), c in zip(rows, brute_near(rows)[1]) if d == c]
+    kept = jaccard_forest.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_large_group_in_blocks(spark):
     """A group of near copies far larger than a block: counts are exact, the class is whole."""
     rng = random.Random(11)
