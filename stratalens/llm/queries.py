@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, oracles, packing, pfair_mix, quality_rules, span_graph, url_filter
+from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, oracles, packing, pfair_mix, piece_rounds, quality_rules, span_graph, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +65,16 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return pfair_mix.interleave(_table(spark, folder, "documents"))
 
 
+def op13_merge_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    texts = piece_rounds.decode(piece_rounds.encode(_table(spark, folder, "documents"), PIECES), PIECES)
+    return texts.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_host_words,
         op9_ngram_trie,
         op10_pfair_mix,
+        op13_merge_rounds,
     )
 }
 # Tokenizers, Viterbi, signatures and fitted windows have no SQL form.
