@@ -84,6 +84,68 @@ FROM documents a LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN
 """
 
 
+# Table of the checksum by bytes, and the checksum of a string by that table (t).
+_CRC_TABLE = """
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(x AS UBIGINT) FOR x IN range(8)]),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS v FROM range(256) g(i))"""
+
+
+def _crc(text: str) -> str:
+    return (
+        f"xor(CAST(4294967295 AS UBIGINT), list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST('0x' || h AS UBIGINT) "
+        f"FOR h IN regexp_extract_all(hex(encode({text})), '..')]), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])))"
+    )
+
+
+def _leaf(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+    return f"sha256({' || '.join(field.format(v) for v in values)})"
+
+
+def _levels(name: str, start: str) -> str:
+    """Nodes (tree, lvl, pos, digest) of all trees; ``start`` gives the leaves."""
+    return f"""{name}(tree, lvl, pos, digest) AS (
+  {start}
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM (
+    SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}) WHERE c > 1 GROUP BY tree, lvl, pos // 2
+)"""
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}
+), d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE leaf END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+  FROM documents, tab
+), {_levels('low', "SELECT tree, 0, pos, leaf FROM d")
+}, tops AS (
+  SELECT tree, max(lvl) AS height, arg_max(digest, lvl) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM low GROUP BY tree
+), {_levels('high', "SELECT '', 0, pos, subroot FROM tops")
+}, nodes AS (
+  SELECT * FROM low UNION ALL SELECT * FROM high
+), fold(doc_id, tree, home, lvl, pos, digest, others) AS (
+  SELECT doc_id, tree, tree, 0, pos, changed, '' FROM d
+  UNION ALL
+  SELECT doc_id,
+    CASE WHEN f.tree <> '' AND f.lvl = height THEN '' ELSE f.tree END, home,
+    CASE WHEN f.tree <> '' AND f.lvl = height THEN 0 ELSE f.lvl + 1 END,
+    CASE WHEN f.tree <> '' AND f.lvl = height THEN t.pos ELSE f.pos // 2 END,
+    CASE WHEN f.tree <> '' AND f.lvl = height THEN f.digest WHEN f.pos % 2 = 1 THEN sha256(n.digest || f.digest)
+      ELSE sha256(f.digest || coalesce(n.digest, '')) END,
+    CASE WHEN f.tree <> '' AND f.lvl = height THEN others ELSE others || coalesce(n.digest, '') END
+  FROM fold f JOIN tops t ON t.tree = home LEFT JOIN nodes n ON n.tree = f.tree AND n.lvl = f.lvl AND n.pos = xor(f.pos, 1)
+  WHERE f.tree <> '' OR f.lvl < (SELECT max(lvl) FROM high)
+)
+SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM fold JOIN d USING (doc_id) JOIN tops ON tops.tree = home,
+  (SELECT max(lvl) AS last, arg_max(digest, lvl) AS root FROM high)
+WHERE fold.tree = '' AND lvl = last
+"""
+
+
 def shards_sql(shards: int) -> str:
     bits, side = hilbert_shards.BITS, 1 << hilbert_shards.BITS
     digits, states = hilbert_shards.curve_tables(3)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, ngram_trie, oracles, packing, pfair_mix, piece_rounds, quality_rules, span_graph, url_filter
+from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, merkle_versions, ngram_trie, oracles, packing, pfair_mix, piece_rounds, quality_rules, span_graph, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,15 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return pfair_mix.interleave(_table(spark, folder, "documents"))
 
 
+def op11_path_copies(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    longer = docs["n_chars"].cast("decimal(20,0)") + 1
+    rows = merkle_versions.manifest(docs, {"n_chars": longer}, merkle_versions.tampered(docs["doc_id"]))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle_versions.proof(rows["steps"]).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 def op13_merge_rounds(spark: SparkSession, folder: str) -> DataFrame:
     texts = piece_rounds.decode(piece_rounds.encode(_table(spark, folder, "documents"), PIECES), PIECES)
     return texts.select(
@@ -88,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_host_words,
         op9_ngram_trie,
         op10_pfair_mix,
+        op11_path_copies,
         op13_merge_rounds,
     )
 }
@@ -98,4 +108,5 @@ ORACLES: dict[str, str] = {
     "op4_de_bruijn_spans": oracles.SPANS_SQL,
     "op5_line_suffixes": oracles.LINES_SQL,
     "op10_pfair_mix": oracles.mix_sql(),
+    "op11_path_copies": oracles.MANIFEST_SQL,
 }
