@@ -146,6 +146,36 @@ WHERE fold.tree = '' AND lvl = last
 """
 
 
+VARIANTS_SQL = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}
+), r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+    FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+), h AS (
+  SELECT run, n, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r, tab
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) AS BIGINT) + 2:] ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), x AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS without FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT a.word AS u, b.word AS v FROM x a JOIN x b ON a.i = b.i AND a.without = b.without AND a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON x.without = w.word
+  UNION SELECT w.word, x.word FROM x JOIN w ON x.without = w.word
+), b AS (
+  SELECT u AS word, count(*) AS n_near, max(n) AS near_n, arg_min(v, (-n, v)) AS near FROM p JOIN w ON w.word = v GROUP BY u
+), f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM w LEFT JOIN b USING (word)
+), t(word, now, far) AS (
+  SELECT word, word, 0 FROM w
+  UNION ALL SELECT t.word, f.form, far + 1 FROM t JOIN f ON f.word = t.now WHERE f.form IS NOT NULL
+), root AS (SELECT word, arg_max(now, far) AS root FROM t GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""
+
+
 def shards_sql(shards: int) -> str:
     bits, side = hilbert_shards.BITS, 1 << hilbert_shards.BITS
     digits, states = hilbert_shards.curve_tables(3)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, merkle_versions, ngram_trie, oracles, packing, pfair_mix, piece_rounds, quality_rules, span_graph, url_filter
+from . import hilbert_ann, hilbert_shards, jaccard_forest, line_suffixes, merkle_versions, ngram_trie, oracles, packing, pfair_mix, piece_rounds, quality_rules, span_graph, spelling_fst, url_filter
 
 SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,10 @@ def op11_path_copies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_variant_machine(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_fst.spelling_variants(_table(spark, folder, "documents"))
+
+
 def op13_merge_rounds(spark: SparkSession, folder: str) -> DataFrame:
     texts = piece_rounds.decode(piece_rounds.encode(_table(spark, folder, "documents"), PIECES), PIECES)
     return texts.select(
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ngram_trie,
         op10_pfair_mix,
         op11_path_copies,
+        op12_variant_machine,
         op13_merge_rounds,
     )
 }
@@ -109,4 +114,5 @@ ORACLES: dict[str, str] = {
     "op5_line_suffixes": oracles.LINES_SQL,
     "op10_pfair_mix": oracles.mix_sql(),
     "op11_path_copies": oracles.MANIFEST_SQL,
+    "op12_variant_machine": oracles.VARIANTS_SQL,
 }
