@@ -6,6 +6,9 @@ Each is one SQL text that both Spark and DuckDB read the same way.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .plans.samples import SAMPLES
 
 COMMIT_FILES = """
 SELECT concat('r', l_suppkey % 3) AS repo_id,
@@ -61,6 +64,12 @@ UNION ALL SELECT concat('  https://github.com/org', p_partkey % 50, '/Repo.', p_
 UNION ALL SELECT concat('https://github.com/', p_brand, '/', p_name) FROM {part}
 """
 
+# Place of a file of code for each part; the text is a sample with the part's number put in.
+_CODE_REPO = "concat('r', p_partkey % 5)"
+_CODE_PATH = "concat('src/d', p_size % 3, '/f', p_partkey, '.{extension}')"
+
+CODE_PARTITIONS = 32
+
 # Instant and length of the history window used with COMMIT_FILES.
 AS_OF = "2001-08-01"
 MONTHS = 6
@@ -77,6 +86,23 @@ def bind(spark: SparkSession, folder: str, text: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def code_files(spark: SparkSession, folder: str, langs: list[str]) -> DataFrame:
+    """A file in each language for each row of the part table."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    texts = F.explode(F.array(*(F.struct(F.lit(SAMPLES[x].extension).alias("extension"), F.lit(SAMPLES[x].text).alias("text")) for x in langs)))
+    path = F.concat(F.expr(_CODE_PATH.removesuffix("{extension}')") + "')"), F.col("s.extension"))
+    number = F.col("p_partkey").cast("string")
+    # Narrow rows become texts: they are spread before, whatever the number of files.
+    rows = part.select("p_partkey", "p_size").repartition(CODE_PARTITIONS).select("p_partkey", "p_size", texts.alias("s"))
+    return rows.select(F.expr(_CODE_REPO).alias("repo_id"), path.alias("path"), F.replace("s.text", F.lit("{k}"), number).alias("content"))
+
+
+def code_sql(lang: str, values: str, columns: str, select: str) -> str:
+    """SQL for what each file of ``code_files`` gives: rows of ``values`` as ``columns``, with the part's number put in."""
+    path = _CODE_PATH.format(extension=SAMPLES[lang].extension)
+    return f"SELECT {_CODE_REPO} AS repo_id, {path} AS path, {select} FROM part, (VALUES {values}) v({columns})"
+
+
 def plain_sql(text: str) -> str:
     """The binding ``text`` with its tables named directly."""
     return text.format(**{name: name for name in TABLES})

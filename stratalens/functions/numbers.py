@@ -41,7 +41,8 @@ def in_window(ts: Column, as_of: dt.date | str, months: int) -> Column:
     start = window_start(as_of, months).cast("timestamp_ntz")
     if _has_time(as_of):
         return ts.between(start, F.lit(as_of).cast("timestamp_ntz"))
-    return (ts >= start) & (ts < F.date_add(_day(as_of), 1).cast("timestamp_ntz"))
+    last = F.date_add(_day(as_of), 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND")
+    return ts.between(start, last)
 
 
 def period_label(as_of: dt.date | str, months: int) -> Column:

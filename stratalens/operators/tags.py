@@ -1,7 +1,9 @@
 """Definition and reference tags from source text.
 
-A tag is what a capture rule matches on a line of the file's text, once comments and strings are blanked.
-Everything about one file is computed from its own row, so tagging is a map: no shuffle, whatever the corpus.
+A tag is what a capture rule matches in the code of a file, which is its text without comments and literals (``lexing``).
+A rule sees the whole code at once: each of its matches is put back with its name between two marks, and the line a name is on
+is the line its marks are on. Everything about one file is computed from its own row, so tagging is a map: no shuffle,
+whatever the corpus.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
-from ..sources.rules import EXTENSION_LANGUAGES, IDENTIFIER, KEYWORDS, RULES, SKIPPED_TEXT, Rule
+from ..sources.lexing import LANGUAGES, scanned
+from ..sources.rules import EXTENSION_LANGUAGES, IDENTIFIER, KEYWORDS, RULES, Rule, marking
 
 # Line number of a reference that was filled in from identifier tokens.
 BACKFILLED_LINE = -1
@@ -21,7 +24,11 @@ BACKFILLED_LINE = -1
 # Longest piece of a source line that is shown.
 LINE_TEXT_LIMIT = 100
 
-_MARK = "\u0001"
+_MARK, _END = "\u0001", "\u0002"
+# What is left of a match: the same text, with the name set off.
+_SET_OFF = f"${{skip}}${{before}}{_MARK}${{name}}{_END}${{after}}${{pass}}"
+# What is not a name: the start of a line, what stands after a name, and matches without a name.
+_REST = f"(?m)(?:^|{_END})[^{_MARK}\n]*+(?:{_MARK}{_END}[^{_MARK}\n]*+)*+"
 
 
 def _lookup(table: dict, value_type: str, key: Column) -> Column:
@@ -43,7 +50,7 @@ def blank_skipped_text(content: Column, pattern: Column) -> Column:
     Line numbers stay valid. Matches are set off by a control character, which splits the text into pieces of
     code (even places) and skipped text (odd places).
     """
-    marked = F.regexp_replace(F.replace(content, F.lit(_MARK), F.lit(" ")), pattern, F.lit(f"{_MARK}$0{_MARK}"))
+    marked = F.regexp_replace(content, pattern, F.lit(f"{_MARK}$0{_MARK}"))
     pieces = F.transform(
         F.split(marked, _MARK),
         lambda piece, i: F.when(i % 2 == 0, piece).otherwise(
@@ -53,9 +60,9 @@ def blank_skipped_text(content: Column, pattern: Column) -> Column:
     return F.array_join(pieces, "")
 
 
-def _tag(line: Column, name: Column, kind: Column, text: Column | None) -> Column:
-    fields = [line.alias("line"), name.alias("name"), kind.alias("kind")]
-    return F.struct(*fields) if text is None else F.struct(*fields, text.alias("text"))
+def _hit(line: Column, kind: Column, extra: dict[str, Column], names: Column) -> Column:
+    """Tags of one kind on one line."""
+    return F.struct(line.alias("line"), kind.alias("kind"), *(v.alias(k) for k, v in extra.items()), names.alias("names"))
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,19 +70,29 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _captured(rule: Column, lines: Column, with_text: bool) -> Column:
-    """All tags one rule gives in a file. Rules go outside and lines inside, so a pattern is compiled once per file."""
+def _names_by_line(rules: list[Rule]) -> Column:
+    """For each rule its kind and a text with the code's line breaks and, each after a mark, the names found on each line.
 
-    def of_line(line: Column, i: Column) -> Column:
-        found = F.regexp_extract_all(line["code"], rule["pattern"], F.lit(1))
-        text = None
-        if with_text:
-            text = F.when(rule["kind"] == "def", F.substring(line["shown"], 1, LINE_TEXT_LIMIT))
-        return F.transform(
-            F.filter(found, lambda name: F.length(name) > 0), lambda name: _tag(i, name, rule["kind"], text)
-        )
+    Patterns are literals, so each is compiled once in a task; of the code only the names and the line breaks are kept.
+    """
+
+    def names(rule: Rule) -> Column:
+        marked = F.regexp_replace("_code", F.lit(marking(rule.pattern)), F.lit(_SET_OFF))
+        return F.struct(F.lit(rule.kind).alias("kind"), F.regexp_replace(marked, _REST, "").alias("lines"))
+
+    return F.array(*map(names, rules))
+
+
+def _captured(found: Column, file: Column, extra: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """All hits of one rule in a file."""
+    lines = F.transform(F.split(found["lines"], "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+
+    def of_line(at: Column) -> Column:
+        names = F.split(F.substr(at["line"], F.lit(2)), _MARK)
+        number = F.coalesce(F.get(file["numbers"], at["i"]), at["i"])
+        return _hit(number, found["kind"], extra(found["kind"], at["i"]), names)
 
-    return F.flatten(F.transform(lines, of_line))
+    return F.transform(F.filter(lines, lambda at: F.length(at["line"]) > 0), of_line)
 
 
 def tag_files(
@@ -86,57 +103,93 @@ def tag_files(
     keywords: dict[str, list[str]] | None = None,
     backfill: bool = True,
     with_text: bool = False,
+    with_scopes: bool = False,
 ) -> DataFrame:
-    """Tags of all files in a language that has rules: ``repo_id, path, line, name, kind[, text]``.
+    """Tags of all files in a language that has rules: ``repo_id, path, line, name, kind[, text][, scopes]``.
 
     Lines count from 0. A file with definitions and no references gets one reference per identifier token of
-    its text, on line -1, duplicates kept, when ``backfill`` is set. ``with_text`` adds the start of the line
-    a definition is on, so that source text need not be joined back later.
+    its code, on line -1, duplicates kept, when ``backfill`` is set. ``with_text`` adds the start of the line
+    a definition is on, so that source text need not be joined back later. ``with_scopes`` adds the heads that enclose
+    a definition, outermost first: line and text.
+
+    ``skipped`` gives, instead of the language's own way, a regular expression of what is not code; a language that has
+    neither is code as a whole, with no scopes.
     """
     rules = RULES if rules is None else rules
-    skipped = SKIPPED_TEXT if skipped is None else skipped
     keywords = KEYWORDS if keywords is None else keywords
     langs = sorted({rule.lang for rule in rules})
     lang = F.col("_lang")
 
-    by_lang = {name: [r._asdict() for r in rules if r.lang == name] for name in langs}
-    patterns = {name: f"(?ms){skipped[name]}" for name in langs if skipped.get(name)}
     words = {name: list(keywords[name]) for name in langs if keywords.get(name)}
-    code = F.col("_content")
-    if patterns:
-        code = F.coalesce(blank_skipped_text(code, _lookup(patterns, "string", lang)), code)
-    code = F.regexp_replace(code, r"[ \t\x0B\f]+", " ")
-    file_rules = _lookup(by_lang, "array<struct<kind:string,pattern:string>>", lang)
-
-    def all_tags(lines: Column) -> Column:
-        return F.flatten(F.transform(file_rules, lambda rule: _captured(rule, lines, with_text)))
-
-    pieces = [F.split("_code", "\n").alias("code")]
-    if with_text:
-        pieces.append(F.split("_content", "\n").alias("shown"))
-    tagged = (
+    found = F.lit(None)
+    for name in langs:
+        found = F.when(lang == name, _names_by_line([r for r in rules if r.lang == name])).otherwise(found)
+    content = F.translate(F.regexp_replace("content", r"\r\n?", "\n"), _MARK + _END, "  ")
+    files = (
         files.select("repo_id", "path", language_of(F.col("path"), extensions).alias("_lang"), "content")
         .where(lang.isin(langs) & (F.length("content") > 0))
-        .withColumn("_content", F.regexp_replace("content", r"\r\n?", "\n"))
-        .withColumn("_code", code)
-        .withColumn("_tags", _with(F.arrays_zip(*pieces), all_tags))
+        .withColumn("_content", content)
+    )
+    if skipped is None and any(name in LANGUAGES for name in langs):
+        files = files.withColumn("_scan", scanned(F.col("_content"), lang, with_scopes))
+        code, numbers, heads = F.coalesce("_scan.code", "_content"), F.col("_scan.numbers"), F.col("_scan.heads")
+        files = files.withColumn("_arguments", F.col("_scan.arguments"))
+    else:
+        patterns = {name: f"(?ms){skipped[name]}" for name in langs if (skipped or {}).get(name)}
+        code = F.col("_content")
+        if patterns:
+            code = F.coalesce(blank_skipped_text(code, _lookup(patterns, "string", lang)), code)
+        code = F.regexp_replace(code, r"[ \t\x0B\f]+", " ")
+        numbers, heads = F.lit(None).cast("array<int>"), F.lit(None).cast("array<array<int>>")
+
+    def all_hits(file: Column) -> Column:
+        def shown(number: Column) -> Column:
+            return F.substring(F.get(file["shown"], number), 1, LINE_TEXT_LIMIT)
+
+        def extra(kind: Column, i: Column) -> dict[str, Column]:
+            more = {}
+            if with_text:
+                more["text"] = F.when(kind == "def", shown(F.coalesce(F.get(file["numbers"], i), i)))
+            if with_scopes:
+                enclosing = F.coalesce(F.get(file["heads"], i), F.array().cast("array<int>"))
+                more["scopes"] = F.when(
+                    kind == "def", F.transform(enclosing, lambda head: F.struct(head.alias("line"), shown(head).alias("text")))
+                )
+            return more
+
+        return F.flatten(F.transform(file["found"], lambda rule: _captured(rule, file, extra)))
+
+    pieces = [found.alias("found"), F.col("_numbers").alias("numbers")]
+    if with_text or with_scopes:
+        pieces.append(F.split("_content", "\n").alias("shown"))
+    if with_scopes:
+        pieces.append(F.col("_heads").alias("heads"))
+    hits = F.col("_hits")
+    files = files.withColumns({"_code": code, "_numbers": numbers, "_heads": heads}).withColumn(
+        "_hits", _with(F.struct(*pieces), all_hits)
     )
-    tags = F.col("_tags")
     if backfill:
-        tags = F.concat(tags, _filled_references(tags, _lookup(words, "array<string>", lang), with_text))
-    return tagged.select("repo_id", "path", F.inline(tags))
+        source = F.concat_ws(" ", "_code", "_arguments") if "_arguments" in files.columns else F.col("_code")
+        more = {}
+        if with_text:
+            more["text"] = F.lit(None).cast("string")
+        if with_scopes:
+            more["scopes"] = F.lit(None).cast("array<struct<line:int,text:string>>")
+        hits = F.concat(hits, _filled_references(hits, source, _lookup(words, "array<string>", lang), more))
+    found = files.select("repo_id", "path", F.inline(hits))
+    more = [c for c in ("text", "scopes") if c in found.columns]
+    return found.select("repo_id", "path", "line", F.explode("names").alias("name"), "kind", *more)
 
 
-def _filled_references(tags: Column, reserved: Column, with_text: bool) -> Column:
-    """One reference per identifier token of the code when ``tags`` holds definitions only."""
+def _filled_references(hits: Column, code: Column, reserved: Column, extra: dict[str, Column]) -> Column:
+    """References to every identifier token of the code when ``hits`` holds definitions only."""
     tokens = F.filter(
-        F.regexp_extract_all("_code", F.lit(IDENTIFIER), F.lit(0)),
+        F.regexp_extract_all(code, F.lit(IDENTIFIER), F.lit(0)),
         lambda token: ~F.coalesce(F.array_contains(reserved, token), F.lit(False)),
     )
-    text = F.lit(None).cast("string") if with_text else None
-    filled = F.transform(tokens, lambda token: _tag(F.lit(BACKFILLED_LINE), token, F.lit("ref"), text))
-    only_defs = F.exists(tags, lambda t: t["kind"] == "def") & ~F.exists(tags, lambda t: t["kind"] == "ref")
-    return F.when(only_defs, filled).otherwise(F.slice(tags, 1, 0))
+    only_defs = F.exists(hits, lambda t: t["kind"] == "def") & ~F.exists(hits, lambda t: t["kind"] == "ref")
+    filled = _hit(F.lit(BACKFILLED_LINE), F.lit("ref"), extra, tokens)
+    return F.when(only_defs, F.array(filled)).otherwise(F.slice(hits, 1, 0))
 
 
 def tag_definitions(files: DataFrame, rules: list[Rule] | None = None, **options) -> DataFrame:

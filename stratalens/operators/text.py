@@ -1,4 +1,4 @@
-"""The repository map as text: per file the source lines that hold its ranked definitions."""
+"""The repository map as text: per file the source lines that hold its ranked definitions, below the heads that enclose them."""
 
 from __future__ import annotations
 
@@ -10,16 +10,16 @@ from .tags import LINE_TEXT_LIMIT
 
 
 def repo_map_lines(definitions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(repo_id, path, line, text) of definitions whose name is referred to in their repository.
+    """(repo_id, path, line, text) of definitions whose name is referred to in their repository, and of their enclosing heads.
 
-    ``definitions`` must carry the line text (``with_text=True``), so source text is not joined back.
+    ``definitions`` must carry the line text (``with_text=True``), so source text is not joined back, and shows heads where it
+    carries scopes (``with_scopes=True``).
     """
-    return (
-        definitions.where(F.col("kind") == "def")
-        .join(linked_names(pairs), REPO_NAME, "left_semi")
-        .select("repo_id", "path", "line", "text")
-        .distinct()
-    )
+    linked = definitions.where(F.col("kind") == "def").join(linked_names(pairs), REPO_NAME, "left_semi")
+    shown = F.array(F.struct("line", "text"))
+    if "scopes" in definitions.columns:
+        shown = F.concat(shown, "scopes")
+    return linked.select("repo_id", "path", F.inline(shown).alias("line", "text")).distinct()
 
 
 def repo_map_text(lines: DataFrame, graph_files: DataFrame) -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..operators import churn as ch
-from ..operators import graph, hotspots as hs, rank, tags as tg, text, tree, usage
+from ..operators import graph, hotspots as hs, rank, scopes, tags as tg, text, tree, usage
 from ..sources import history, results, usage_log
 from ..sources.files import file_counts, missing_files
-from ..sources.rules import Rule
+from ..sources.rules import RULES, Rule
 from . import pipelines
+from .samples import SAMPLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -308,6 +309,23 @@ def prose_graph(spark, folder):
     return graph.graph_sizes(graph.keep_pairs(_prose(spark, folder, PROSE_LINKED)))
 
 
+def _tags_of(lang: str) -> Query:
+    def query(spark, folder):
+        return tg.tag_files(b.code_files(spark, folder, [lang]), [rule for rule in RULES if rule.lang == lang])
+
+    query.__name__ = f"tags_{lang}"
+    return query
+
+
+def tag_scopes(spark, folder):
+    definitions = tg.tag_definitions(b.code_files(spark, folder, list(SAMPLES)), with_text=True, with_scopes=True)
+    return scopes.tag_scopes(definitions).withColumn("heads", F.array_join(F.transform("heads", lambda h: h.cast("string")), ","))
+
+
+def repo_map_scopes(spark, folder):
+    return pipelines.repo_map_blocks(b.code_files(spark, folder, list(SAMPLES)))
+
+
 def parse_numstat(spark, folder):
     """The commit_files binding written as log text and read back."""
     counts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("added", "removed")]
@@ -468,6 +486,7 @@ QUERIES: dict[str, Query] = {
         hotspots, hotspots_exact, hotspots_all_churn, prioritization_matrix,
         file_languages, extract_tags, backfill_refs, file_symbols, definition_tags,
         repo_map_lines, repo_map_text, prose_graph, parse_numstat,
+        *map(_tags_of, SAMPLES), tag_scopes, repo_map_scopes,
         symbol_tree, symbol_tree_of_text, tree_files, symbol_totals, symbol_search, total_files, missing_file_names,
         usage_totals, popular_repos, repo_popularity, recent_analyses, recent_leads, valid_leads, merged_analyses,
         exported_analyses, valid_repo_urls, cache_keys, new_repos_only, known_repos,

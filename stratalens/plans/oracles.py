@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .. import bindings as b
+from ..operators.tags import LINE_TEXT_LIMIT
+from .samples import SAMPLES, Sample
 
 _T = b.plain_sql(b.TAGS)
 _C = b.plain_sql(b.COMMIT_FILES)
@@ -376,7 +378,56 @@ def _sql(blocks: list[tuple[str, str]], query: str) -> str:
 
 _SUFFIX_SPOTS = _spots("churn")
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(_quoted(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+def _numbered(column: str) -> str:
+    return f"replace({column}, '{{k}}', CAST(p_partkey AS VARCHAR)) AS {column}"
+
+
+def _tags_of(lang: str) -> str:
+    sample = SAMPLES[lang]
+    rows = [(line, name, "def") for line, name, _ in sample.definitions] + [(line, name, "ref") for line, name in sample.references]
+    return b.code_sql(lang, _rows(rows), "line, name, kind", f"CAST(line AS INT) AS line, {_numbered('name')}, kind")
+
+
+def _scopes_of(lang: str) -> str:
+    sample = SAMPLES[lang]
+    named: dict[int, str] = {}
+    for line, name, _ in sorted(sample.definitions):
+        named.setdefault(line, name)
+    rows = [
+        (line, name, len(heads), ",".join(map(str, heads)), ".".join([*(named[h] for h in heads if h in named), name]))
+        for line, name, heads in {(a, n, tuple(h)) for a, n, h in sample.definitions}
+    ]
+    chosen = f"CAST(line AS INT) AS line, {_numbered('name')}, CAST(depth AS INT) AS depth, heads, {_numbered('qualified_name')}"
+    return b.code_sql(lang, _rows(rows), "line, name, depth, heads, qualified_name", chosen)
+
+
+def _map_lines(sample: Sample) -> list[int]:
+    """Lines that the map shows: definitions whose name a file of the repository refers to, in any language, and their heads."""
+    used = {name for s in SAMPLES.values() for _, name in s.references}
+    return sorted({at for line, name, heads in sample.definitions if name in used for at in (line, *heads)})
+
+
+def _map_of(lang: str) -> str:
+    sample = SAMPLES[lang]
+    text = sample.text.split("\n")
+    body = "\n".join(text[i] for i in _map_lines(sample))
+    lines = "string_split(replace(body, '{k}', CAST(p_partkey AS VARCHAR)), chr(10))"
+    shown = f"array_to_string([substring(x, 1, {LINE_TEXT_LIMIT}) FOR x IN {lines}], chr(10))"
+    return b.code_sql(lang, _rows([(body,)]), "body", f"concat(path, ':', chr(10), {shown}) AS text")
+
+
 ORACLES: dict[str, str] = {
+    **{f"tags_{lang}": _tags_of(lang) for lang in SAMPLES},
+    "tag_scopes": " UNION ALL ".join(_scopes_of(lang) for lang in SAMPLES),
+    "repo_map_scopes": " UNION ALL ".join(_map_of(lang) for lang in SAMPLES if _map_lines(SAMPLES[lang])),
     "churn_top_files": _sql(_WINDOW, "SELECT * FROM churn"),
     "churn_all_files": _sql(_WINDOW, "SELECT * FROM all_churn"),
     "churn_totals": _sql(

@@ -65,9 +65,9 @@ def ranked_tag_list(source_files: DataFrame, rules: list[Rule] | None = None, **
 
 
 def repo_map_blocks(source_files: DataFrame, rules: list[Rule] | None = None, **tagging) -> DataFrame:
-    """Source files to the repository map text, one block per file of the graph."""
+    """Source files to the repository map text, one block per file of the graph: definitions below the heads around them."""
     pairs = graph.keep_pairs(tg.tag_files(source_files, rules, **tagging))
-    definitions = tg.tag_definitions(source_files, rules, with_text=True, **tagging)
+    definitions = tg.tag_definitions(source_files, rules, with_text=True, with_scopes=True, **tagging)
     return text.repo_map_text(text.repo_map_lines(definitions, pairs), graph.file_degrees(pairs))
 
 
