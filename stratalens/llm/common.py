@@ -47,6 +47,19 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct: whatever their names, they cannot clash with an operator's own."""
+    return F.struct(*(docs[c].alias(c) for c in docs.columns))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it if ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums, store
+from .common import free_name, running_sums, store, whole_row
 
 BITS = 8
 ROW_BYTES = 16
@@ -130,10 +130,20 @@ def assign_shards(
     )
 
 
-def write_shards(docs: DataFrame, shards: int, folder: str, doc_id: str = "doc_id", **options) -> None:
-    """Write ``docs`` as one Parquet folder per shard, rows in the order of the curve. Ids may be null or repeat."""
-    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()))
-    places = assign_shards(keyed, shards, doc_id=doc_id, row="_row", **options).select("_row", "shard", "slot")
-    joined = keyed.join(places, "_row").drop("_row")
-    ordered = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    ordered.drop("slot").write.partitionBy("shard").parquet(folder)
+def write_shards(
+    docs: DataFrame,
+    shards: int,
+    folder: str,
+    dims: tuple[str, ...] = ("lang", "source", "n_chars"),
+    doc_id: str = "doc_id",
+    text: str = "text",
+    **options,
+) -> None:
+    """Write ``docs`` as one Parquet folder per shard, rows in the order of the curve. Ids may be null or repeat. Folders are
+    named by ``shard``, with underscores before it where ``docs`` has such a column."""
+    keyed = store(docs.select(whole_row(docs).alias("_kept"), F.monotonically_increasing_id().alias("_row")))
+    read = keyed.select("_row", *(F.col("_kept").getField(c).alias(c) for c in dict.fromkeys((doc_id, text, *dims))))
+    places = assign_shards(read, shards, dims, doc_id, text, row="_row", **options).select("_row", "shard", "slot")
+    ordered = keyed.join(places, "_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    name = free_name(docs, "shard")
+    ordered.select("_kept.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(folder)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running_sums, store
+from .common import running_sums, store, whole_row
 from .shingles import mixed, packed_text, shingle_set, texts_of, unpacked
 
 WORDS = 5
@@ -373,8 +373,9 @@ def _per_row(bodies: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFr
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row, of the smallest id, of each near-duplicate class. A row without an id stays only if its class
     has none. Of equal rows without words one stays, if they have an id; without one each is a class of its own."""
-    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()))
-    bodies = keyed.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), F.col("_row").alias("row"))
+    keyed = store(docs.select(whole_row(docs).alias("_kept"), F.monotonically_increasing_id().alias("_row")))
+    row = F.col("_kept")
+    bodies = keyed.select(row.getField(doc_id).cast("long").alias("doc"), row.getField(text).alias("body"), F.col("_row").alias("row"))
     signed, classes = grouped(bodies, **options)
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("best")
     worded = (
@@ -383,4 +384,4 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     blank = _wordless(bodies)
     alone = blank.where("doc is not null").groupBy("doc", F.md5(F.col("body").cast("binary"))).agg(F.min("row").alias("row"))
     first = worded.unionByName(alone.select("row")).unionByName(blank.where("doc is null").select("row"))
-    return keyed.join(first.withColumnRenamed("row", "_first"), F.col("_row") == F.col("_first"), "left_semi").drop("_row")
+    return keyed.join(first.withColumnRenamed("row", "_first"), F.col("_row") == F.col("_first"), "left_semi").select("_kept.*")

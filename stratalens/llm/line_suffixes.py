@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums, store
+from .common import running_sums, store, whole_row
 
 MIN_LINES = 2
 _KEY = ["doc", "twin"]
@@ -118,21 +118,26 @@ def keep_flags(removed: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated runs gone from ``text``, plus ``_lines``: a struct of n_lines, n_removed, deepest."""
+def dedup_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", result: str = "_lines"
+) -> DataFrame:
+    """``docs`` with repeated runs gone from ``text``, plus ``result``, a name that none of its columns has: a struct of
+    n_lines, n_removed, deepest."""
     gone = store(removed_lines(docs, min_lines, doc_id, text)).withColumnsRenamed({"doc": "_doc", "twin": "_twin"})
-    same = F.col(doc_id).eqNullSafe(F.col("_doc")) & (_twin(F.col(text)) == F.col("_twin"))
+    row = F.col("_row")
+    body = row.getField(text)
+    same = row.getField(doc_id).eqNullSafe(F.col("_doc")) & (_twin(body) == F.col("_twin"))
     # The lists have no size bound, so the join is the same at every size: never a broadcast.
-    joined = docs.join(gone.hint("merge"), same, "left").withColumns(
-        {"_all": F.split(F.col(text), "\n", -1), "_flags": keep_flags(F.col("removed"))}
+    joined = docs.select(whole_row(docs).alias("_row")).join(gone.hint("merge"), same, "left").withColumns(
+        {"_all": F.split(body, "\n", -1), "_flags": keep_flags(F.col("removed"))}
     )
     kept = F.filter("_all", lambda _, i: F.coalesce(F.get("_flags", i), F.lit(True)))
-    cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    cleaned = F.when(F.col("removed").isNull(), body).otherwise(F.array_join(kept, "\n"))
     counts = F.struct(
         F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("deepest", F.lit(0)).alias("deepest"),
     )
     return joined.select(
-        *(cleaned.alias(c) if c == text else docs[c] for c in docs.columns), counts.alias("_lines")
+        *(cleaned.alias(c) if c == text else row.getField(c).alias(c) for c in docs.columns), counts.alias(result)
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, running_sums, store
+from .common import partitions, running_sums, store, whole_row
 
 BLOCK_BYTES = 1 << 16
 SLOTS = 1000
@@ -149,18 +149,19 @@ def interleave(
     )
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` in the order of the schedule: files written from it hold runs of slots, each mixed to the weights.
 
     Ids may be null or repeat: rows find their slots by a number of their own, stored so that it stays the same.
     """
-    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+    keyed = store(docs.select(whole_row(docs).alias("_kept"), F.monotonically_increasing_id().alias("_row")))
+    read = [F.col("_kept").getField(c).alias(name) for c, name in ((doc_id, "doc_id"), (source, "source"), (text, "text"))]
     slots = store(
-        interleave(keyed, doc_id=doc_id, row="_row", **options).select(
+        interleave(keyed.select("_row", *read), row="_row", **options).select(
             F.col("_row").alias("_key"), F.col("doc_id").alias("_id"), F.col("slot").alias("_slot")
         )
     )
     joined = keyed.join(slots, F.col("_row") == F.col("_key"))
     order = ["_slot", "_id", "_row"]
     ordered = joined.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return ordered.select(*(keyed[c] for c in docs.columns))
+    return ordered.select("_kept.*")

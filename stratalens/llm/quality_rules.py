@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, whole_row
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -140,18 +140,20 @@ def prior(n: int, k: int, hosts: int, squares: float, rules: Rules) -> tuple[flo
     return mean * strength, (1 - mean) * strength
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """All columns of ``docs`` plus ``_quality``: a struct of the counts, base_failed, host_rate, bad_host and kept.
+def judge(
+    docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), result: str = "_quality"
+) -> DataFrame:
+    """All columns of ``docs`` plus ``result``, a name that none of them has: a struct of the counts, base_failed, host_rate, bad_host and kept.
 
     Two passes over the texts, none of which is shuffled: the first keeps only a row per host, the second judges
     each row against its host's verdict.
     """
-    counted = docs.withColumn("_c", text_counts(F.col(text)))
+    counted = docs.select(whole_row(docs).alias("_row"), F.col(host).alias("_at"), text_counts(F.col(text)).alias("_c"))
     c = {name: F.col(f"_c.{name}") for name in COUNTS}
     verdicts = host_verdicts(
-        counted.select(F.col(host).alias("_host"), any_failed(c, rules).alias("_failed")), "_host", "_failed", rules
+        counted.select(F.col("_at").alias("_host"), any_failed(c, rules).alias("_failed")), "_host", "_failed", rules
     )
-    joined = counted.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
+    joined = counted.join(verdicts, F.col("_at").eqNullSafe(F.col("_host")), "left")
     base = base_failed(c, rules)
     kept = ~base & ~(F.col("bad_host") & any_failed(c, rules))
     quality = F.struct(
@@ -161,4 +163,4 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
         F.col("bad_host"),
         kept.alias("kept"),
     )
-    return joined.select(*(docs[name] for name in docs.columns), quality.alias("_quality"))
+    return joined.select("_row.*", quality.alias(result))

@@ -16,8 +16,9 @@ Edges that are later copies, as coordinates (document, start, number), are joine
 Contents are compared by two 64-bit hashes, that of the anchor and that of the whole.
 
 Defined results: a null or blank text has no words; a text of fewer words than a window keeps them all; repeated rows of one
-id are one place, so they do not remove each other, and each gets its row; ids must tell different texts apart, null being
-an id, the smallest; an empty table gives an empty table.
+id are one place, so they do not remove each other, and each gets its row; different texts of one id are places of their own,
+in the order of a hash of the text; null is an id, the smallest; an empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def paths_of(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
 
 
 def _paths(docs: DataFrame, window: int, anchor: int, anchors_only: bool = False) -> DataFrame:
-    """anchor, and unless ``anchors_only`` content, doc, start, n: a row per path of every document."""
+    """anchor, and unless ``anchors_only`` content, doc, own, start, n: a row per path of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,17 +65,19 @@ def _paths(docs: DataFrame, window: int, anchor: int, anchors_only: bool = False
                 names = ["anchor"]
                 arrays = [pa.array(columns[0].view(np.int64))]
                 if not anchors_only:
-                    doc = np.repeat(part.column("doc").to_numpy(), [len(f[0]) for f in found])
+                    sizes = [len(f[0]) for f in found]
+                    doc, own = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("doc", "own"))
                     arrays += [
                         pa.array(columns[1].view(np.int64)),
                         pa.array(doc),
+                        pa.array(own),
                         pa.array(columns[2].astype(np.int32)),
                         pa.array(columns[3].astype(np.int32)),
                     ]
-                    names += ["content", "doc", "start", "n"]
+                    names += ["content", "doc", "own", "start", "n"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "anchor long" if anchors_only else "anchor long, content long, doc long, start int, n int"
+    schema = "anchor long" if anchors_only else "anchor long, content long, doc long, own long, start int, n int"
     return docs.mapInArrow(run, schema)
 
 
@@ -100,8 +103,9 @@ def _edges(packed: Column, spans: Column, window: int) -> Column:
 
 
 def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc, start, n: runs of edges whose words also start earlier. ``docs`` has doc (not null) and body."""
-    place = F.struct("doc", "start")
+    """doc, own, start, n: runs of edges whose words also start earlier. ``docs`` has doc and own (neither null), which tell
+    different texts apart, and body."""
+    place = F.struct("doc", "own", "start")
     # Counts are stored before they are joined: only a join of plain shuffles can split the rows of a hot anchor.
     counted = _paths(docs, window, anchor, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("c"))
     repeated = store(counted.where("c > 1").select("anchor"))
@@ -112,21 +116,23 @@ def later_edges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         )
     )
     copies = paths.join(contents.where("c > 1").select("anchor", "content", "first"), ["anchor", "content"])
-    whole = copies.where(place != F.col("first")).select("doc", "start", "n")
+    whole = copies.where(place != F.col("first")).select("doc", "own", "start", "n")
 
     branching = store(contents.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
-    ends = contents.join(branching, "anchor", "left_semi").select("first.doc", F.struct("anchor", "first.start", "n").alias("p"))
-    lists = ends.groupBy("doc").agg(F.collect_list("p").alias("paths"))
-    packed = docs.select("doc", packed_text(F.col("body")).alias("packed"))
+    ends = contents.join(branching, "anchor", "left_semi").select(
+        "first.doc", "first.own", F.struct("anchor", "first.start", "n").alias("p")
+    )
+    lists = ends.groupBy("doc", "own").agg(F.collect_list("p").alias("paths"))
+    packed = docs.select("doc", "own", packed_text(F.col("body")).alias("packed"))
     edges = store(
-        packed.join(lists, "doc")
-        .select("doc", F.explode(_edges(F.col("packed"), F.col("paths"), window)).alias("e"))
-        .select("doc", "e.*")
+        packed.join(lists, ["doc", "own"])
+        .select("doc", "own", F.explode(_edges(F.col("packed"), F.col("paths"), window)).alias("e"))
+        .select("doc", "own", "e.*")
     )
     met = edges.groupBy("anchor", "edge").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     shared = store(met.where("c > 1").drop("c"))
     alone = edges.join(shared, ["anchor", "edge"]).where(place != F.col("first"))
-    return whole.unionByName(alone.select("doc", "start", F.lit(1).alias("n")))
+    return whole.unionByName(alone.select("doc", "own", "start", F.lit(1).alias("n")))
 
 
 def _cleaned(packed: Column, spans: Column, window: int) -> Column:
@@ -158,10 +164,12 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank): one row per row of ``docs``."""
     bodies = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text).alias("body")
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"),
+        F.xxhash64(F.col(text)).alias("own"),
+        F.col(text).alias("body"),
     )
     later = later_edges(bodies, window, anchor)
-    spans = later.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    packed = bodies.select("doc", packed_text(F.col("body")).alias("packed"))
-    cleaned = packed.join(spans, "doc", "left").select("doc", _cleaned(F.col("packed"), F.col("spans"), window).alias("c"))
+    spans = later.groupBy("doc", "own").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    packed = bodies.select("doc", "own", packed_text(F.col("body")).alias("packed"))
+    cleaned = packed.join(spans, ["doc", "own"], "left").select("doc", _cleaned(F.col("packed"), F.col("spans"), window).alias("c"))
     return cleaned.select(F.nullif(F.col("doc"), F.lit(_NO_ID)).alias("doc_id"), "c.*")
