@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import jaccard_forest, line_suffixes, packing, pfair_mix, quality_rules
-from stratalens.llm.common import store
+from stratalens.llm.common import free_name, store
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,16 +19,18 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, or with a failed rule their host, reject are gone."""
-    return quality_rules.judge(docs).where("_quality.kept").drop("_quality")
+    found = free_name(docs, "_quality")
+    return quality_rules.judge(docs, result=found).where(f"{found}.kept").drop(found)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are gone; so is a document of which no line with a word is left."""
-    cleaned = line_suffixes.dedup_lines(docs)
-    shortened = F.col("_lines.n_removed") > 0
+    found = free_name(docs, "_lines")
+    cleaned = line_suffixes.dedup_lines(docs, result=found)
+    shortened = F.col(f"{found}.n_removed") > 0
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(shortened, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.where(~shortened | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_lines")
+    return cleaned.where(~shortened | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
