@@ -268,7 +268,7 @@ def test_all_queries_are_registered(spark):
     import corpus_pipeline
 
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op")}
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "line dedup", "n-gram Jaccard join", "mixing", "packing",
     ]
