@@ -6,7 +6,8 @@ equal ranks. Ranks keep the order of the ids, so suffixes of equal rank are neig
 intervals of a longest common prefix of at least that depth. A suffix whose rank nobody shares needs no further round and
 leaves, so rounds shrink to the repeated part. Intervals of depth ``min_lines`` are the starts of repeated runs; every
 suffix of one but the first in (doc_id, line) order begins a later copy, whose lines are removed. Runs longer than
-``min_lines`` are covered by the intervals of their own suffixes.
+``min_lines`` are covered by the intervals of their own suffixes. By default a run may be one line, so each line with a word
+stays where it stands first and nowhere else; the deeper intervals then tell how long the runs are that recur.
 
 Native: built-in functions only. Only ids and ranks are shuffled in the rounds, texts once at the end.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import running_sums, store, whole_row
 
-MIN_LINES = 2
+MIN_LINES = 1
 _KEY = ["doc", "twin"]
 _PLACE = ["doc", "twin", "at"]
 

@@ -109,7 +109,7 @@ def brute_lines(rows, least):
     return out
 
 
-@pytest.mark.parametrize("table,least", [("odd", 1), ("odd", 2), ("odd", 3), ("odd", 5), ("repeated", 2), ("documents", 2), ("none", 2)])
+@pytest.mark.parametrize("table,least", [("odd", 1), ("odd", 2), ("odd", 3), ("odd", 5), ("repeated", 1), ("documents", 1), ("none", 1), ("repeated", 2), ("documents", 2), ("none", 2)])
 def test_lines(table, least, request):
     docs = request.getfixturevalue(table)
     cleaned = line_suffixes.dedup_lines(docs, least)
@@ -122,6 +122,13 @@ def test_lines(table, least, request):
         assert r["text"] == want[r["doc_id"]]
 
 
+def test_a_line_between_differing_neighbours_goes(spark):
+    line = " ".join(f"word{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, f"before {i}\n{line}\nafter {i}") for i in range(5)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_suffixes.dedup_lines(docs).collect()}
+    assert got == {i: f"before {i}\n{line}\nafter {i}" if i == 0 else f"before {i}\nafter {i}" for i in range(5)}
+
+
 def test_suffix_ranks_reach_the_longest_run(spark):
     body = "\n".join(f"line {i}" for i in range(20))
     docs = spark.createDataFrame([(1, body), (2, "x\n" + body)], "doc_id long, text string")

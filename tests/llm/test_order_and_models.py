@@ -294,7 +294,7 @@ def test_pipeline_stages(spark, documents):
     clean = {d for d in passing if 10 * counts[d][2] <= counts[d][1] and 100 * counts[d][3] <= 3 * counts[d][0]}
     assert clean <= rows[1].keys() <= passing
 
-    lines = brute_lines([(d, r["text"]) for d, r in rows[1].items()], 2)
+    lines = brute_lines([(d, r["text"]) for d, r in rows[1].items()], 1)
     assert {d: r["text"] for d, r in rows[2].items()} == {
         d: t for d, t in lines.items() if t == rows[1][d]["text"] or t.encode().split()
     }
