@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..operators import churn as ch
 from ..operators import graph, hotspots as hs, rank, scopes, tags as tg, text, tree, usage
+from ..session import shared_folder
 from ..sources import history, results, usage_log
 from ..sources.files import file_counts, missing_files
 from ..sources.rules import RULES, Rule
@@ -335,6 +336,21 @@ def parse_numstat(spark, folder):
     return history.parse_history(_commits(spark, folder).select("repo_id", record.alias("record")))
 
 
+def history_roundtrip(spark, folder):
+    """The commit_files binding written as logs, commits of many files among them, and read back line by line."""
+    counts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("added", "removed")]
+    seconds = F.unix_seconds(F.col("commit_ts").cast("timestamp")).cast("string")
+    header = F.concat_ws(":", F.lit("COMMIT"), "commit_hash", "author_email", seconds)
+    commit = ["repo_id", "commit_hash"]
+    commits = _commits(spark, folder).withColumns({"header": header, "line": F.concat_ws("\t", *counts, "path")})
+    headers = commits.select(*commit, F.lit(0).alias("part"), F.col("header").alias("value")).distinct()
+    lines = commits.select(*commit, F.lit(1).alias("part"), F.col("line").alias("value")).unionByName(headers)
+    logs = shared_folder(spark)
+    ordered = lines.repartition(*commit).sortWithinPartitions(*commit, "part")
+    ordered.select("repo_id", "value").write.partitionBy("repo_id").text(logs)
+    return history.parse_history(history.read_history(spark, logs))
+
+
 def symbol_tree(spark, folder):
     return tree.in_tree_order(tree.symbol_tree(tg.file_symbols(_tags(spark, folder))))
 
@@ -485,7 +501,7 @@ QUERIES: dict[str, Query] = {
         ranked_definitions, ordered_definitions, ranked_tags, file_rank_lookup,
         hotspots, hotspots_exact, hotspots_all_churn, prioritization_matrix,
         file_languages, extract_tags, backfill_refs, file_symbols, definition_tags,
-        repo_map_lines, repo_map_text, prose_graph, parse_numstat,
+        repo_map_lines, repo_map_text, prose_graph, parse_numstat, history_roundtrip,
         *map(_tags_of, SAMPLES), tag_scopes, repo_map_scopes,
         symbol_tree, symbol_tree_of_text, tree_files, symbol_totals, symbol_search, total_files, missing_file_names,
         usage_totals, popular_repos, repo_popularity, recent_analyses, recent_leads, valid_leads, merged_analyses,

@@ -551,6 +551,9 @@ ORACLES: dict[str, str] = {
     "parse_numstat": _sql(
         _WINDOW, "SELECT * FROM b_commit_files WHERE added IS NOT NULL AND removed IS NOT NULL"
     ),
+    "history_roundtrip": _sql(
+        _WINDOW, "SELECT * FROM b_commit_files WHERE added IS NOT NULL AND removed IS NOT NULL"
+    ),
     "symbol_tree": _sql(_TAGS + _PATHS, "SELECT * FROM tree"),
     "symbol_tree_of_text": _sql([*_PROSE, ("b_tags", "SELECT * FROM found"), *_PATHS], "SELECT * FROM tree"),
     "tree_files": _sql(_TAGS + _PATHS, "SELECT * FROM tree WHERE node_type = 'file'"),

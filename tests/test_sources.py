@@ -94,6 +94,32 @@ def test_hidden_logs_and_equal_names(spark, tmp_path):
     assert [r.repo_id for r in only_hidden.select("repo_id").distinct().collect()] == ["a+b c"]
 
 
+@pytest.mark.parametrize("name", ["app.log", "_app.log"])
+@pytest.mark.parametrize("size", [1, 7, 40, 1000, 1 << 20])
+def test_commits_that_span_splits(spark, tmp_path, rows, monkeypatch, name, size):
+    """Headers reach their lines over any number of splits, also splits without a header or a line."""
+    commits, text = [], "1\t1\tbefore any header\n"
+    for c, n in enumerate([3, 0, 60, 1, 0, 0, 25]):
+        text += f"COMMIT:h{c}:a{c}@x:{c}\n" + "".join(f"{i}\t{c}\tsrc/{'x' * (i % 5)}{i}.py\n" for i in range(n)) + "\n"
+        commits += [(f"h{c}", f"a{c}@x", f"src/{'x' * (i % 5)}{i}.py", i, c) for i in range(n)]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / name).write_text(text.rstrip("\n"))
+    (tmp_path / "logs" / "empty.log").write_text("")
+    (tmp_path / "logs" / ("x" + name)).write_text("COMMIT:other:b@x:9\n5\t6\tz\n")
+    monkeypatch.setattr(history, "SPLIT_BYTES", size)
+    monkeypatch.setattr(history, "_CHUNK", 64)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", max(size, 40))
+    try:
+        read = history.read_history(spark, str(tmp_path / "logs"))
+        table = history.parse_history(read).where("commit_hash <> 'other'")
+        got = rows(table.select("commit_hash", "author_email", "path", "added", "removed"))
+        assert history.parse_history(read).where("commit_hash = 'other'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(commits, key=lambda row: tuple(map(str, row)))
+
+
 def test_only_missing_and_denied_files_are_passed_over(tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     read = files._read_contents(str(tmp_path))
