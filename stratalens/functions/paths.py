@@ -33,13 +33,6 @@ def ancestors(path: Column) -> Column:
     return F.transform(steps, lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def raw_suffixes(path: Column) -> Column:
-    """Array of all non-empty string suffixes of ``path``, itself included."""
-    size = F.length(path)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(path, i, size))
-
-
 def ends_either_way(a: Column, b: Column) -> Column:
     """True when one path is a suffix of the other (equal paths included)."""
     return F.endswith(a, b) | F.endswith(b, a)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from ..functions.paths import ends_either_way, raw_suffixes
+from ..functions.paths import ends_either_way
 from .churn import TOP_FILES
 
 SUFFIX, EXACT = "suffix", "exact"
@@ -53,30 +53,55 @@ def match_top_churn(
     return matched if how == "left" else matched.where(F.col("commits").isNotNull())
 
 
+def _lengths(paths: DataFrame, path: str) -> DataFrame:
+    """(repo_id, _lengths): the lengths that occur among a repository's paths, at most as many as the longest has characters."""
+    return paths.groupBy("repo_id").agg(F.array_sort(F.collect_set(F.length(path))).alias("_lengths"))
+
+
+def _path_key(path: Column) -> Column:
+    return F.xxhash64("repo_id", path)
+
+
+def _suffix_keys(paths: DataFrame, path: str, lengths: DataFrame, shorter: bool) -> DataFrame:
+    """``paths`` with ``_key``, one row for each of their suffixes that is as long as some path of the other side.
+
+    With ``shorter`` the whole path is no suffix of itself.
+    """
+    size = F.length(path)
+    fitting = F.filter("_lengths", lambda n: (n < size) if shorter else (n <= size))
+    keys = F.transform(fitting, lambda n: _path_key(F.substring(path, size - n + 1, n)))
+    return paths.join(lengths, "repo_id").withColumn("_key", F.explode(keys)).drop("_lengths")
+
+
 def match_all_churn(ranked: DataFrame, churn: DataFrame, how: str) -> DataFrame:
     """The same for any number of churn rows.
 
-    Each side's paths are broken into their suffixes and looked up as whole paths on the other side, which
-    yields the matching pairs and no others.
+    Suffixes of one side are looked up as whole paths of the other by a 64-bit hash, and only those of a length that
+    occurs there. What is shuffled of a suffix is its hash and a number for the row it belongs to; the pairs that meet are
+    then given their paths, and those that only share a hash are dropped.
     """
-    files = ranked.where(F.col("file") != "").select("repo_id", "file")
+    numbered = _path_key(F.col("file")).alias("_file")
+    files = ranked.where(F.col("file") != "").select("repo_id", "file", numbered)
     rows = churn.where(F.col("filename") != "").select("repo_id", "position", "filename", *_MATCHED)
-    value = F.struct("position", *_MATCHED).alias("row")
     row_within_file = (
-        files.select("repo_id", "file", F.explode(raw_suffixes(F.col("file"))).alias("filename"))
-        .join(rows, ["repo_id", "filename"])
-        .select("repo_id", "file", value)
+        _suffix_keys(files, "file", _lengths(rows, "filename"), shorter=False)
+        .select("_key", "_file")
+        .join(rows.select(_path_key(F.col("filename")).alias("_key"), "repo_id", "position"), "_key")
     )
     file_within_row = (
-        rows.select("repo_id", value, F.explode(raw_suffixes(F.col("filename"))).alias("file"))
-        .groupBy("repo_id", "file")
-        .agg(F.min("row").alias("row"))
-        .join(files, ["repo_id", "file"], "left_semi")
+        _suffix_keys(rows, "filename", _lengths(files, "file"), shorter=True)
+        .select("_key", "position")
+        .join(files.select(F.col("_file").alias("_key"), "repo_id", "_file"), "_key")
+    )
+    met = row_within_file.select("repo_id", "_file", "position").unionByName(
+        file_within_row.select("repo_id", "_file", "position")
     )
     first = (
-        row_within_file.unionByName(file_within_row)
+        met.join(files, ["repo_id", "_file"])
+        .join(rows, ["repo_id", "position"])
+        .where(ends_either_way(F.col("file"), F.col("filename")))
         .groupBy("repo_id", "file")
-        .agg(F.min("row").alias("row"))
+        .agg(F.min(F.struct("position", *_MATCHED)).alias("row"))
         .select("repo_id", "file", *[F.col(f"row.{c}").alias(c) for c in _MATCHED])
     )
     return ranked.where(F.col("file") != "").join(first, ["repo_id", "file"], how)
