@@ -18,6 +18,10 @@ from ..session import cut_lineage
 REPO_NAME = ["repo_id", "name"]
 REPO_FILE = ["repo_id", "file"]
 
+# Referrers, and definers, of a name that meet in one cell of its product; parts in which rows find the cells of their name.
+CELL_SIDE = 1000
+SALTS = 64
+
 
 def tag_pairs(tags: DataFrame) -> DataFrame:
     """``repo_id, name, path, ref_count, is_defined``: what each file does with each name.
@@ -65,13 +69,47 @@ def dependency_edges(pairs: DataFrame) -> DataFrame:
     """One row per (name, referring file, defining file), self-references kept.
 
     The output is a product per name by definition. Both sides are grouped to one row per (name, file) before
-    they meet, and adaptive execution splits the partition of a name that dominates.
+    they meet. The product of a name with many files is cut into a grid of cells, ``CELL_SIDE`` referrers by as many
+    definers or fewer, which are joined independently; a row goes to all cells of its line of the grid.
     """
-    return _edges(ref_counts(pairs), definers(pairs))
+    refs, defs = ref_counts(pairs), definers(pairs)
+    grid = _grids(refs, defs)
+    return _edges(_in_cells(refs, grid, "_row", "_column"), _in_cells(defs, grid, "_column", "_row"), [*REPO_NAME, "_row", "_column"])
 
 
-def _edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    return refs.join(defs.withColumnRenamed("path", "target"), REPO_NAME).select(
+def _grids(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """(repo_id, name, _salt, _rows, _columns) of the names whose product needs more than one cell, once per salt."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    both = refs.select(*REPO_NAME, one.alias("r"), zero.alias("d")).unionByName(
+        defs.select(*REPO_NAME, zero.alias("r"), one.alias("d"))
+    )
+    parts = lambda n: F.ceil(F.sum(n) / CELL_SIDE)
+    return (
+        both.groupBy(*REPO_NAME)
+        .agg(parts("r").alias("_rows"), parts("d").alias("_columns"))
+        .where("_rows > 0 and _columns > 0 and _rows + _columns > 2")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+
+
+def _in_cells(side: DataFrame, grid: DataFrame, own: str, other: str) -> DataFrame:
+    """``side`` with its line ``own`` of the grid, once for each line ``other``. Other names have one cell.
+
+    Rows of a name that dominates look their grid up by name and salt, so that no task gets all of them.
+    """
+    path = F.xxhash64("path")
+    lines = lambda c: F.coalesce(F.col(f"{c}s"), F.lit(1).cast("bigint"))
+    return (
+        side.withColumn("_salt", F.pmod(path, F.lit(SALTS)).cast("int"))
+        .join(grid, [*REPO_NAME, "_salt"], "left")
+        .withColumn(own, F.pmod(F.shiftrightunsigned(path, 8), lines(own)))
+        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), lines(other) - 1)))
+        .drop("_salt", "_rows", "_columns")
+    )
+
+
+def _edges(refs: DataFrame, defs: DataFrame, on: list[str] = REPO_NAME) -> DataFrame:
+    return refs.join(defs.withColumnRenamed("path", "target"), on).select(
         "repo_id",
         F.col("path").alias("source"),
         "target",
@@ -100,8 +138,27 @@ def linked_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def file_degrees(pairs: DataFrame) -> DataFrame:
     """Out- and in-degree per file of the graph, parallel edges counted, without building the edges."""
-    refs, defs = linked_pairs(pairs)
-    return degrees_of(refs, defs)
+    names = pairs.groupBy(*REPO_NAME).agg(
+        F.count_if(F.col("ref_count") > 0).alias("_referrers"), F.count_if("is_defined").alias("_definers")
+    )
+    total = lambda met, n: F.sum(F.when(met, F.col(n)).otherwise(0))
+    files = (
+        pairs.join(names, REPO_NAME)
+        .groupBy("repo_id", F.col("path").alias("file"))
+        .agg(
+            total(F.col("ref_count") > 0, "_definers").alias("_out"),
+            total(F.col("is_defined"), "_referrers").alias("_in"),
+            total(F.col("is_defined"), "_definers").alias("_own"),
+        )
+    )
+    # In a repository without any reference each definition is one, so a name is referred to as often as it is defined.
+    have_refs = pairs.groupBy("repo_id").agg(F.max(F.col("ref_count") > 0).alias("_have_refs"))
+    degree = lambda n: F.when(F.col("_have_refs"), F.col(n)).otherwise(F.col("_own"))
+    return (
+        files.join(have_refs, "repo_id")
+        .select(*REPO_FILE, degree("_out").alias("out_degree"), degree("_in").alias("in_degree"))
+        .where((F.col("out_degree") > 0) | (F.col("in_degree") > 0))
+    )
 
 
 def degrees_of(refs: DataFrame, defs: DataFrame) -> DataFrame:

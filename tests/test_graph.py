@@ -136,3 +136,28 @@ def test_subgraph_hides_self_references(make, rows):
 def test_collapsed_edges_name_at_most_five(make, rows):
     tags = make([("r", "a", 0, f"n{i}", "def") for i in range(8)] + [("r", "b", 0, f"n{i}", "ref") for i in range(8)], TAGS)
     assert rows(graph.collapse_edges(graph.dependency_edges(graph.tag_pairs(tags)))) == [("r", "b", "a", 8.0, ["n0", "n1", "n2", "n3", "n4"])]
+
+
+@pytest.mark.parametrize("side", [2, 5])
+def test_cells_of_hot_names(spark, make, rows, monkeypatch, side):
+    """Any cut of a name's product gives the plain join's edges; no cell is larger than its sides allow for."""
+    monkeypatch.setattr(graph, "CELL_SIDE", side)
+    monkeypatch.setattr(graph, "SALTS", 3)
+    tags = make(
+        [("r", f"f{i}", 1, "hot", kind) for i in range(17) for kind in ("ref", "def") if kind == "ref" or i % 3 == 0]
+        + [("r", "a", 1, "cold", "def"), ("r", "b", 1, "cold", "ref"), ("r", "b", 1, "lost", "ref"), ("q", "a", 1, "hot", "def")],
+        "repo_id string, path string, line int, name string, kind string",
+    )
+    pairs = graph.keep_pairs(tags)
+    plain = graph._edges(graph.ref_counts(pairs), graph.definers(pairs))
+    assert rows(graph.dependency_edges(pairs)) == rows(plain)
+    refs, defs = graph.linked_pairs(pairs)
+    assert rows(graph.file_degrees(pairs)) == rows(graph.degrees_of(refs, defs))
+
+
+def test_degrees_take_few_shuffles(spark, tmp_path):
+    schema = "repo_id string, name string, path string, ref_count bigint, is_defined boolean"
+    spark.createDataFrame([("r", "n", "a", 1, True)], schema).write.parquet(str(tmp_path / "pairs"))
+    degrees = graph.file_degrees(spark.read.parquet(str(tmp_path / "pairs")))
+    plan = degrees._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 3 and plan.count("Join") == 2
