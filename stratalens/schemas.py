@@ -73,6 +73,14 @@ RESULTS = _table(
     "cache_key string, computed_at timestamp_ntz, section string, position bigint, doc string"
 )
 
+# The published table of popular repositories; ``batch`` is the one that changed the row last.
+POPULARITY = _table(
+    "repo_url string, repo_name string, analysis_count bigint, last_analyzed timestamp_ntz, batch bigint"
+)
+
+# Runs of the result store that are written in full, and the runs each takes the place of.
+RUNS = _table("run string, computed_at timestamp_ntz, replaced string")
+
 
 def conform(df: DataFrame, schema: StructType, zero: list[str] | None = None) -> DataFrame:
     """Give ``df`` exactly the columns of ``schema``.

@@ -7,17 +7,23 @@ it is one ``summary`` row with the bounded parts, and one row per list entry, ea
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..operators.hotspots import hotspot_order
 from ..functions.positions import all_positions
 from ..functions.urls import cache_key
-from ..schemas import RESULTS
+from ..schemas import RESULTS, RUNS
+from ..session import cut_lineage
 
 SUMMARY = "summary"
 
+_STORED = ["cache_key", "section", "position", "doc"]
+_STORE = StructType(RESULTS.fields).add("run", StringType())
+
 
 def _entries(df: DataFrame, section: str, position: Column, fields: list[str]) -> DataFrame:
     return df.select(
@@ -79,16 +85,69 @@ def write_json(documents: DataFrame, folder: str) -> None:
     ).write.mode("overwrite").partitionBy("section").text(folder)
 
 
-def store_results(documents: DataFrame, repos: DataFrame, folder: str, at: dt.datetime) -> None:
-    """Append documents to the result store under the cache key of their repository's address."""
+def _write_run(documents: DataFrame, folder: str, run: str) -> None:
+    """Documents of a run, in order of key, so that a lookup reads few row groups; long lists spread by their text."""
+    ordered = documents.withColumn("run", F.lit(run)).repartitionByRange("section", "cache_key", F.xxhash64("doc"))
+    ordered.sortWithinPartitions("section", "cache_key").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run", "section").parquet(f"{folder}/documents")
+
+
+def _publish_run(runs: DataFrame, folder: str) -> None:
+    """From here on readers see the run, and no longer those it takes the place of."""
+    runs.select(*RUNS.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run"
+    ).parquet(f"{folder}/runs")
+
+
+def store_results(
+    documents: DataFrame, repos: DataFrame, folder: str, at: dt.datetime, run: str | None = None
+) -> None:
+    """Add documents to the result store under the cache key of their repository's address.
+
+    They are seen as a whole once all are written, or not at all. A ``run`` that is stored again under its name replaces
+    what its first try left.
+    """
+    run = run or uuid.uuid4().hex
+    computed = F.lit(at).cast("timestamp_ntz")
     keys = repos.select("repo_id", cache_key(F.col("repo_url")).alias("cache_key"))
-    documents.join(keys, "repo_id").withColumn("computed_at", F.lit(at).cast("timestamp_ntz")).select(
-        *RESULTS.names
-    ).write.mode("append").partitionBy("section").parquet(folder)
+    _write_run(documents.join(keys, "repo_id").select(computed.alias("computed_at"), *_STORED), folder, run)
+    one = documents.sparkSession.range(1)
+    _publish_run(
+        one.select(F.lit(run).alias("run"), computed.alias("computed_at"), F.lit(None).cast("string").alias("replaced")),
+        folder,
+    )
+
+
+def _live_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Published runs that no other run has taken the place of."""
+    runs = spark.read.schema(RUNS).parquet(f"{folder}/runs")
+    gone = runs.where(F.col("replaced").isNotNull()).select(F.col("replaced").alias("run"))
+    return runs.select("run").distinct().join(gone, "run", "left_anti")
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(RESULTS).parquet(folder)
+    """Documents of all published runs."""
+    stored = spark.read.schema(_STORE).parquet(f"{folder}/documents")
+    return stored.join(_live_runs(spark, folder), "run", "left_semi").select(*RESULTS.names)
+
+
+def compact_results(spark: SparkSession, folder: str, run: str | None = None) -> None:
+    """Rewrite the latest documents of each key as one run that takes the place of all others.
+
+    The files of the older runs stay for readers that have begun; no reader that begins later opens them. Only one
+    compaction may run at a time; runs stored meanwhile stay.
+    """
+    run = run or uuid.uuid4().hex
+    older = cut_lineage(_live_runs(spark, folder).where(F.col("run") != run))
+    stored = spark.read.schema(_STORE).parquet(f"{folder}/documents").join(older, "run", "left_semi")
+    _write_run(latest_results(stored.select(*RESULTS.names)), folder, run)
+    _publish_run(
+        older.select(
+            F.lit(run).alias("run"), F.lit(None).cast("timestamp_ntz").alias("computed_at"), F.col("run").alias("replaced")
+        ),
+        folder,
+    )
 
 
 def latest_results(results: DataFrame) -> DataFrame:

@@ -188,7 +188,37 @@ def test_popularity_stream_matches_batch(spark, tmp_path, rows):
         part.write.mode("append").parquet(feed_folder)
         query = usage_feed.keep_popularity(usage_feed.stream_analyses(spark, feed_folder), out, str(tmp_path / "cp"))
         assert query.awaitTermination(120)
-    assert rows(spark.read.parquet(out)) == rows(usage.repo_popularity(log))
+    assert rows(usage_feed.read_popularity(spark, out)) == rows(usage.repo_popularity(log))
+
+
+def test_published_batches(spark, tmp_path, make, rows):
+    out, schema = str(tmp_path), "repo_url string, repo_name string, analysis_count long, last_analyzed timestamp_ntz"
+    assert usage_feed.read_popularity(spark, out).count() == 0
+    usage_feed.publish(make([("a", "x", 1, AT), ("b", "x", 1, AT)], schema), 0, out, 2)
+    usage_feed.publish(make([("a", "y", 2, AT)], schema), 1, out, 2)
+    wanted = [("a", "y", 2, AT), ("b", "x", 1, AT)]
+    assert rows(usage_feed.read_popularity(spark, out)) == wanted
+    assert (tmp_path / "tables" / "1" / "_SUCCESS").exists()
+    usage_feed.publish(make([("a", "replayed", 9, AT)], schema), 1, out, 2)
+    usage_feed.publish(make([("c", "z", 1, AT)], schema), 2, out, 2)
+    assert rows(usage_feed.read_popularity(spark, out)) == [*wanted, ("c", "z", 1, AT)]
+    # A batch that broke off half-way is not seen until it is run again.
+    (tmp_path / "changes" / "2" / "_SUCCESS").unlink()
+    assert rows(usage_feed.read_popularity(spark, out)) == wanted
+    usage_feed.publish(make([("c", "z", 1, AT)], schema), 2, out, 2)
+    assert rows(usage_feed.read_popularity(spark, out)) == [*wanted, ("c", "z", 1, AT)]
+
+
+def test_repeated_appends_count_once(spark, tmp_path, make):
+    folder = str(tmp_path / "analyses")
+    narrow = make([(1, "u", "n", AT, 5)], "id int, repo_url string, repo_name string, timestamp timestamp_ntz, duration_seconds int")
+    narrow.write.parquet(folder)
+    for batch in ("x", "x", None, None):
+        usage_log.append_analyses(narrow.withColumn("id", F.lit(2)), folder, batch)
+    usage_log.append_analyses(narrow.where("false"), folder, "empty")
+    table = usage_log.read_analyses(spark, folder)
+    assert sorted(r.id for r in table.collect()) == [1, 2, 2, 2]
+    assert table.schema.simpleString() == ANALYSES.simpleString() and table.agg(F.sum("duration_seconds")).first()[0] == 20.0
 
 
 @pytest.fixture(scope="module")
@@ -223,6 +253,16 @@ def test_result_store_and_json(spark, tmp_path, analysis):
     broken = documents.where("section = 'summary'").withColumn("doc", F.lit("{broken"))
     results.store_results(broken, repos, store, AT + dt.timedelta(days=2))
     assert results.latest_results(results.read_results(spark, store)).count() == repos.count()
+    whole = results.read_results(spark, store).count()
+    results._write_run(results.read_results(spark, store).drop("run"), store, "broken off")
+    assert results.read_results(spark, store).count() == whole
+    for _ in range(2):
+        results.store_results(documents, repos, store, AT + dt.timedelta(days=3), "again")
+    assert results.read_results(spark, store).count() == whole + documents.count()
+    latest = results.latest_results(results.read_results(spark, store))
+    kept = sorted(map(str, latest.collect()))
+    results.compact_results(spark, store)
+    assert sorted(map(str, results.read_results(spark, store).collect())) == kept
     requests = usage.valid_repo_urls(repos.select(F.concat("repo_url", F.lit("/")).alias("url")).union(
         spark.createDataFrame([("https://github.com/o/new",)], "url string")))
     assert [r.repo_name for r in usage.new_repos_only(requests, latest).collect()] == ["new"]
