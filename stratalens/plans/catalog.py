@@ -5,6 +5,7 @@ Each takes a session and the folder of the tables. ``oracles`` holds the SQL eac
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..operators import churn as ch
 from ..operators import graph, hotspots as hs, rank, scopes, tags as tg, text, tree, usage
+from ..schemas import LEADS
 from ..session import shared_folder
 from ..sources import history, results, usage_log
 from ..sources.files import file_counts, missing_files
 from ..sources.rules import RULES, Rule
+from ..streaming import usage_feed
 from . import pipelines
 from .samples import SAMPLES
 
@@ -35,6 +38,7 @@ SHOWN_NODES = 20
 LOOKED_UP = "dir3/f3.py"
 SEARCHED = "K7"
 ANALYSES_AGE = "2024-01-03"
+STORED_AT = dt.datetime(2024, 1, 1)
 
 
 def _tags(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,9 +76,24 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of addresses whose repository number is even, standing for stored results."""
+    """Results in a store that holds one for each address whose repository number is even."""
     number = F.regexp_extract("repo_url", "/org([0-9]+)/", 1).try_cast("int")
-    return _requests(spark, folder).where(number % 2 == 0).select("cache_key")
+    asked = _asked(spark, folder)
+    store = shared_folder(spark)
+    results.store_results(_answers(asked).where(number % 2 == 0), asked, store, STORED_AT)
+    return results.latest_results(results.read_results(spark, store))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The addresses that are asked for, in the case they are asked in, and how often."""
+    return _requests(spark, folder).groupBy("repo_url").agg(F.count("*").alias("asked")).withColumn("repo_id", F.col("repo_url"))
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """A summary document for each address."""
+    doc = F.to_json(F.struct("repo_url", "asked"))
+    place = F.lit(0).cast("bigint").alias("position")
+    return asked.select("repo_id", "repo_url", F.lit(results.SUMMARY).alias("section"), place, doc.alias("doc"))
 
 
 def _repos(tags: DataFrame) -> DataFrame:
@@ -417,6 +436,62 @@ def merged_analyses(spark, folder):
     return usage_log.merge_analyses(older, newer)
 
 
+def _recent(log: DataFrame) -> Column:
+    return F.col("timestamp") >= F.lit(ANALYSES_AGE).cast("timestamp_ntz")
+
+
+def analyses_log(spark, folder):
+    """Older analyses in files of another schema, newer ones appended to them, the append tried twice."""
+    log, stored = _analyses(spark, folder), shared_folder(spark)
+    older = log.where(~_recent(log)).withColumn("file_count", F.col("file_count").cast("smallint"))
+    older.drop("churn_files_count").write.parquet(stored)
+    for _ in range(2):
+        newer = log.where(_recent(log)).withColumn("graph_nodes", F.col("file_count") + 1)
+        usage_log.append_analyses(newer, stored, "newer")
+    return usage_log.read_analyses(spark, stored)
+
+
+def leads_log(spark, folder):
+    """Leads appended in two batches, each tried twice, those without a contact among them."""
+    log, stored = _leads(spark, folder), shared_folder(spark)
+    for part, rows in {"newer": _recent(log), "older": ~_recent(log)}.items():
+        for _ in range(2):
+            usage_log.append_leads(log.where(rows), stored, part)
+    return usage_log.read_leads(spark, stored)
+
+
+def exported_leads(spark, folder):
+    """The CSV export of the leads, read back."""
+    exported = shared_folder(spark)
+    usage_log.export_leads(usage.valid_leads(_leads(spark, folder)), exported)
+    times = {"header": True, "timestampNTZFormat": usage_log.TIME_FORMAT}
+    return spark.read.schema(LEADS).options(**times).csv(exported)
+
+
+def popularity_stream(spark, folder):
+    """The popularity table kept by a stream over a log that is appended to between its runs."""
+    log, feed, table, state = _analyses(spark, folder), *(shared_folder(spark) for _ in range(3))
+    for rows in (~_recent(log), _recent(log)):
+        usage_log.append_analyses(log.where(rows), feed)
+        usage_feed.keep_popularity(usage_feed.stream_analyses(spark, feed), table, state, 2).awaitTermination()
+    return usage_feed.read_popularity(spark, table)
+
+
+def admin_metrics(spark, folder):
+    """The tables of the operator's view, one below the other."""
+    found = pipelines.admin_metrics(_analyses(spark, folder), usage.valid_leads(_leads(spark, folder)))
+    totals = found["totals"].select(F.explode(F.create_map(*(
+        x for name in found["totals"].columns for x in (F.lit(name), F.col(name))
+    ))).alias("name", "number"))
+    parts = [totals.select(F.lit("totals").alias("section"), "name", "number")]
+    for section, number in {"recent": "id", "popular": "analysis_count", "leads": "id"}.items():
+        parts.append(found[section].select(F.lit(section), F.col("repo_url"), F.col(number)))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    return rows
+
+
 def exported_analyses(spark, folder):
     return usage_log.newest_first(usage_log.merge_analyses(_analyses(spark, folder)))
 
@@ -438,6 +513,22 @@ def known_repos(spark, folder):
     return known.select("repo_url", "cache_key", "cached", "duration_seconds")
 
 
+def stored_results(spark, folder):
+    """Of a store with three runs the latest readable documents: the second run's summaries of addresses that were asked
+    for once are broken, and the third, stored twice under one name, holds addresses asked for often. Then it is compacted."""
+    asked = _asked(spark, folder)
+    answers, store = _answers(asked), shared_folder(spark)
+    results.store_results(answers, asked, store, STORED_AT)
+    once = answers.where(F.get_json_object("doc", "$.asked") == "1")
+    broken = once.withColumn("doc", F.substring("doc", 1, 20))
+    results.store_results(broken, asked, store, STORED_AT + dt.timedelta(days=1))
+    often = answers.where(F.get_json_object("doc", "$.asked") != "1")
+    for _ in range(2):
+        results.store_results(often, asked, store, STORED_AT + dt.timedelta(days=2), "third")
+    results.compact_results(spark, store)
+    return results.latest_results(results.read_results(spark, store))
+
+
 def _analysis(spark, folder) -> dict[str, DataFrame]:
     tags = _tags(spark, folder)
     return pipelines.analyze(tags, _commits(spark, folder), _repos(tags), b.AS_OF, b.MONTHS)
@@ -477,6 +568,33 @@ def result_json(spark, folder):
     return results.result_documents(_analysis(spark, folder))
 
 
+def result_entries(spark, folder):
+    """The list entries of the result documents as typed columns."""
+    fields = (
+        "rank_position int, file string, pagerank_score double, centrality double, id string, pagerank double, source string,"
+        " target string, weight double, ident string, path string, parent string, depth int, name string, node_type string,"
+        " symbol_count bigint, line int, commits bigint, total_churn bigint, hotspot_score double"
+    )
+    entries = result_json(spark, folder).where(F.col("section") != results.SUMMARY)
+    return entries.select("repo_id", "section", "position", F.from_json("doc", fields).alias("entry")).select(
+        "repo_id", "section", "position", "entry.*"
+    )
+
+
+def result_summaries(spark, folder):
+    """The summaries of the result documents as typed columns, a row for each file of their churn tables."""
+    files = "position int, filename string, commits bigint, total_contributor bigint, total_churn bigint, lines_added bigint"
+    fields = (
+        "repo_name string, repo_url string, file_count int, sizes struct<graph_nodes: int, graph_edges: int, hotspot_count: int,"
+        " top_hotspot_file: string>, churn struct<period: string, total_files_with_commits: bigint, top_files: array<struct<"
+        + files.replace(" ", ": ").replace(",: ", ", ") + ">>>"
+    )
+    summaries = _analysis(spark, folder)["summary_documents"].select("repo_id", F.from_json("doc", fields).alias("doc"))
+    return summaries.select("repo_id", "doc.*", F.explode("doc.churn.top_files").alias("top")).select(
+        "repo_id", "repo_name", "repo_url", "file_count", "sizes.*", "churn.period", "churn.total_files_with_commits", "top.*"
+    )
+
+
 def result_sections(spark, folder):
     """Entries per section of the result documents, and what their texts hold when read back."""
     fields = "rank_position int, total_churn bigint, symbol_count bigint, line int, file_count int"
@@ -506,6 +624,8 @@ QUERIES: dict[str, Query] = {
         symbol_tree, symbol_tree_of_text, tree_files, symbol_totals, symbol_search, total_files, missing_file_names,
         usage_totals, popular_repos, repo_popularity, recent_analyses, recent_leads, valid_leads, merged_analyses,
         exported_analyses, valid_repo_urls, cache_keys, new_repos_only, known_repos,
-        run_summary, run_summary_all_repos, cached_summary, report_ranked, report_churn, report_hotspots, result_json, result_sections,
+        analyses_log, leads_log, exported_leads, popularity_stream, admin_metrics, stored_results,
+        run_summary, run_summary_all_repos, cached_summary, report_ranked, report_churn, report_hotspots,
+        result_json, result_sections, result_entries, result_summaries,
     ]
 }

@@ -282,6 +282,12 @@ _REQUESTS = [
     ("stored", "SELECT DISTINCT cache_key FROM req WHERE CAST(regexp_extract(repo_url, '/org([0-9]+)/', 1) AS INT) % 2 = 0"),
 ]
 
+# Each key's run: the third where one of its addresses was asked for more than once, else the first.
+_KEPT = (
+    "SELECT cache_key, CASE WHEN max(n) > 1 THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-01' END AS computed_at"
+    " FROM asked GROUP BY ALL"
+)
+
 _ANALYSES_COLUMNS = (
     "id, repo_url, repo_name, timestamp, CAST(NULL AS VARCHAR) AS ip_address, CAST(NULL AS VARCHAR) AS user_agent,"
     " file_count, CAST(0 AS INT) AS ranked_files_count, {churn} AS churn_files_count, CAST(0 AS INT) AS hotspot_count,"
@@ -587,6 +593,25 @@ ORACLES: dict[str, str] = {
     "exported_analyses": _sql(_LOGS, f"SELECT {_PLAIN} FROM b_analyses"),
     "valid_repo_urls": _sql(_REQUESTS, "SELECT * FROM req"),
     "cache_keys": _sql(_REQUESTS, "SELECT DISTINCT repo_url, cache_key FROM req"),
+    "analyses_log": _sql(_LOGS, f"SELECT {_MERGED} FROM b_analyses"),
+    "leads_log": _sql(_LOGS, f"SELECT {_LEAD_COLUMNS} FROM vl"),
+    "exported_leads": _sql(_LOGS, f"SELECT {_LEAD_COLUMNS} FROM vl"),
+    "popularity_stream": _sql(_LOGS, "SELECT * FROM pop"),
+    "admin_metrics": _sql(
+        _LOGS,
+        "SELECT 'totals' AS section, 'total_analyses' AS name, count(*) AS number FROM b_analyses UNION ALL"
+        " SELECT 'totals', 'unique_repos', count(DISTINCT repo_url) FROM b_analyses UNION ALL"
+        " SELECT 'totals', 'total_leads', count(*) FROM vl UNION ALL"
+        " (SELECT 'recent', repo_url, id FROM b_analyses ORDER BY timestamp DESC, id DESC LIMIT 50) UNION ALL"
+        " (SELECT 'popular', repo_url, analysis_count FROM pop ORDER BY analysis_count DESC, repo_url LIMIT 10) UNION ALL"
+        " (SELECT 'leads', repo_url, id FROM vl ORDER BY timestamp DESC, id DESC LIMIT 50)",
+    ),
+    "stored_results": _sql(
+        _REQUESTS + [("asked", "SELECT repo_url, cache_key, count(*) AS n FROM req GROUP BY ALL"), ("kept", _KEPT)],
+        "SELECT cache_key, computed_at, 'summary' AS section, CAST(0 AS BIGINT) AS position,"
+        " concat('{\"repo_url\":\"', repo_url, '\",\"asked\":', n, '}') AS doc FROM kept JOIN asked USING (cache_key)"
+        " WHERE n > 1 OR computed_at = TIMESTAMP '2024-01-01'",
+    ),
     "new_repos_only": _sql(_REQUESTS, "SELECT repo_url, cache_key FROM req ANTI JOIN stored USING (cache_key)"),
     "known_repos": _sql(
         _REQUESTS,
@@ -620,6 +645,26 @@ ORACLES: dict[str, str] = {
         'SELECT repo_id, file AS "File", hotspot_score AS "Hotspot Score", pagerank_score AS "PageRank",'
         ' commits AS "Commits", total_churn AS "Total Churn", centrality AS "Centrality" FROM spots',
     ),
+    "result_entries": _sql(
+        _SUFFIX_SPOTS + _PATHS,
+        "SELECT * FROM (SELECT repo_id, 'ranked_files' AS section, CAST(rank_position AS BIGINT) AS position, rank_position, file,"
+        " pagerank_score, centrality FROM ranked UNION ALL BY NAME"
+        " SELECT repo_id, 'nodes' AS section, file AS id, round(rank, 6) AS pagerank, round(centrality, 6) AS centrality FROM ranks"
+        " UNION ALL BY NAME SELECT repo_id, 'edges' AS section, source, target, round(weight, 4) AS weight, ident FROM e"
+        " UNION ALL BY NAME SELECT 'tree' AS section, * FROM tree"
+        " UNION ALL BY NAME SELECT repo_id, 'symbols' AS section, path, line, name FROM b_tags WHERE kind = 'def'"
+        " UNION ALL BY NAME SELECT repo_id, 'hotspots' AS section, row_number() OVER (PARTITION BY repo_id"
+        " ORDER BY hotspot_score DESC, rank_position, file) AS position, file, pagerank_score, centrality, commits, total_churn,"
+        " hotspot_score FROM spots)",
+    ),
+    "result_summaries": _sql(
+        _SUFFIX_SPOTS,
+        "SELECT repo_id, repo_id AS repo_name, concat('https://github.com/org/', repo_id) AS repo_url, file_count, graph_nodes,"
+        f" graph_edges, hotspot_count, top_hotspot_file, strftime(DATE '{b.AS_OF}' - INTERVAL {b.MONTHS} MONTH, '%Y-%m-%d')"
+        f" || ' to {b.AS_OF}' AS period, total_files_with_commits, position, filename, commits, total_contributor, total_churn,"
+        f" lines_added FROM ({_summary(False)}) JOIN churn USING (repo_id)"
+        " JOIN (SELECT repo_id, count(DISTINCT path) AS total_files_with_commits FROM win GROUP BY ALL) USING (repo_id)",
+    ),
     "result_sections": _sql(
         _SUFFIX_SPOTS + _PATHS + [("sections", _SECTIONS)],
         "SELECT repo_id, section, CAST(n AS BIGINT) AS entries, CAST(rp AS BIGINT) AS rank_position,"

@@ -62,10 +62,19 @@ def newest_first(log: DataFrame) -> DataFrame:
     return log.orderBy(F.desc("timestamp"), F.desc("id"))
 
 
+# Times in exports, to the microsecond.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _export(log: DataFrame, folder: str) -> None:
+    times = {"header": True, "timestampNTZFormat": TIME_FORMAT}
+    newest_first(log).write.mode("overwrite").options(**times).csv(folder)
+
+
 def export_analyses(analyses: DataFrame, folder: str) -> None:
     """All analyses as CSV, newest first; the parts in name order are one sorted listing."""
-    newest_first(conform_analyses(analyses)).write.mode("overwrite").option("header", True).csv(folder)
+    _export(conform_analyses(analyses), folder)
 
 
 def export_leads(leads: DataFrame, folder: str) -> None:
-    newest_first(conform_leads(leads)).write.mode("overwrite").option("header", True).csv(folder)
+    _export(conform_leads(leads), folder)
