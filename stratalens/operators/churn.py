@@ -49,42 +49,80 @@ def _is_author() -> Column:
     return F.col("author_email") != ""
 
 
-def file_churn(window: DataFrame) -> DataFrame:
-    """All files of the window with their churn metrics; ``latest`` is the newest commit, for ordering."""
-    totals = (
-        _by_author(window)
-        .groupBy(*REPO_PATH)
-        .agg(
-            F.sum("commits").alias("commits"),
-            F.count_if(_is_author()).alias("total_contributor"),
-            F.sum("added").cast("bigint").alias("lines_added"),
-            F.sum("removed").cast("bigint").alias("removed_lines"),
-            F.max("max_added").cast("bigint").alias("max_lines_added"),
-            F.max("max_removed").cast("bigint").alias("max_lines_removed"),
-            F.max("latest").alias("latest"),
-            F.max(F.col("added") + F.col("removed")).alias("most_lines"),
-        )
-    )
-    total = F.col("lines_added") + F.col("removed_lines")
+# What is summed per (file, author), and how it is summed on per file.
+_SUMS = {
+    "commits": F.sum, "added": F.sum, "removed": F.sum, "max_added": F.max, "max_removed": F.max, "latest": F.max,
+}
+
+
+def _file_totals() -> list[Column]:
+    return [
+        *[total(name).alias(name) for name, total in _SUMS.items()],
+        F.count_if(_is_author()).alias("total_contributor"),
+        F.max(F.col("added") + F.col("removed")).alias("most_lines"),
+    ]
+
+
+def _file_metrics(totals: DataFrame, *more: str) -> DataFrame:
+    added, removed = F.col("added").cast("bigint"), F.col("removed").cast("bigint")
+    max_added, max_removed = F.col("max_added").cast("bigint"), F.col("max_removed").cast("bigint")
+    total, commits = added + removed, F.col("commits")
     return totals.select(
         "repo_id",
-        F.col("path").alias("filename"),
+        "filename",
         "commits",
         "total_contributor",
         F.round(mean_of(F.col("most_lines"), total) * 100, 2).alias("contributor_exp"),
         total.alias("total_churn"),
-        (F.col("max_lines_added") + F.col("max_lines_removed")).alias("max_churn"),
-        mean_of(total, F.col("commits"), 2).alias("avg_churn"),
-        "lines_added",
-        "max_lines_added",
-        mean_of(F.col("lines_added"), F.col("commits"), 2).alias("avg_lines_added"),
-        "removed_lines",
-        "max_lines_removed",
-        mean_of(F.col("removed_lines"), F.col("commits"), 2).alias("avg_lines_removed"),
+        (max_added + max_removed).alias("max_churn"),
+        mean_of(total, commits, 2).alias("avg_churn"),
+        added.alias("lines_added"),
+        max_added.alias("max_lines_added"),
+        mean_of(added, commits, 2).alias("avg_lines_added"),
+        removed.alias("removed_lines"),
+        max_removed.alias("max_lines_removed"),
+        mean_of(removed, commits, 2).alias("avg_lines_removed"),
         "latest",
+        *more,
     )
 
 
+def file_churn(window: DataFrame) -> DataFrame:
+    """All files of the window with their churn metrics; ``latest`` is the newest commit, for ordering."""
+    totals = _by_author(window).groupBy("repo_id", F.col("path").alias("filename")).agg(*_file_totals())
+    return _file_metrics(totals)
+
+
+def file_churn_with_minors(window: DataFrame) -> DataFrame:
+    """``file_churn`` with ``minor_contributor`` (see ``minor_contributors``), from one pass over the history.
+
+    Each (file, author) row counts once for its file and once for its author. An author of few files then becomes a
+    row for each of them, and a last sum per file brings these to the file's own row.
+    """
+    file = F.struct(F.lit(True).alias("is_file"), F.col("path").alias("key"))
+    author = F.struct(F.lit(False).alias("is_file"), F.col("author_email").alias("key"))
+    sides = F.when(_is_author(), F.array(file, author)).otherwise(F.array(file))
+    summed = (
+        _by_author(window)
+        .select("*", F.explode(sides).alias("side"))
+        .groupBy("repo_id", "side.is_file", "side.key")
+        .agg(*_file_totals(), F.count("*").alias("files"), F.min("path").alias("first"), F.max("path").alias("last"))
+    )
+    is_file = F.col("is_file")
+    few = F.when(F.col("files") <= MINOR_FILES, F.array_distinct(F.array("first", "last"))).otherwise(F.array().cast("array<string>"))
+    names = [*_SUMS, "total_contributor", "most_lines"]
+    rows = summed.select(
+        "repo_id",
+        F.explode(F.when(is_file, F.array("key")).otherwise(few)).alias("filename"),
+        *[F.when(is_file, F.col(name)).alias(name) for name in names],
+        F.when(is_file, 0).otherwise(1).alias("minor"),
+    )
+    totals = rows.groupBy(*REPO_FILENAME).agg(
+        *[F.any_value(name, F.lit(True)).alias(name) for name in names], F.sum("minor").alias("minor_contributor")
+    )
+    return _file_metrics(totals, "minor_contributor")
+
+
 def minor_contributors(window: DataFrame) -> DataFrame:
     """Per file, how many of its authors touched at most two files of the repository in the window.
 
@@ -153,20 +191,13 @@ CHURN_COLUMNS = [
 
 
 def churn_files(window: DataFrame, k: int | None = TOP_FILES) -> DataFrame:
-    """The ``k`` most committed files per repository (all when None), with ``position`` from 1.
-
-    The files are picked before minor contributors are attached, so that join sees only picked files.
-    """
-    churn = file_churn(window)
+    """The ``k`` most committed files per repository (all when None), with ``position`` from 1."""
+    churn = file_churn_with_minors(window)
     if k is None:
         picked = all_positions(churn, ["repo_id"], churn_order(), "position")
     else:
         picked = top_positions(churn, ["repo_id"], churn_order(), k, "position")
-    return (
-        picked.join(minor_contributors(window), REPO_FILENAME, "left")
-        .withColumn("minor_contributor", F.coalesce("minor_contributor", F.lit(0)))
-        .select("repo_id", F.col("position").cast("int").alias("position"), "filename", *CHURN_COLUMNS)
-    )
+    return picked.select("repo_id", F.col("position").cast("int").alias("position"), "filename", *CHURN_COLUMNS)
 
 
 def churn_totals(

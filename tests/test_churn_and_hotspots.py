@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from stratalens import bindings as b
 from stratalens.operators import churn as ch
 from stratalens.operators import hotspots as hs
 from stratalens.schemas import COMMIT_FILES
@@ -121,3 +122,21 @@ def test_matrix_without_any_churn(make):
     ranked = make([("r", 1, "a", 0.0, 0.0)], RANKED)
     point = hs.prioritization_matrix(ranked, churn_rows(make, ("zzz", 1, 1)).limit(0)).first()
     assert (point.commits, point.x, point.y, point.quadrant) == (0, 0.0, 0.0, hs.SAFE)
+
+
+def test_minor_contributors_in_the_same_pass(spark, rows):
+    window = ch.history_window(b.bind(spark, "/root/testdata/sf0.001", b.COMMIT_FILES), b.AS_OF, b.MONTHS)
+    once, plain = ch.file_churn_with_minors(window), ch.file_churn(window)
+    assert rows(once.drop("minor_contributor")) == rows(plain) != []
+    minor = once.where("minor_contributor > 0").select("repo_id", "filename", "minor_contributor")
+    assert rows(minor) == rows(ch.minor_contributors(window)) != []
+    assert once._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+
+
+def test_authors_without_a_name_are_no_minor_contributors(commits, rows):
+    table = commits(
+        ("h1", "", "2023-07-01", "x", 1, 0), ("h2", "a", "2023-07-02", "x", 2, 0), ("h3", "a", "2023-07-03", "y", 1, 1),
+        *[(f"h{i}", "b", "2023-07-04", name, 1, 0) for i, name in enumerate("xyz", 4)],
+    )
+    found = ch.file_churn_with_minors(table).select("filename", "commits", "total_contributor", "minor_contributor")
+    assert rows(found) == [("x", 3, 2, 1), ("y", 2, 2, 1), ("z", 1, 1, 0)]
