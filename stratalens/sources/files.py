@@ -188,9 +188,40 @@ def file_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg(F.count("*").alias("file_count"))
 
 
+# Length of the pieces of text that requested names are looked up by.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of ``GRAM`` characters; null for a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    pieces = F.transform(starts, lambda start: F.substr(text, start, F.lit(GRAM)))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(pieces))
+
+
 def missing_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of ``wanted(repo_id, text)``, a short list of requested names, that no path of the repository holds."""
-    requests = wanted.withColumnRenamed("repo_id", "_repo")
-    same = (F.col("repo_id") == F.col("_repo")) & F.contains(F.col("path"), F.col("text"))
-    held = files.select("repo_id", "path").join(requests, same).select("repo_id", "text").distinct()
+    """Texts of ``wanted(repo_id, text)``, requested names, that no path of the repository holds.
+
+    A text is compared only with the paths that hold the rarest of its pieces, so the work does not grow with names
+    times files. Texts shorter than a piece, which most paths hold, are compared with each path of their repository. A
+    null text is held by none.
+    """
+    asked = wanted.select("repo_id", "text").distinct()
+    pieces = asked.select("repo_id", "text", F.explode(_grams(F.col("text"))).alias("gram"))
+    paths = files.select("repo_id", "path")
+    postings = paths.select("repo_id", "path", F.explode(_grams(F.col("path"))).alias("gram")).join(
+        pieces.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi"
+    )
+    counts = postings.groupBy("repo_id", "gram").agg(F.count("*").alias("paths"))
+    rarest = (
+        pieces.join(counts, ["repo_id", "gram"], "left")
+        .groupBy("repo_id", "text")
+        .agg(F.min(F.struct(F.coalesce("paths", F.lit(0)).alias("paths"), "gram")).alias("rarest"))
+        .where(F.col("rarest.paths") > 0)
+        .select("repo_id", "text", "rarest.gram")
+    )
+    holds = F.contains(F.col("path"), F.col("text"))
+    met = postings.join(rarest, ["repo_id", "gram"]).where(holds).select("repo_id", "text")
+    short = asked.where(F.length("text") < GRAM)
+    held = met.unionByName(paths.join(short, "repo_id").where(holds).select("repo_id", "text")).distinct()
     return wanted.join(held, ["repo_id", "text"], "left_anti")

@@ -61,6 +61,15 @@ def test_missing_files(make, rows):
     assert rows(files.missing_files(known, wanted)) == [("r", "none")]
 
 
+def test_missing_files_by_pieces(make, rows):
+    paths = [("r", p) for p in ("src/main.py", "src/src/src.c", "a", "é/ü.py", "aaaa", "")] + [("s", "other.py"), ("s", None)]
+    texts = ["src", "src/s", "main.py", "src.cc", "aaa", "aaaaa", "é/", "ü.p", "ü.c", "a", "", "x", "zz", None, "src", "other.py"]
+    wanted = [(repo, text) for repo in "rst" for text in texts]
+    held = {(repo, text) for repo, text in wanted if text is not None and any(q == repo and p and text in p for q, p in paths)}
+    found = files.missing_files(make(paths, "repo_id string, path string"), make(wanted, "repo_id string, text string"))
+    assert rows(found.select("repo_id", "text")) == sorted((w for w in wanted if w not in held), key=lambda w: tuple(map(str, w)))
+
+
 def test_read_history(spark, tmp_path, rows):
     text = (
         "COMMIT:h1:a@x:100\n1\t2\tsrc/a.py\n-\t-\timg.png\n\nCOMMIT:h2:b:odd@x:200\n\nx\t2\ta.py\n1\ta.py\n"
