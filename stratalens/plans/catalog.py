@@ -38,6 +38,8 @@ SHOWN_NODES = 20
 LOOKED_UP = "dir3/f3.py"
 SEARCHED = "K7"
 ANALYSES_AGE = "2024-01-03"
+# Languages whose samples refer to each other's definitions.
+RANKED_LANGS = ["php", "python"]
 STORED_AT = dt.datetime(2024, 1, 1)
 
 
@@ -325,6 +327,12 @@ def repo_map_text(spark, folder):
     )
 
 
+def ranked_tags_of_text(spark, folder):
+    """Ranked definitions of code files, from their text."""
+    source = b.code_files(spark, folder, RANKED_LANGS)
+    return pipelines.ranked_tag_list(source).withColumn("rank", F.round("rank", 9))
+
+
 def prose_graph(spark, folder):
     return graph.graph_sizes(graph.keep_pairs(_prose(spark, folder, PROSE_LINKED)))
 
@@ -619,7 +627,7 @@ QUERIES: dict[str, Query] = {
         ranked_definitions, ordered_definitions, ranked_tags, file_rank_lookup,
         hotspots, hotspots_exact, hotspots_all_churn, prioritization_matrix,
         file_languages, extract_tags, backfill_refs, file_symbols, definition_tags,
-        repo_map_lines, repo_map_text, prose_graph, parse_numstat, history_roundtrip,
+        repo_map_lines, repo_map_text, ranked_tags_of_text, prose_graph, parse_numstat, history_roundtrip,
         *map(_tags_of, SAMPLES), tag_scopes, repo_map_scopes,
         symbol_tree, symbol_tree_of_text, tree_files, symbol_totals, symbol_search, total_files, missing_file_names,
         usage_totals, popular_repos, repo_popularity, recent_analyses, recent_leads, valid_leads, merged_analyses,

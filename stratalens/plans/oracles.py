@@ -374,6 +374,12 @@ _SECTIONS = (
     " SELECT repo_id, 'symbols', NULL, NULL, NULL, NULL, sum(line), count(*) FROM b_tags WHERE kind = 'def' GROUP BY repo_id UNION ALL"
     " SELECT repo_id, 'hotspots', NULL, NULL, sum(total_churn), NULL, NULL, count(*) FROM spots GROUP BY repo_id"
 )
+_RANKED_TAGS = (
+    "SELECT * FROM (SELECT x.repo_id, 1 AS section, x.file, x.ident, g.line, round(x.rank, 9) AS rank FROM rdef x"
+    " JOIN (SELECT DISTINCT repo_id, path, name, line FROM b_tags WHERE kind = 'def') g"
+    " ON g.repo_id = x.repo_id AND g.path = x.file AND g.name = x.ident UNION ALL"
+    " SELECT repo_id, 2, file, NULL, NULL, round(rank, 9) FROM ranks ANTI JOIN rdef USING (repo_id, file))"
+)
 
 
 def _sql(blocks: list[tuple[str, str]], query: str) -> str:
@@ -516,12 +522,9 @@ ORACLES: dict[str, str] = {
         "SELECT repo_id, file, ident, round(rank, 9) AS rank, row_number() OVER (PARTITION BY repo_id"
         " ORDER BY round(rank, 12) DESC, file DESC, ident DESC) AS position FROM rdef",
     ),
-    "ranked_tags": _sql(
-        _RANKS,
-        "SELECT * FROM (SELECT x.repo_id, 1 AS section, x.file, x.ident, g.line, round(x.rank, 9) AS rank FROM rdef x"
-        " JOIN (SELECT DISTINCT repo_id, path, name, line FROM b_tags WHERE kind = 'def') g"
-        " ON g.repo_id = x.repo_id AND g.path = x.file AND g.name = x.ident UNION ALL"
-        " SELECT repo_id, 2, file, NULL, NULL, round(rank, 9) FROM ranks ANTI JOIN rdef USING (repo_id, file))",
+    "ranked_tags": _sql(_RANKS, _RANKED_TAGS),
+    "ranked_tags_of_text": _sql(
+        [("b_tags", " UNION ALL ".join(_tags_of(lang) for lang in ("php", "python"))), *_RANKS[1:]], _RANKED_TAGS
     ),
     "file_rank_lookup": _sql(
         _RANKS,
