@@ -1,8 +1,9 @@
 """Tag extraction, language by language."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratalens.operators import tags as tg
+from stratalens.operators import graph, tags as tg, text
 from stratalens.sources.rules import EXTENSION_LANGUAGES, RULES, Rule, read_rules, rules_table
 
 FILES = "repo_id string, path string, content string"
@@ -201,3 +202,30 @@ def test_rules_from_a_file(spark, tmp_path, make, rows):
     assert sorted(loaded) == sorted(own)
     tags = tg.tag_files(make([("r", "a.note", "# Top\nsee [Top]")], FILES), rules=loaded, extensions={"note": "note"})
     assert rows(tags) == [("r", "a.note", 0, "Top", "def"), ("r", "a.note", 1, "Top", "ref")]
+
+
+@pytest.fixture
+def texts(spark):
+    """Few narrow rows that become many texts, as a table or a folder does: of the texts Spark sees the size of the rows only."""
+    rows = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(400))).alias("k")).select(F.col("k").cast("string"), F.lit("def part{k}():\n    part{k}(make{k})\n").alias("t"))
+    path = F.concat(F.lit("src/"), "k", F.lit(".py"))
+    return rows.select(F.lit("r").alias("repo_id"), path.alias("path"), F.replace("t", F.lit("{k}"), "k").alias("content"))
+
+
+def _planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_repository_map_broadcasts_no_tags(spark, texts):
+    """A kept table counts with the size it has, and blocks are never taken to be small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300")
+    try:
+        pairs = graph.keep_pairs(tg.tag_files(texts))
+        assert int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1000
+        lines = text.repo_map_lines(tg.tag_definitions(texts, with_text=True, with_scopes=True), pairs)
+        blocks = text.repo_map_text(lines, pairs.select("repo_id", F.col("path").alias("file")).distinct())
+        assert "BroadcastHashJoin" not in _planned(blocks)
+        assert blocks.count() == 400
+        assert blocks.where("path = 'src/7.py'").first()["text"] == "src/7.py:\ndef part7():"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
