@@ -13,7 +13,8 @@ def tag_scopes(definitions: DataFrame) -> DataFrame:
 
     ``heads`` are the lines of the blocks that enclose it, outermost first, ``depth`` their number. ``qualified_name`` leads with
     the names defined on those lines; a block without a definition, such as a loop, adds none. Names are joined by lines, so
-    a file of any size is spread over the cluster.
+    a file of any size is spread over the cluster. The join is not left to Spark's guess of a size: both sides are made from
+    texts, of which it sees only the table before them.
     """
     found = definitions.where(F.col("kind") == "def").select(*_PLACE, "name", "scopes").distinct()
     # Of several definitions on one line the first by name stands for it.
@@ -22,7 +23,7 @@ def tag_scopes(definitions: DataFrame) -> DataFrame:
         "repo_id", "path", F.col("line").alias("_line"), "name", F.posexplode_outer(F.col("scopes.line")).alias("_at", "line")
     )
     chains = (
-        heads.join(named, _PLACE, "left")
+        heads.join(named.hint("merge"), _PLACE, "left")
         .groupBy("repo_id", "path", F.col("_line").alias("line"), "name")
         .agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "line", "_enclosing")))).alias("_chain"))
     )

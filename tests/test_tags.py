@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import graph, tags as tg, text
+from stratalens.operators import graph, scopes, tags as tg, text
 from stratalens.sources.rules import EXTENSION_LANGUAGES, RULES, Rule, read_rules, rules_table
 
 FILES = "repo_id string, path string, content string"
@@ -229,3 +229,13 @@ def test_repository_map_broadcasts_no_tags(spark, texts):
         assert blocks.where("path = 'src/7.py'").first()["text"] == "src/7.py:\ndef part7():"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scopes_broadcast_no_tags(spark, texts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        found = scopes.tag_scopes(tg.tag_definitions(texts, with_text=True, with_scopes=True))
+        assert "BroadcastHashJoin" not in _planned(found)
+        assert found.count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
