@@ -9,7 +9,9 @@ segmented scan: within a split along its lines, from split to split by a table o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +117,28 @@ def _carry_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch_of([[value] for value in (*split, last, None)])
 
 
+def repository_of(address: str, base: str) -> str:
+    """The repository of a log by its percent-encoded address: as ``_repository`` of its path below ``base``, else of its name."""
+    path = unquote(address)  # a plus stands for itself
+    _, below, inside = path.partition(f"{base}/")
+    path = inside if below else path.rpartition("/")[2]
+    folder = re.search(r"(?:^|/)repo_id=([^/]*)/", path)
+    return (folder and folder.group(1)) or re.sub(r"(?<=[^/])\.[^./]*$", "", path)
+
+
+def _carry_in_logs(base: str):
+    """``_carry_headers`` for lines that come without a repository, which is found once per log and batch, not per line."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs = batch.column("log").dictionary_encode()
+            repos = pa.array([repository_of(log, base) for log in logs.dictionary.to_pylist()], pa.string())
+            columns = [repos.take(logs.indices), *(batch.column(c) for c in ("log", "start", "line"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["repo_id", "log", "start", "line"])
+
+    return lambda batches: _carry_headers(named(batches))
+
+
 def _headers_between_splits(edges: DataFrame) -> DataFrame:
     """Lines before the first header of their split, with the last header of an earlier split of the log.
 
@@ -158,19 +182,24 @@ def read_history(spark: SparkSession, folder: str) -> DataFrame:
     if longest.get(True, 0) > SPLIT_BYTES:
         split_sources.append(in_tasks)
     if False in longest:
-        lines = _spark_lines(spark, folder, base)
+        lines = _spark_lines(spark, folder)
         sources.append(lines.drop("size"))
         if longest[False] > whole:
             split_sources.append(lines.where(F.col("size") > whole).drop("size"))
-    headed = _united(sources).where(F.col("header").isNotNull() & F.col("line").isNotNull()).select("repo_id", "header", "line")
+    headed = _united(sources, base).where(F.col("header").isNotNull() & F.col("line").isNotNull()).select("repo_id", "header", "line")
     if not split_sources:
         return headed
-    edges = cut_lineage(_united(split_sources).where(F.col("header").isNull() | F.col("line").isNull()))
+    edges = cut_lineage(_united(split_sources, base).where(F.col("header").isNull() | F.col("line").isNull()))
     return headed.unionByName(_headers_between_splits(edges))
 
 
-def _united(sources: list[DataFrame]) -> DataFrame:
-    carried = [source.where(_counts_or_header(F.col("line"))).mapInArrow(_carry_headers, _CARRIED) for source in sources]
+def _united(sources: list[DataFrame], base: str) -> DataFrame:
+    carried = [
+        source.where(_counts_or_header(F.col("line"))).mapInArrow(
+            _carry_headers if "repo_id" in source.columns else _carry_in_logs(base), _CARRIED
+        )
+        for source in sources
+    ]
     return carried[0] if len(carried) == 1 else carried[0].unionByName(carried[1])
 
 
@@ -178,16 +207,10 @@ def _counts_or_header(line: Column) -> Column:
     return F.startswith(line, F.lit(HEADER)) | F.contains(line, F.lit("\t"))
 
 
-def _spark_lines(spark: SparkSession, folder: str, base: str) -> DataFrame:
-    """(repo_id, log, start, line, size) of the logs that Spark's reader sees, the lines of a split in order."""
+def _spark_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(log, start, line, size) of the logs that Spark's reader sees, the lines of a split in order."""
     texts = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(folder)
-    # The address of a file is percent-encoded, where a plus stands for itself.
-    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    at = F.instr(address, f"{base}/")
-    inside = F.substring(address, at + len(base) + 1, F.length(address))
-    path = F.when(at > 0, inside).otherwise(F.col("_metadata.file_name"))
     return texts.select(
-        _repository(path).alias("repo_id"),
         F.col("_metadata.file_path").alias("log"),
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value").alias("line"),

@@ -129,6 +129,17 @@ def test_commits_that_span_splits(spark, tmp_path, rows, monkeypatch, name, size
     assert got == sorted(commits, key=lambda row: tuple(map(str, row)))
 
 
+def test_repositories_are_named_once_per_log(spark, tmp_path, rows):
+    """No line is put through an address decoder or a pattern to find the repository of its log."""
+    for i, name in enumerate(["a b+c.log", "100%25.x.log", "repo_id=q/part", "deep/é.txt"]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"COMMIT:h{i}:a@x:1\n1\t2\tf{i}\n")
+    lines = history.read_history(spark, str(tmp_path))
+    assert "decode" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    want = [("a b+c", "h0"), ("100%25.x", "h1"), ("q", "h2"), ("deep/é", "h3")]
+    assert rows(lines) == sorted((repo, f"COMMIT:{h}:a@x:1", f"1\t2\tf{h[1]}") for repo, h in want)
+
+
 def test_only_missing_and_denied_files_are_passed_over(tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     read = files._read_contents(str(tmp_path))
