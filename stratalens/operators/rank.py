@@ -302,14 +302,15 @@ RANKED_TAG, BARE_FILE = 1, 2
 def ranked_tags(tags: DataFrame, pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     """Tags of ranked definitions, then the ranked files that have none.
 
-    Rows sort by ``section`` (1 tags, 2 bare files), then rank and names descending, then line.
+    Rows sort by ``section`` (1 tags, 2 bare files), then rank and names descending, then line. ``tags`` may come straight from
+    texts, whose size Spark cannot guess, so they are never broadcast.
     """
     found = tags.where(F.col("kind") == "def").select(
         "repo_id", F.col("path").alias("file"), F.col("name").alias("ident"), "line"
     ).distinct()
     tagged = (
         ranked_definitions(pairs, ranks)
-        .join(found, ["repo_id", "file", "ident"])
+        .join(found.hint("merge"), ["repo_id", "file", "ident"])
         .select("repo_id", F.lit(RANKED_TAG).alias("section"), "file", "ident", "line", "rank")
     )
     bare = (

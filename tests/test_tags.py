@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import graph, scopes, tags as tg, text
+from stratalens.operators import graph, rank, scopes, tags as tg, text
 from stratalens.sources.rules import EXTENSION_LANGUAGES, RULES, Rule, read_rules, rules_table
 
 FILES = "repo_id string, path string, content string"
@@ -239,3 +239,15 @@ def test_scopes_broadcast_no_tags(spark, texts):
         assert found.count() == 400
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ranked_tags_broadcast_no_tags(spark, texts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300")
+    try:
+        pairs = graph.keep_pairs(tg.tag_files(texts))
+        ranks = pairs.select("repo_id", F.col("path").alias("file"), F.lit(1.0).alias("rank")).distinct()
+        listed = rank.ranked_tags(tg.tag_definitions(texts), pairs, ranks)
+        assert "BroadcastHashJoin" not in _planned(listed)
+        assert listed.where("ident = 'part7' and line = 0").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
