@@ -161,3 +161,22 @@ def test_degrees_take_few_shuffles(spark, tmp_path):
     degrees = graph.file_degrees(spark.read.parquet(str(tmp_path / "pairs")))
     plan = degrees._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 3 and plan.count("Join") == 2
+
+
+def test_degrees_look_names_up_unsorted(spark, make, rows):
+    """Pairs are not sorted for the lookup, and only names that someone defines are looked up; linked names take one sum by name."""
+    pairs = make(
+        [("r", "a", "f", 2, True), ("r", "a", "g", 1, False), ("r", "b", "g", 1, False), ("r", None, "f", 1, True),
+         (None, "a", "f", 1, True), ("s", "c", "h", 0, True), ("s", "d", "h", 0, False)],
+        "repo_id string, name string, path string, ref_count long, is_defined boolean",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        degrees = graph.file_degrees(pairs)
+        assert "ShuffledHashJoin" in degrees._jdf.queryExecution().sparkPlan().toString()
+        assert rows(degrees) == [("r", "f", 1, 2), ("r", "g", 1, 0), ("s", "h", 1, 1)]
+        linked = graph.linked_names(pairs)
+        assert linked._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 2
+        assert rows(linked) == [("r", "a"), ("s", "c")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
