@@ -3,6 +3,8 @@
 The low bits of each number are packed side by side; of the high bits, ``one`` bits stand for the numbers and a ``zero`` bit
 ends each value of the high part. The numbers with high part h follow the h-th zero, which the zeros before
 each block of 512 bits and a popcount find; among their low bits the search finds its successor by halving.
+
+Where the high part is the place of a parent, the high bits are pointers: each parent's children in unary, one after another.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ _BLOCK = 512
 _HALVES = [(32, 0xFFFFFFFF), (16, 0xFFFF), (8, 0xFF), (4, 0xF), (2, 0x3), (1, 0x1)]
 
 
-def encode(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of the code of ``values``: sorted, distinct, uint64, one at least."""
+def encode(values: np.ndarray, low_bits: int | None = None) -> dict[str, np.ndarray]:
+    """Arrays of the code of ``values``: sorted, distinct, uint64, one at least.
+
+    With ``low_bits`` the high part of a number is all above them, for ``spans``; without, what takes least room."""
     n = len(values)
-    base = values[0]
+    base = values[0] if low_bits is None else _U(0)
     shifted = values - base
-    low_bits = max(int(int(shifted[-1]) // n).bit_length() - 1, 0)
+    if low_bits is None:
+        low_bits = max(int(int(shifted[-1]) // n).bit_length() - 1, 0)
     high = (shifted >> _U(low_bits)).astype(np.int64)
     words = np.zeros(n * low_bits // 64 + 2, dtype=np.uint64)
     if low_bits:
@@ -71,21 +76,20 @@ def _nth_zero(code: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
     return word * 64 + position
 
 
-def find(code: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
-    """Index of each query among the coded numbers, -1 where it is none of them."""
-    n, low_bits, last_high = (int(x) for x in code["head"])
-    out = np.full(len(queries), -1, dtype=np.int64)
-    inside = np.flatnonzero(queries >= code["base"][0])
-    shifted = queries[inside] - code["base"][0]
-    high = shifted >> _U(low_bits)
-    near = high <= _U(last_high)
-    inside, shifted, high = inside[near], shifted[near], high[near].astype(np.int64)
-    low = shifted & _U((1 << low_bits) - 1)
-    first = np.zeros(len(inside), dtype=np.int64)
-    later = high > 0
-    first[later] = _nth_zero(code, high[later] - 1) + 1 - high[later]
-    end = _nth_zero(code, high) - high
-    words = code["low"]
+def spans(code: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the numbers of each high part begin and end; an empty span where there are none."""
+    first, end = np.zeros((2, len(high)), dtype=np.int64)
+    near = np.flatnonzero(high <= _U(code["head"][2]))
+    inside = high[near].astype(np.int64)
+    later = near[inside > 0]
+    first[later] = _nth_zero(code, inside[inside > 0] - 1) + 1 - inside[inside > 0]
+    end[near] = _nth_zero(code, inside) - inside
+    return first, end
+
+
+def search(code: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Index of the number with these low bits in each span, -1 where there is none."""
+    low_bits, words = int(code["head"][1]), code["low"]
 
     def low_of(i: np.ndarray) -> np.ndarray:
         if not low_bits:
@@ -98,7 +102,7 @@ def find(code: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
         return value & _U((1 << low_bits) - 1)
 
     # The numbers of one high part are in order; a frequent context has very many, so they are halved, not walked.
-    below, above = first, end.copy()
+    below, above = first.copy(), end.copy()
     active = np.flatnonzero(below < above)
     while len(active):
         middle = (below[active] + above[active]) >> 1
@@ -106,7 +110,19 @@ def find(code: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
         below[active[less]] = middle[less] + 1
         above[active[~less]] = middle[~less]
         active = active[below[active] < above[active]]
+    out = np.full(len(low), -1, dtype=np.int64)
     held = np.flatnonzero(below < end)
     held = held[low_of(below[held]) == low[held]]
-    out[inside[held]] = below[held]
+    out[held] = below[held]
+    return out
+
+
+def find(code: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
+    """Index of each query among the coded numbers, -1 where it is none of them."""
+    low_bits = int(code["head"][1])
+    out = np.full(len(queries), -1, dtype=np.int64)
+    inside = np.flatnonzero(queries >= code["base"][0])
+    shifted = queries[inside] - code["base"][0]
+    first, end = spans(code, shifted >> _U(low_bits))
+    out[inside] = search(code, first, end, shifted & _U((1 << low_bits) - 1))
     return out

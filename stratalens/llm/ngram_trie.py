@@ -1,21 +1,28 @@
-"""Language-model scores from a bigram trie in Elias-Fano code.
+"""Language-model scores from an n-gram trie in Elias-Fano code, of two or three words.
 
 Level 1 of the trie holds the training tokens by the hash of their word, with exact counts and the weight that a context
 leaves to unseen successors. Level 2 holds each context's successors: a number is the context's 34-bit part of its hash,
 then 30 bits for the successor relative to that context, so successors of a context lie together and the whole level is one
-monotone sequence. Counts there are quantised to a byte. Each level is cut into files of even size that tasks map into
-memory and search by successor; a task touches only the pages it needs, and nothing is broadcast but file names and borders.
+monotone sequence. Counts there are quantised to a byte. Level 3 holds the successors of each node of level 2, by the node's place in its file
+and up to 40 bits of the word's hash; in its Elias-Fano code the high bits are the pointers from level 2: each node's children
+in unary. Each level is cut into files of even size that tasks map into memory and search by successor; a task touches only the
+pages it needs, and nothing is broadcast but file names and borders.
 
 The probability of a token after a context is interpolated absolute discounting:
 
     p(w | v) = max(c(v w) - D, 0) / c(v) + D distinct(v) / c(v) p(w),    p(w) = (c(w) + 1) / (N + V + 1)
 
 with D = n1 / (n1 + 2 n2) from the numbers of pairs met once and twice; after an unknown context it is p(w). The context of
-a text's first word is the end of a text.
+a text's first word is the end of a text. With three words, from the second word of a text on,
 
-Training is two passes over the texts. Tasks sum equal tokens and pairs before anything is shuffled. Pairs go to level 2 as
+    p(w | u v) = max(c(u v w) - E, 0) / c(u v) + E distinct(u v) / c(u v) p(w | v)
+
+with E from the triples as D from the pairs; after an unknown pair it is p(w | v).
+
+Training is a pass over the texts for each level. Tasks sum equal tokens and pairs before anything is shuffled. Pairs go to level 2 as
 compressed sorted runs, by ranges of their number whose borders follow the counts of level 1, so a context that holds a
-third of all text is spread over many files. The files lie in the folder of ``spark.checkpoint.dir``, which must be mounted
+third of all text is spread over many files. The children of a file of level 2 are one file of level 3, or, where its pairs are
+so frequent that there may be too many, several by ranges of the child's hash, so a hot pair is spread, too. The files lie in the folder of ``spark.checkpoint.dir``, which must be mounted
 on all executors.
 
 Defined results: a null or blank text has one token, its end; a null id counts as the empty text for the split; without
@@ -27,7 +34,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -46,6 +53,7 @@ _U = np.uint64
 END = word_hashes([b""])[0]  # no word is empty
 CONTEXT_BITS = 34
 _REST = 64 - CONTEXT_BITS
+CHILD_BITS = 40
 PAIRS_PER_FILE = 2_000_000
 WORDS_PER_FILE = 1 << 18
 _TOKENS_AT_ONCE = 1 << 22
@@ -60,6 +68,8 @@ class Model:
     discount: float
     word_files: int
     borders: tuple[int, ...]  # first number of each level-2 file but the first
+    parts: tuple[int, ...] = ()  # number of level-3 files below each level-2 file; none if there are two levels
+    child_discount: float = 0.0
 
 
 def tokens_of(text: bytes | None) -> np.ndarray:
@@ -74,6 +84,11 @@ def pair_numbers(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return pair_number(before, tokens)
 
 
+def child_bits(pairs: int) -> int:
+    """Bits that tell a word among the children of a node, in a file of ``pairs`` nodes."""
+    return min(CHILD_BITS, 64 - pairs.bit_length())
+
+
 def pair_number(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     rest = mixed(context * _U(0x9E3779B97F4A7C15) + word) >> _U(CONTEXT_BITS)
     return (context >> _U(_REST) << _U(_REST)) | rest
@@ -188,7 +203,8 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 _CODE = [("head", np.int64), ("base", np.uint64), ("low", np.uint64), ("high", np.uint64), ("zeros", np.int64)]
 _WORDS = [*_CODE, ("count", np.int64), ("rest", np.uint16)]
-_PAIRS = [*_CODE, ("count", np.uint8)]
+_PAIRS = [*_CODE, ("count", np.uint8), ("many", np.int64), ("many_at", np.int64)]
+_TRIPLES = [*_CODE, ("count", np.uint8)]
 
 
 def _mapped(folder: str, name: str, kinds: list[tuple[str, type]]) -> dict[str, np.ndarray] | None:
@@ -204,34 +220,117 @@ def _mapped(folder: str, name: str, kinds: list[tuple[str, type]]) -> dict[str,
     return out
 
 
+def _summed(keys: list[np.ndarray], counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of runs, and the sums of their packed counts."""
+    keys, counts = np.concatenate(keys), np.concatenate([_unpacked(c, np.uint32) for c in counts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts.astype(np.int64), first)
+
+
 def _build_pairs(runs: DataFrame, folder: str, files: int) -> DataFrame:
-    """Write the ``files`` files of level 2; context, distinct (its number of successors), and n1, n2 once per file."""
+    """Write the ``files`` files of level 2; context, distinct (its number of successors), and n1, n2, tokens once per file."""
 
     def run(table: pa.Table) -> pa.Table:
         number, table = table["file"][0].as_py(), table.filter(pc.is_valid(table["keys"]))
         if not table.num_rows:
             _write(folder, f"pairs-{number}", {})
-            return pa.table([pa.array([], pa.int64())] * 4, names=["context", "distinct", "n1", "n2"])
-        keys = np.concatenate([np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in table["keys"]])
-        counts = np.concatenate([_unpacked(c, np.uint32) for c in table["counts"]])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        numbers, sums = keys[first], np.add.reduceat(counts.astype(np.int64), first)
-        _write(folder, f"pairs-{number}", elias_fano.encode(numbers) | {"count": quantise(sums)})
+            return pa.table([pa.array([], pa.int64())] * 6, names=["context", "distinct", "n1", "n2", "file", "tokens"])
+        numbers, sums = _summed(
+            [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in table["keys"]], table["counts"]
+        )
+        many = np.flatnonzero(sums >= _EXACT)  # contexts of level 3 count as they are
+        code = elias_fano.encode(numbers)
+        _write(folder, f"pairs-{number}", code | {"count": quantise(sums), "many": sums[many], "many_at": many})
         contexts, distinct = np.unique(numbers >> _U(_REST), return_counts=True)
         once, twice = int((sums == 1).sum()), int((sums == 2).sum())
         zeros = np.zeros(len(contexts), dtype=np.int64)
-        n1, n2 = zeros.copy(), zeros.copy()
-        n1[0], n2[0] = once, twice
+        n1, n2, tokens = zeros.copy(), zeros.copy(), zeros.copy()
+        n1[0], n2[0], tokens[0] = once, twice, sums.sum()
         return pa.table(
-            [pa.array(contexts.astype(np.int64)), pa.array(distinct.astype(np.int64)), pa.array(n1), pa.array(n2)],
-            names=["context", "distinct", "n1", "n2"],
+            [pa.array(c) for c in (contexts.astype(np.int64), distinct.astype(np.int64), n1, n2, zeros + number, tokens)],
+            names=["context", "distinct", "n1", "n2", "file", "tokens"],
         )
 
     # A row for each file, so that also one without pairs is written.
     every = runs.sparkSession.range(files).select(F.col("id").cast("int").alias("file"), *(F.lit(None).cast("binary").alias(c) for c in ("keys", "counts")))
-    return runs.unionByName(every).groupBy("file").applyInArrow(run, "context long, distinct long, n1 long, n2 long")
+    return runs.unionByName(every).groupBy("file").applyInArrow(
+        run, "context long, distinct long, n1 long, n2 long, file long, tokens long"
+    )
+
+
+def _triple_runs(docs: DataFrame, model: Model) -> DataFrame:
+    """file, bits, keys, counts: runs of children by their node in level 2 and the first ``bits`` bits of their word."""
+    first = np.concatenate([[0], np.cumsum(model.parts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for tokens, ends in _chunks(batches):
+            child = _children(len(tokens), ends)
+            above, words = pair_numbers(tokens, ends)[child - 1], tokens[child]
+            for at in range(0, len(child), _TOKENS_AT_ONCE):  # a single text may be longer
+                pairs, place = np.unique(above[at : at + _TOKENS_AT_ONCE], return_inverse=True)
+                short = words[at : at + _TOKENS_AT_ONCE] >> _U(64 - CHILD_BITS)
+                triples, counts = np.unique(place.astype(np.uint64) << _U(CHILD_BITS) | short, return_counts=True)
+                place, short = (triples >> _U(CHILD_BITS)).astype(np.int64), triples & _U((1 << CHILD_BITS) - 1)
+                for file, level, pair, index in _look_up(model, "pairs", _pair_files(model, pairs), pairs):
+                    low, high = np.searchsorted(place, [pair[0], pair[-1] + 1])
+                    bits = child_bits(int(level["head"][0]))
+                    keys = index[place[low:high] - pair[0]].astype(np.uint64) << _U(bits) | short[low:high] >> _U(CHILD_BITS - bits)
+                    part = _part(short[low:high], model.parts[file])
+                    for p in range(model.parts[file]):
+                        mine = slice(None) if model.parts[file] == 1 else part == p
+                        if len(keys[mine]):
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array([int(first[file] + p)], pa.int32()),
+                                    pa.array([bits], pa.int32()),
+                                    pa.array([press.compress(_planes(np.diff(keys[mine], prepend=_U(0))))], pa.binary()),
+                                    pa.array([press.compress(counts[low:high][mine].astype(np.uint32).tobytes())], pa.binary()),
+                                ],
+                                names=["file", "bits", "keys", "counts"],
+                            )
+
+    return docs.mapInArrow(run, "file int, bits int, keys binary, counts binary")
+
+
+def _children(tokens: int, ends: np.ndarray) -> np.ndarray:
+    """Places of all tokens but the first of each text."""
+    later = np.ones(tokens, dtype=bool)
+    later[np.concatenate([[0], ends[:-1]])] = False
+    return np.flatnonzero(later)
+
+
+def _part(short: np.ndarray, parts: int) -> np.ndarray:
+    """Range of the first CHILD_BITS bits of a word that it lies in, of ``parts`` even ranges."""
+    return ((short >> _U(CHILD_BITS - 32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then all second bytes: bytes that are mostly zero lie together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _build_triples(runs: DataFrame, folder: str, files: int) -> DataFrame:
+    """Write the ``files`` files of level 3; n1, n2 of each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, table = table["file"][0].as_py(), table.filter(pc.is_valid(table["keys"]))
+        if not table.num_rows:
+            _write(folder, f"triples-{number}", {})
+            return pa.table([pa.array([0], pa.int64())] * 2, names=["n1", "n2"])
+        keys = (_unpacked(k, np.uint8).reshape(8, -1).T for k in table["keys"])
+        keys = [np.cumsum(np.ascontiguousarray(k).view(np.uint64).ravel(), dtype=np.uint64) for k in keys]
+        numbers, sums = _summed(keys, table["counts"])
+        _write(folder, f"triples-{number}", elias_fano.encode(numbers, table["bits"][0].as_py()) | {"count": quantise(sums)})
+        return pa.table([pa.array([int((sums == n).sum())], pa.int64()) for n in (1, 2)], names=["n1", "n2"])
+
+    every = runs.sparkSession.range(files).select(
+        F.col("id").cast("int").alias("file"),
+        *(F.lit(None).cast(kind).alias(c) for c, kind in (("bits", "int"), ("keys", "binary"), ("counts", "binary"))),
+    )
+    return runs.unionByName(every).groupBy("file").applyInArrow(run, "n1 long, n2 long")
 
 
 def _build_words(words: DataFrame, contexts: DataFrame, folder: str, bits: int, discount: float) -> DataFrame:
@@ -274,8 +373,10 @@ def mounted(folder: str) -> str:
     return url.path
 
 
-def train(docs: DataFrame) -> Model:
-    """``docs`` has body. Writes the trie and returns what tasks need to find their way in it."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """``docs`` has body. Writes the trie of ``order`` levels and returns what tasks need to find their way in it."""
+    if order not in (2, 3):
+        raise ValueError(f"a trie has 2 or 3 levels, not {order}")
     folder = shared_folder(docs.sparkSession)
     path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
@@ -286,29 +387,43 @@ def train(docs: DataFrame) -> Model:
     files = tokens // PAIRS_PER_FILE + 1
     borders = file_borders(words, tokens, files)
     built = store(_build_pairs(_pair_runs(docs, borders), folder, files))
-    once = built.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
-    n1, n2 = int(once["n1"] or 0), int(once["n2"] or 0)
-    discount = n1 / (n1 + 2 * n2) if n1 else 0.5
+    discount = _discount(built)
     bits = max((types // WORDS_PER_FILE).bit_length(), 0)
     contexts = built.groupBy("context").agg(F.sum("distinct").alias("distinct"))
     store(_build_words(words, contexts, folder, bits, discount))
-    return Model(folder, tokens, types, discount, 1 << bits, borders)
+    model = Model(folder, tokens, types, discount, 1 << bits, borders)
+    if order == 2:
+        return model
+    weights = {r["file"]: r["tokens"] for r in built.where("tokens > 0").select("file", "tokens").collect()}
+    model = replace(model, parts=tuple(weights.get(f, 0) // (2 * PAIRS_PER_FILE) + 1 for f in range(files)))
+    return replace(model, child_discount=_discount(store(_build_triples(_triple_runs(docs, model), folder, sum(model.parts)))))
+
+
+def _discount(built: DataFrame) -> float:
+    once = built.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    n1, n2 = int(once["n1"] or 0), int(once["n2"] or 0)
+    return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
 @lru_cache(maxsize=4096)
 def _open(folder: str, name: str) -> dict[str, np.ndarray] | None:
-    return _mapped(folder, name, _WORDS if name.startswith("words") else _PAIRS)
+    return _mapped(folder, name, {"words": _WORDS, "pairs": _PAIRS, "triples": _TRIPLES}[name.split("-")[0]])
 
 
 def _look_up(model: Model, name: str, file_of: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
-    """For sorted queries: (slice, file, index in the file) of each file met."""
+    """For sorted queries, of each file met: (file, its arrays, queries that are in it, their index in the file)."""
     files, starts = np.unique(file_of, return_index=True)
     for file, low, high in zip(files, starts, [*starts[1:], len(queries)]):
         level = _open(model.folder, f"{name}-{int(file)}")
         if level is not None:
             index = elias_fano.find(level, queries[low:high])
             known = np.flatnonzero(index >= 0)
-            yield low + known, level, index[known]
+            if len(known):
+                yield int(file), level, low + known, index[known]
+
+
+def _pair_files(model: Model, pairs: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(model.borders, dtype=np.uint64), pairs, side="right")
 
 
 def score_tokens(model: Model, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,7 +433,7 @@ def score_tokens(model: Model, tokens: np.ndarray, ends: np.ndarray) -> tuple[np
     rest = np.ones(len(words))
     bits = model.word_files.bit_length() - 1
     file_of = (words >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), dtype=np.int64)
-    for at, level, index in _look_up(model, "words", file_of, words):
+    for _, level, at, index in _look_up(model, "words", file_of, words):
         counts[at] = level["count"][index]
         rest[at] = 10.0 ** (-level["rest"][index].astype(np.float64) / 4096)
     base = np.log10((counts + 1) / (model.tokens + model.types + 1))
@@ -329,15 +444,59 @@ def score_tokens(model: Model, tokens: np.ndarray, ends: np.ndarray) -> tuple[np
     before[np.concatenate([[0], ends[:-1]])] = np.searchsorted(words, END)  # every text has its end, so it is there
     pairs, where = np.unique(pair_number(words[before], words[place]), return_inverse=True)
     seen = np.zeros(len(pairs))
-    borders = np.array(model.borders, dtype=np.uint64)
-    for at, level, index in _look_up(model, "pairs", np.searchsorted(borders, pairs, side="right"), pairs):
+    nodes = []  # of each file: the pairs in it and their places there
+    for file, level, at, index in _look_up(model, "pairs", _pair_files(model, pairs), pairs):
         seen[at] = count_of(level["count"][index])
+        nodes.append((file, level, at, index))
     context = counts[before]
     direct = np.maximum(seen[where] - model.discount, 0) / np.maximum(context, 1)
     chance = np.where(context > 0, direct + rest[before] * single[place], single[place])
+    if model.parts:
+        child = _children(len(tokens), ends)
+        chance[child] = _with_children(model, nodes, len(pairs), where[child - 1], tokens[child], chance[child])
     return counts[place], base[place], np.log10(np.minimum(chance, 1.0))
 
 
+def _with_children(
+    model: Model, nodes: list[tuple], pairs: int, above: np.ndarray, words: np.ndarray, shorter: np.ndarray
+) -> np.ndarray:
+    """Probability of each word as a child of the pair ``above`` it, given that with a shorter context."""
+    short = words >> _U(64 - CHILD_BITS)
+    bits = child_bits(pairs)
+    order = np.argsort(above.astype(np.uint64) << _U(bits) | short >> _U(CHILD_BITS - bits))
+    above, short = above[order], short[order]
+    seen, distinct, context = np.zeros(len(above)), np.zeros(pairs), np.zeros(pairs)
+    first_part = np.concatenate([[0], np.cumsum(model.parts)])
+    for file, level, at, index in nodes:
+        context[at] = level["count"][index]
+        many = np.flatnonzero(context[at] >= _EXACT)
+        context[at[many]] = level["many"][np.searchsorted(level["many_at"], index[many])]
+        low, high = np.searchsorted(above, [at[0], at[-1] + 1])
+        place = np.zeros(at[-1] + 1 - at[0], dtype=np.int64) - 1
+        place[at - at[0]] = np.arange(len(at))
+        mine = place[above[low:high] - at[0]]
+        known = low + np.flatnonzero(mine >= 0)
+        mine = mine[known - low]
+        part = _part(short[known], model.parts[file])
+        for p in range(model.parts[file]):
+            children = _open(model.folder, f"triples-{int(first_part[file] + p)}")
+            if children is None:
+                continue
+            first, end = elias_fano.spans(children, index.astype(np.uint64))
+            distinct[at] += end - first
+            asked = np.flatnonzero(part == p)
+            word = short[known[asked]] >> _U(CHILD_BITS - int(children["head"][1]))
+            found = elias_fano.search(children, first[mine[asked]], end[mine[asked]], word)
+            hit = found >= 0
+            seen[known[asked[hit]]] = count_of(children["count"][found[hit]])
+    weight = context[above]
+    direct = np.maximum(seen - model.child_discount, 0) / np.maximum(weight, 1)
+    left = model.child_discount * distinct[above] / np.maximum(weight, 1)
+    out = np.empty(len(order))
+    out[order] = np.where(weight > 0, direct + left * shorter[order], shorter[order])
+    return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` has doc, held_out and body: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
 
@@ -378,9 +537,9 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(text) % folds == fold
 
 
-def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learn from the documents not held out and score all."""
+def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """Learn from the documents not held out and score all, by ``order`` - 1 words of context."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("body")
     )
-    return score(rows, train(rows.where("not held_out").select("body")))
+    return score(rows, train(rows.where("not held_out").select("body"), order))

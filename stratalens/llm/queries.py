@@ -58,7 +58,7 @@ def op8_host_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_ngram_trie(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_trie.train_and_score(_table(spark, folder, "documents"))
+    return ngram_trie.train_and_score(_table(spark, folder, "documents"), order=3)
 
 
 def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -258,6 +258,65 @@ def test_language_model(table, per_file, request, monkeypatch):
     assert Counter((*tuple(r)[:5], round(r["base_score"], 4)) for r in got) == want
 
 
+@pytest.mark.parametrize("table", ["odd", "repeated", "none", "documents"])
+@pytest.mark.parametrize("per_file", [None, 500])
+def test_language_model_of_three_words(table, per_file, request, monkeypatch):
+    """Two words of context, by brute force; with small files the children of a file of pairs are spread over several."""
+    if per_file:
+        monkeypatch.setattr(ngram_trie, "PAIRS_PER_FILE", per_file)
+        monkeypatch.setattr(ngram_trie, "WORDS_PER_FILE", per_file)
+    docs = request.getfixturevalue(table)
+    got = ngram_trie.train_and_score(docs, order=3).collect()
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b""]) for r in docs.collect()]
+    assert len(got) == len(rows)
+    words, pairs, triples = Counter(), Counter(), Counter()
+    for d, w in rows:
+        if zlib.crc32(str("" if d is None else d).encode()) % 7 != 2:
+            words.update(w)
+            pairs.update(zip([b"", *w[:-1]], w))
+            triples.update(zip([b"", *w[:-2]], w[:-1], w[1:]))
+    n, v = sum(words.values()), len(words)
+    met = lambda c, k: sum(x == k for x in c.values())
+    cut, cut3 = (met(c, 1) / (met(c, 1) + 2 * met(c, 2)) if met(c, 1) else 0.5 for c in (pairs, triples))
+    after, after3 = Counter(a for a, _ in pairs), Counter(t[:2] for t in triples)
+    kept = lambda c: ngram_trie.count_of(ngram_trie.quantise(np.array([c])))[0]
+    for d, w in rows:
+        full = 0.0
+        for i, x in enumerate(w):
+            p = (words[x] + 1) / (n + v + 1)
+            a = w[i - 1] if i else b""
+            if words[a]:
+                p = max(kept(pairs[a, x]) - cut, 0) / words[a] + cut * after[a] / words[a] * p
+            above = (w[i - 2] if i > 1 else b"", a)
+            if i and pairs[above]:
+                p = max(kept(triples[*above, x]) - cut3, 0) / pairs[above] + cut3 * after3[above] / pairs[above] * p
+            full += math.log10(min(1, p))
+        mine = [r for r in got if r["doc_id"] == d and r["n_tokens"] == len(w)]
+        assert min(abs(r["score"] - full) for r in mine) < 5e-4 * len(w)
+
+
+def test_the_query_sees_two_words_of_context(spark):
+    """Each word follows each other word, so only the pair before it tells what comes next."""
+    texts = ["a b c d", "e b f d", "a x c y", "e x f y"] * 20
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, triples = (ngram_trie.train_and_score(docs, order=n).agg({"score": "sum"}).first()[0] for n in (2, 3))
+    assert triples > pairs + 0.2 * len(rows)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {(r["doc_id"], round(r["score"], 6)) for r in ngram_trie.train_and_score(docs, order=3).collect()}
+    assert {(r["doc_id"], round(r["score"], 6)) for r in queries.op9_ngram_trie(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_a_hot_pair_is_spread_over_files(spark, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "PAIRS_PER_FILE", 500)
+    docs = spark.createDataFrame([(f"of the n{i}",) for i in range(5000)], "body string")
+    model = ngram_trie.train(docs, order=3)
+    assert max(model.parts) > 4
+    sizes = [ngram_trie._mapped(model.folder, f"triples-{f}", ngram_trie._TRIPLES) for f in range(sum(model.parts))]
+    sizes = [0 if f is None else int(f["head"][0]) for f in sizes]
+    assert sum(sizes) == 5000 + 5000 + 1 and max(sizes) < 3000
+
+
 def test_pairs_help_on_held_out_text(spark):
     rows = [r for r in queries.op9_ngram_trie(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
