@@ -13,6 +13,7 @@ import numpy as np
 
 _U = np.uint64
 _BLOCK = 512
+_AT_ONCE = 1 << 15
 _HALVES = [(32, 0xFFFFFFFF), (16, 0xFFFF), (8, 0xFF), (4, 0xF), (2, 0x3), (1, 0x1)]
 
 
@@ -50,22 +51,23 @@ def encode(values: np.ndarray, low_bits: int | None = None) -> dict[str, np.ndar
 
 def _nth_zero(code: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
     """Bit position of the k-th zero (from 0) of the high bits."""
-    high = code["high"]
+    out = np.empty(len(k), dtype=np.int64)
+    for at in range(0, len(k), _AT_ONCE):
+        out[at : at + _AT_ONCE] = _nth_zero_of_few(code, k[at : at + _AT_ONCE])
+    return out
+
+
+def _nth_zero_of_few(code: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
+    blocks = code["high"].reshape(-1, _BLOCK // 64)
     block = np.searchsorted(code["zeros"], k, side="right") - 1
     left = k - code["zeros"][block]
-    word = block * (_BLOCK // 64)
-    rest = ~high[word]
-    active = np.arange(len(k))
-    while True:
-        count = np.bitwise_count(rest[active]).astype(np.int64)
-        active_short = left[active] >= count
-        if not active_short.any():
-            break
-        short = active[active_short]
-        left[short] -= count[active_short]
-        word[short] += 1
-        rest[short] = ~high[word[short]]
-        active = short
+    words = ~blocks[block]
+    # Zeros of the block up to the end of each of its words.
+    upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
+    short = (upto <= left[:, None]).sum(axis=1)
+    row = np.arange(len(k))
+    left -= np.where(short > 0, upto[row, short - 1], 0)
+    rest = words[row, short]
     position = np.zeros(len(k), dtype=np.int64)
     for width, mask in _HALVES:
         count = np.bitwise_count(rest & _U(mask)).astype(np.int64)
@@ -73,7 +75,7 @@ def _nth_zero(code: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
         left = np.where(skip, left - count, left)
         position += np.where(skip, width, 0)
         rest = np.where(skip, rest >> _U(width), rest)
-    return word * 64 + position
+    return block * _BLOCK + short * 64 + position
 
 
 def spans(code: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +83,17 @@ def spans(code: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np
     first, end = np.zeros((2, len(high)), dtype=np.int64)
     near = np.flatnonzero(high <= _U(code["head"][2]))
     inside = high[near].astype(np.int64)
-    later = near[inside > 0]
-    first[later] = _nth_zero(code, inside[inside > 0] - 1) + 1 - inside[inside > 0]
-    end[near] = _nth_zero(code, inside) - inside
+    start = np.zeros(len(near), dtype=np.int64)
+    later = np.flatnonzero(inside)
+    start[later] = _nth_zero(code, inside[later] - 1) + 1
+    # The ones from there on are the span; few reach beyond their word.
+    off = (start & 63).astype(np.uint64)
+    zeros = ~code["high"][start >> 6] >> off
+    ones = np.bitwise_count((zeros & (~zeros + _U(1))) - _U(1)).astype(np.int64)
+    long = np.flatnonzero(zeros == 0)
+    ones[long] = _nth_zero(code, inside[long]) - start[long]
+    first[near] = start - inside
+    end[near] = start - inside + ones
     return first, end
 
 
@@ -103,15 +113,15 @@ def search(code: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, low:
 
     # The numbers of one high part are in order; a frequent context has very many, so they are halved, not walked.
     below, above = first.copy(), end.copy()
-    active = np.flatnonzero(below < above)
+    active = np.flatnonzero(above - below > 1)
     while len(active):
         middle = (below[active] + above[active]) >> 1
-        less = low_of(middle) < low[active]
-        below[active[less]] = middle[less] + 1
-        above[active[~less]] = middle[~less]
-        active = active[below[active] < above[active]]
+        more = low_of(middle) > low[active]
+        above[active[more]] = middle[more]
+        below[active[~more]] = middle[~more]
+        active = active[above[active] - below[active] > 1]
     out = np.full(len(low), -1, dtype=np.int64)
-    held = np.flatnonzero(below < end)
+    held = np.flatnonzero(first < end)
     held = held[low_of(below[held]) == low[held]]
     out[held] = below[held]
     return out
