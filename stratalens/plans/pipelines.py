@@ -1,5 +1,5 @@
 """Whole analyses composed of operators. Each returns DataFrames by name; nothing runs ahead but what must
-be materialised: the pairs table and the rank rounds."""
+be materialised: the pairs table and the rank rounds, and in ``analyze`` the small tables that several results start from."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import churn as ch
 from ..operators import graph, hotspots, rank, tags as tg, text, tree, usage
+from ..session import cut_lineage
 from ..sources.files import file_counts
 from ..sources.results import summary_documents
 from ..sources.rules import Rule
@@ -88,7 +89,12 @@ def analyze(
     ``files`` is a listing or manifest with one row per file; without it the files that have tags are counted.
     """
     listing = tags.select("repo_id", "path").distinct() if files is None else files
+    repos = cut_lineage(repos)
     results = {**repo_map(tags), **churn_report(commit_files, as_of, months, k, repos)}
+    # Hotspots, matrix and summaries start from these: without a cut each would read tags and history again.
+    results["churn"] = cut_lineage(results["churn"])
+    results["tree"] = cut_lineage(results["tree"])
+    results["symbol_totals"] = tree.symbol_totals(results["tree"])
     results["hotspots"] = hotspots.hotspots(results["ranked_files"], results["churn"], match, k)
     results["matrix"] = hotspots.prioritization_matrix(results["ranked_files"], results["churn"], match, k)
     results["summary"] = usage.run_summary(
