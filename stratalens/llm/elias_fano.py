@@ -2,7 +2,8 @@
 
 The low bits of each number are packed side by side; of the high bits, ``one`` bits stand for the numbers and a ``zero`` bit
 ends each value of the high part. The numbers with high part h follow the h-th zero, which the zeros before
-each block of 512 bits and a popcount find; among their low bits the search finds its successor by halving.
+each word of 64 bits and the counts of its bytes find. Every 32nd number is kept whole beside the code, so of the numbers
+with one high part, which may be very many, at most 32 are left, among whose low bits the search finds its successor by halving.
 
 Where the high part is the place of a parent, the high bits are pointers: each parent's children in unary, one after another.
 """
@@ -12,9 +13,13 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_BLOCK = 512
+_WORD = 64
+_SKIP = 32
 _AT_ONCE = 1 << 15
-_HALVES = [(32, 0xFFFFFFFF), (16, 0xFFFF), (8, 0xFF), (4, 0xF), (2, 0x3), (1, 0x1)]
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)  # the lowest and the highest bit of each byte
+_PAIRS, _FOURS, _EIGHTS = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+# Place of the k-th one (from 0) of a byte, at 8 * byte + k; 8 where there is none.
+_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], dtype=np.int64).ravel()
 
 
 def encode(values: np.ndarray, low_bits: int | None = None) -> dict[str, np.ndarray]:
@@ -37,47 +42,42 @@ def encode(values: np.ndarray, low_bits: int | None = None) -> dict[str, np.ndar
         spills = off > _U(64 - low_bits)
         words[word[spills] + 1] |= low[spills] >> (_U(64) - off[spills])
     length = n + int(high[-1]) + 1
-    ones = np.zeros((length // _BLOCK + 1) * _BLOCK, dtype=np.uint8)
+    ones = np.zeros((length // _WORD + 1) * _WORD, dtype=np.uint8)
     ones[high + np.arange(n)] = 1
-    held = _BLOCK - ones.reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64)
+    packed = np.packbits(ones, bitorder="little").view(np.uint64)
+    held = _WORD - np.bitwise_count(packed).astype(np.int64)
     return {
         "head": np.array([n, low_bits, int(high[-1])], dtype=np.int64),
         "base": np.array([base], dtype=np.uint64),
         "low": words,
-        "high": np.packbits(ones, bitorder="little").view(np.uint64),
+        "high": packed,
         "zeros": np.cumsum(held) - held,
+        "skip": values[::_SKIP],
     }
 
 
+def _nth_one(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each word, which has more than k."""
+    counts = words - (words >> _U(1) & _PAIRS)
+    counts = (counts & _FOURS) + (counts >> _U(2) & _FOURS)
+    counts = (counts + (counts >> _U(4)) & _EIGHTS) * _ONES  # each byte: the ones up to its end
+    # The k-th one is in the first byte up to whose end there are more than k.
+    shift = np.bitwise_count((k * _ONES | _TOPS) - counts & _TOPS).astype(np.uint64) << _U(3)
+    left = k - (counts << _U(8) >> shift & _U(0xFF))
+    return shift.view(np.int64) + _PLACE[((words >> shift & _U(0xFF)) << _U(3) | left).view(np.int64)]
+
+
 def _nth_zero(code: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
     """Bit position of the k-th zero (from 0) of the high bits."""
     out = np.empty(len(k), dtype=np.int64)
     for at in range(0, len(k), _AT_ONCE):
-        out[at : at + _AT_ONCE] = _nth_zero_of_few(code, k[at : at + _AT_ONCE])
+        few = k[at : at + _AT_ONCE]
+        word = np.searchsorted(code["zeros"], few, side="right") - 1
+        left = (few - code["zeros"][word]).view(np.uint64)
+        out[at : at + _AT_ONCE] = (word << 6) + _nth_one(~code["high"][word], left)
     return out
 
 
-def _nth_zero_of_few(code: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
-    blocks = code["high"].reshape(-1, _BLOCK // 64)
-    block = np.searchsorted(code["zeros"], k, side="right") - 1
-    left = k - code["zeros"][block]
-    words = ~blocks[block]
-    # Zeros of the block up to the end of each of its words.
-    upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
-    short = (upto <= left[:, None]).sum(axis=1)
-    row = np.arange(len(k))
-    left -= np.where(short > 0, upto[row, short - 1], 0)
-    rest = words[row, short]
-    position = np.zeros(len(k), dtype=np.int64)
-    for width, mask in _HALVES:
-        count = np.bitwise_count(rest & _U(mask)).astype(np.int64)
-        skip = left >= count
-        left = np.where(skip, left - count, left)
-        position += np.where(skip, width, 0)
-        rest = np.where(skip, rest >> _U(width), rest)
-    return block * _BLOCK + short * 64 + position
-
-
 def spans(code: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the numbers of each high part begin and end; an empty span where there are none."""
     first, end = np.zeros((2, len(high)), dtype=np.int64)
@@ -97,42 +97,61 @@ def spans(code: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np
     return first, end
 
 
-def search(code: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Index of the number with these low bits in each span, -1 where there is none."""
+def _low_of(code: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
     low_bits, words = int(code["head"][1]), code["low"]
+    if not low_bits:
+        return np.zeros(len(i), dtype=np.uint64)
+    mask, bit = _U((1 << low_bits) - 1), i * low_bits
+    if low_bits <= 57:  # then they lie in 8 bytes
+        at_bytes = np.ndarray(words.nbytes - 7, dtype=np.uint64, buffer=words.view(np.uint8), strides=(1,))
+        return at_bytes[bit >> 3] >> (bit & 7).view(np.uint64) & mask
+    word, off = bit >> 6, (bit & 63).view(np.uint64)
+    value = words[word] >> off
+    spill = off > _U(64 - low_bits)
+    return np.where(spill, value | (words[word + 1] << ((_U(64) - off) & _U(63))), value) & mask
+
+
+def search(code: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Index of each number, all of whose high part lie in its span, -1 where there is none."""
+    out = np.full(len(numbers), -1, dtype=np.int64)
+    for at in range(0, len(numbers), _AT_ONCE):
+        part = slice(at, at + _AT_ONCE)
+        out[part] = _search_few(code, first[part], end[part], numbers[part])
+    return out
 
-    def low_of(i: np.ndarray) -> np.ndarray:
-        if not low_bits:
-            return np.zeros(len(i), dtype=np.uint64)
-        bit = i * low_bits
-        word, off = bit >> 6, (bit & 63).astype(np.uint64)
-        value = words[word] >> off
-        spill = off > _U(64 - low_bits)
-        value = np.where(spill, value | (words[word + 1] << ((_U(64) - off) & _U(63))), value)
-        return value & _U((1 << low_bits) - 1)
-
-    # The numbers of one high part are in order; a frequent context has very many, so they are halved, not walked.
-    below, above = first.copy(), end.copy()
-    active = np.flatnonzero(above - below > 1)
-    while len(active):
-        middle = (below[active] + above[active]) >> 1
-        more = low_of(middle) > low[active]
-        above[active[more]] = middle[more]
-        below[active[~more]] = middle[~more]
-        active = active[above[active] - below[active] > 1]
-    out = np.full(len(low), -1, dtype=np.int64)
-    held = np.flatnonzero(first < end)
-    held = held[low_of(below[held]) == low[held]]
-    out[held] = below[held]
+
+def _search_few(code: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    low = numbers - code["base"][0] & _U((1 << int(code["head"][1])) - 1)
+    near = (np.searchsorted(code["skip"], numbers, side="right") - 1) * _SKIP
+    below, above = np.maximum(first, near), np.minimum(end, near + _SKIP)
+    wide = np.flatnonzero(above - below > 1)
+    if len(wide):
+        few_below, few_above, few_low = below[wide], above[wide], low[wide]
+        for _ in range(int((few_above - few_below).max() - 1).bit_length()):
+            middle = few_below + few_above >> 1
+            more = _low_of(code, middle) > few_low
+            few_above = np.where(more, middle, few_above)
+            few_below = np.where(more, few_below, middle)
+        below[wide] = few_below
+    out = np.full(len(numbers), -1, dtype=np.int64)
+    held = np.flatnonzero(below < above)
+    at = below[held]
+    hit = _low_of(code, at) == low[held]
+    out[held[hit]] = at[hit]
     return out
 
 
 def find(code: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
     """Index of each query among the coded numbers, -1 where it is none of them."""
-    low_bits = int(code["head"][1])
     out = np.full(len(queries), -1, dtype=np.int64)
     inside = np.flatnonzero(queries >= code["base"][0])
-    shifted = queries[inside] - code["base"][0]
-    first, end = spans(code, shifted >> _U(low_bits))
-    out[inside] = search(code, first, end, shifted & _U((1 << low_bits) - 1))
+    if not len(inside):
+        return out
+    asked = queries[inside]
+    high = asked - code["base"][0] >> _U(code["head"][1])
+    # Sorted queries of one context follow each other: its span is looked up once.
+    new = np.concatenate([[True], high[1:] != high[:-1]])
+    first, end = spans(code, high[new])
+    run = np.cumsum(new) - 1
+    out[inside] = search(code, first[run], end[run], asked)
     return out

@@ -201,7 +201,7 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     os.replace(part, os.path.join(folder, name))
 
 
-_CODE = [("head", np.int64), ("base", np.uint64), ("low", np.uint64), ("high", np.uint64), ("zeros", np.int64)]
+_CODE = [("head", np.int64), ("base", np.uint64), ("low", np.uint64), ("high", np.uint64), ("zeros", np.int64), ("skip", np.uint64)]
 _WORDS = [*_CODE, ("count", np.int64), ("rest", np.uint16)]
 _PAIRS = [*_CODE, ("count", np.uint8), ("many", np.int64), ("many_at", np.int64)]
 _TRIPLES = [*_CODE, ("count", np.uint8)]
@@ -405,7 +405,7 @@ def _discount(built: DataFrame) -> float:
     return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 14)  # a chunk of tokens meets every file, so all stay open: some 8000 at 30 GB
 def _open(folder: str, name: str) -> dict[str, np.ndarray] | None:
     return _mapped(folder, name, {"words": _WORDS, "pairs": _PAIRS, "triples": _TRIPLES}[name.split("-")[0]])
 
@@ -442,58 +442,61 @@ def score_tokens(model: Model, tokens: np.ndarray, ends: np.ndarray) -> tuple[np
     before = np.empty_like(place)
     before[1:] = place[:-1]
     before[np.concatenate([[0], ends[:-1]])] = np.searchsorted(words, END)  # every text has its end, so it is there
-    pairs, where = np.unique(pair_number(words[before], words[place]), return_inverse=True)
+    numbers = pair_numbers(tokens, ends)
+    order = np.argsort(numbers)
+    numbers = numbers[order]
+    new = np.concatenate([[True], numbers[1:] != numbers[:-1]])
+    pairs, run = numbers[new], np.cumsum(new) - 1
     seen = np.zeros(len(pairs))
     nodes = []  # of each file: the pairs in it and their places there
     for file, level, at, index in _look_up(model, "pairs", _pair_files(model, pairs), pairs):
         seen[at] = count_of(level["count"][index])
         nodes.append((file, level, at, index))
+    met = np.empty(len(tokens))
+    met[order] = seen[run]
     context = counts[before]
-    direct = np.maximum(seen[where] - model.discount, 0) / np.maximum(context, 1)
+    direct = np.maximum(met - model.discount, 0) / np.maximum(context, 1)
     chance = np.where(context > 0, direct + rest[before] * single[place], single[place])
     if model.parts:
-        child = _children(len(tokens), ends)
-        chance[child] = _with_children(model, nodes, len(pairs), where[child - 1], tokens[child], chance[child])
+        inner = np.ones(len(tokens), dtype=bool)
+        inner[ends - 1] = False
+        above = np.flatnonzero(inner[order])  # pairs that a word of their text follows
+        child = order[above] + 1
+        chance[child] = _with_children(model, nodes, run[above], tokens[child], chance[child])
     return counts[place], base[place], np.log10(np.minimum(chance, 1.0))
 
 
-def _with_children(
-    model: Model, nodes: list[tuple], pairs: int, above: np.ndarray, words: np.ndarray, shorter: np.ndarray
-) -> np.ndarray:
-    """Probability of each word as a child of the pair ``above`` it, given that with a shorter context."""
-    short = words >> _U(64 - CHILD_BITS)
-    bits = child_bits(pairs)
-    order = np.argsort(above.astype(np.uint64) << _U(bits) | short >> _U(CHILD_BITS - bits))
-    above, short = above[order], short[order]
-    seen, distinct, context = np.zeros(len(above)), np.zeros(pairs), np.zeros(pairs)
+def _with_children(model: Model, nodes: list[tuple], above: np.ndarray, words: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probability of each word as a child of the pair ``above`` it, given that with a shorter context; by order of the pair."""
+    short, out = words >> _U(64 - CHILD_BITS), shorter.copy()
     first_part = np.concatenate([[0], np.cumsum(model.parts)])
     for file, level, at, index in nodes:
-        context[at] = level["count"][index]
-        many = np.flatnonzero(context[at] >= _EXACT)
-        context[at[many]] = level["many"][np.searchsorted(level["many_at"], index[many])]
+        context = level["count"][index].astype(np.float64)
+        many = np.flatnonzero(context >= _EXACT)
+        context[many] = level["many"][np.searchsorted(level["many_at"], index[many])]
         low, high = np.searchsorted(above, [at[0], at[-1] + 1])
-        place = np.zeros(at[-1] + 1 - at[0], dtype=np.int64) - 1
+        place = np.full(at[-1] + 1 - at[0], -1, dtype=np.int64)
         place[at - at[0]] = np.arange(len(at))
         mine = place[above[low:high] - at[0]]
-        known = low + np.flatnonzero(mine >= 0)
-        mine = mine[known - low]
-        part = _part(short[known], model.parts[file])
+        known = np.flatnonzero(mine >= 0)
+        mine, known = mine[known], known + low
+        word = short[known]
+        part = _part(word, model.parts[file])
+        seen, distinct = np.zeros(len(known)), np.zeros(len(at))
         for p in range(model.parts[file]):
             children = _open(model.folder, f"triples-{int(first_part[file] + p)}")
             if children is None:
                 continue
             first, end = elias_fano.spans(children, index.astype(np.uint64))
-            distinct[at] += end - first
-            asked = np.flatnonzero(part == p)
-            word = short[known[asked]] >> _U(CHILD_BITS - int(children["head"][1]))
-            found = elias_fano.search(children, first[mine[asked]], end[mine[asked]], word)
-            hit = found >= 0
-            seen[known[asked[hit]]] = count_of(children["count"][found[hit]])
-    weight = context[above]
-    direct = np.maximum(seen - model.child_discount, 0) / np.maximum(weight, 1)
-    left = model.child_discount * distinct[above] / np.maximum(weight, 1)
-    out = np.empty(len(order))
-    out[order] = np.where(weight > 0, direct + left * shorter[order], shorter[order])
+            distinct += end - first
+            asked = slice(None) if model.parts[file] == 1 else np.flatnonzero(part == p)
+            node, low_bits = mine[asked], int(children["head"][1])
+            number = index[node].astype(np.uint64) << _U(low_bits) | word[asked] >> _U(CHILD_BITS - low_bits)
+            found = elias_fano.search(children, first[node], end[node], number)
+            seen[asked] = np.where(found >= 0, count_of(children["count"][found]), 0)
+        weight = context[mine]
+        direct = np.maximum(seen - model.child_discount, 0) / weight
+        out[known] = direct + model.child_discount * distinct[mine] / weight * shorter[known]
     return out
 
 

@@ -223,6 +223,47 @@ def test_elias_fano_of_a_frequent_context():
     assert (elias_fano.find(elias_fano.encode(values), asked) == want).all()
 
 
+def test_a_frequent_context_is_looked_up_once_and_searched_in_few_steps(monkeypatch):
+    """The search asks for the span of a context, not of each successor, and halves at most 32 numbers of it."""
+    rng = np.random.default_rng(5)
+    context = np.repeat(rng.integers(0, 2**34, 40, dtype=np.uint64), 3000) << np.uint64(30)
+    values = np.unique(context | rng.integers(0, 2**30, len(context), dtype=np.uint64))
+    asked = np.unique(np.concatenate([values[::7], values[::9] + np.uint64(1)]))
+    place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    counted = Counter()
+    for name in ("_nth_zero", "_low_of"):
+        old = getattr(elias_fano, name)
+        monkeypatch.setattr(elias_fano, name, lambda code, i, name=name, old=old: counted.update({name: len(i)}) or old(code, i))
+    got = elias_fano.find(elias_fano.encode(values), asked)
+    assert (got == np.where(values[place] == asked, place, -1)).all()
+    assert counted["_nth_zero"] < len(asked) / 50 and counted["_low_of"] <= 6 * len(asked)
+
+
+@pytest.mark.parametrize("low_bits", [0, 1, 7, 40, 57, 58, 63])
+def test_elias_fano_of_any_width(low_bits):
+    rng = np.random.default_rng(low_bits)
+    high = rng.integers(0, min(2 ** (64 - low_bits), 300), 5000, dtype=np.uint64)
+    values = np.unique(high << np.uint64(low_bits) | rng.integers(0, 2**low_bits, 5000, dtype=np.uint64))
+    code = elias_fano.encode(values, low_bits)
+    asked = rng.permutation(np.concatenate([values, values + np.uint64(1)]))
+    place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    want = np.where(values[place] == asked, place, -1)
+    assert (elias_fano.search(code, *elias_fano.spans(code, asked >> np.uint64(low_bits)), asked) == want).all()
+    assert (elias_fano.find(code, asked) == want).all()
+
+
+def test_the_files_of_a_large_trie_stay_open(tmp_path, monkeypatch):
+    """Each chunk of tokens meets every file, so a smaller number of open ones would open each again and again."""
+    opened, old = [], ngram_trie._mapped
+    monkeypatch.setattr(ngram_trie, "_mapped", lambda *a: opened.append(a[1]) or old(*a))
+    for i in range(8000):
+        ngram_trie._write(str(tmp_path), f"pairs-{i}", {})
+    for _ in range(2):
+        for i in range(8000):
+            ngram_trie._open(str(tmp_path), f"pairs-{i}")
+    assert len(opened) == 8000
+
+
 @pytest.mark.parametrize("table", ["odd", "repeated", "none", "documents"])
 @pytest.mark.parametrize("per_file", [None, 500])
 def test_language_model(table, per_file, request, monkeypatch):
