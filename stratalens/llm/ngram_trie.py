@@ -78,10 +78,13 @@ def tokens_of(text: bytes | None) -> np.ndarray:
 
 def pair_numbers(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Level-2 number of each token after the one before it; ``ends``: where each text's tokens end."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], ends[:-1]])] = END
-    return pair_number(before, tokens)
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[np.concatenate([[0], ends[:-1]])] = END
+    for at in range(0, len(out), 1 << 16):  # in place, so no more arrays of this size are held
+        part = slice(at, at + (1 << 16))
+        out[part] = pair_number(out[part], tokens[part])
+    return out
 
 
 def child_bits(pairs: int) -> int:
@@ -118,10 +121,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             held.append(tokens_of(text))
             size += len(held[-1])
             if size >= _TOKENS_AT_ONCE:
-                yield np.concatenate(held), np.cumsum([len(h) for h in held])
-                held, size = [], 0
+                yield _joined(held)
+                size = 0
     if held:
-        yield np.concatenate(held), np.cumsum([len(h) for h in held])
+        yield _joined(held)
+
+
+def _joined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays as one, and where each ends; ``held`` is emptied, so that they do not stay beside it."""
+    out = np.concatenate(held), np.cumsum([len(h) for h in held])
+    held.clear()
+    return out
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -267,13 +277,12 @@ def _triple_runs(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for tokens, ends in _chunks(batches):
-            child = _children(len(tokens), ends)
-            above, words = pair_numbers(tokens, ends)[child - 1], tokens[child]
-            for at in range(0, len(child), _TOKENS_AT_ONCE):  # a single text may be longer
-                pairs, place = np.unique(above[at : at + _TOKENS_AT_ONCE], return_inverse=True)
-                short = words[at : at + _TOKENS_AT_ONCE] >> _U(64 - CHILD_BITS)
-                triples, counts = np.unique(place.astype(np.uint64) << _U(CHILD_BITS) | short, return_counts=True)
-                place, short = (triples >> _U(CHILD_BITS)).astype(np.int64), triples & _U((1 << CHILD_BITS) - 1)
+            inner, later = _inner(ends), _later(ends)
+            above, words = pair_numbers(tokens, ends)[inner], tokens[later]
+            del tokens, inner, later
+            for at in range(0, len(above), _TOKENS_AT_ONCE):  # a single text may be longer
+                part = slice(at, at + _TOKENS_AT_ONCE)
+                pairs, place, short, counts = _counted_children(above[part], words[part])
                 for file, level, pair, index in _look_up(model, "pairs", _pair_files(model, pairs), pairs):
                     low, high = np.searchsorted(place, [pair[0], pair[-1] + 1])
                     bits = child_bits(int(level["head"][0]))
@@ -287,7 +296,7 @@ def _triple_runs(docs: DataFrame, model: Model) -> DataFrame:
                                     pa.array([int(first[file] + p)], pa.int32()),
                                     pa.array([bits], pa.int32()),
                                     pa.array([press.compress(_planes(np.diff(keys[mine], prepend=_U(0))))], pa.binary()),
-                                    pa.array([press.compress(counts[low:high][mine].astype(np.uint32).tobytes())], pa.binary()),
+                                    pa.array([press.compress(counts[low:high][mine].tobytes())], pa.binary()),
                                 ],
                                 names=["file", "bits", "keys", "counts"],
                             )
@@ -295,11 +304,42 @@ def _triple_runs(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "file int, bits int, keys binary, counts binary")
 
 
-def _children(tokens: int, ends: np.ndarray) -> np.ndarray:
-    """Places of all tokens but the first of each text."""
-    later = np.ones(tokens, dtype=bool)
-    later[np.concatenate([[0], ends[:-1]])] = False
-    return np.flatnonzero(later)
+def _counted_children(above: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs; of each distinct child in order: its pair's place among them, its word's bits, its count.
+
+    Few arrays of the size of the input live at a time, as this is where a task holds most."""
+    order = np.argsort(above)
+    numbers = above[order]
+    new = np.concatenate([[True], numbers[1:] != numbers[:-1]])
+    pairs = numbers[new]
+    del numbers
+    triples = np.cumsum(new, dtype=np.uint64)
+    triples -= _U(1)
+    triples <<= _U(CHILD_BITS)
+    words = words[order]
+    del order
+    words >>= _U(64 - CHILD_BITS)
+    triples |= words
+    del words
+    triples.sort()
+    first = np.flatnonzero(np.concatenate([[True], triples[1:] != triples[:-1]]))
+    counts = np.diff(first, append=len(triples)).astype(np.uint32)
+    triples = triples[first]
+    return pairs, (triples >> _U(CHILD_BITS)).view(np.int64), triples & _U((1 << CHILD_BITS) - 1), counts
+
+
+def _later(ends: np.ndarray) -> np.ndarray:
+    """Of each token, whether it is not the first of its text."""
+    out = np.ones(ends[-1], dtype=bool)
+    out[np.concatenate([[0], ends[:-1]])] = False
+    return out
+
+
+def _inner(ends: np.ndarray) -> np.ndarray:
+    """Of each token, whether it is not the last of its text."""
+    out = np.ones(ends[-1], dtype=bool)
+    out[ends - 1] = False
+    return out
 
 
 def _part(short: np.ndarray, parts: int) -> np.ndarray:
@@ -458,9 +498,7 @@ def score_tokens(model: Model, tokens: np.ndarray, ends: np.ndarray) -> tuple[np
     direct = np.maximum(met - model.discount, 0) / np.maximum(context, 1)
     chance = np.where(context > 0, direct + rest[before] * single[place], single[place])
     if model.parts:
-        inner = np.ones(len(tokens), dtype=bool)
-        inner[ends - 1] = False
-        above = np.flatnonzero(inner[order])  # pairs that a word of their text follows
+        above = np.flatnonzero(_inner(ends)[order])  # pairs that a word of their text follows
         child = order[above] + 1
         chance[child] = _with_children(model, nodes, run[above], tokens[child], chance[child])
     return counts[place], base[place], np.log10(np.minimum(chance, 1.0))

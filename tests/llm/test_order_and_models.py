@@ -1,6 +1,7 @@
 """Packing, shards, mixing, URL filter, language model and the pipeline against brute force and round trips."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -252,6 +253,37 @@ def test_elias_fano_of_any_width(low_bits):
     assert (elias_fano.find(code, asked) == want).all()
 
 
+class _Docs:
+    """Stands in for a DataFrame, to run a task's function here."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_pass_over_the_texts_holds_few_arrays(monkeypatch):
+    """Beside its texts a task that counts triples holds at most seven arrays and a half of the length of a chunk, temporaries included."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 300, 5000))) for _ in range(200)]
+    batch = ngram_trie.pa.RecordBatch.from_arrays([ngram_trie.pa.array(texts)], names=["body"])
+    monkeypatch.setattr(ngram_trie, "_look_up", lambda *a: iter(()))
+    monkeypatch.setattr(ngram_trie, "_pair_files", lambda *a: None)
+    model = ngram_trie.Model("", 0, 0, 0.5, 1, (), (1,))
+    tracemalloc.start()
+    assert not list(ngram_trie._triple_runs(_Docs(), model)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7.5 * 8 * 200 * 5001
+
+
+def test_children_are_counted():
+    rng = np.random.default_rng(7)
+    above, words = (rng.choice(rng.integers(0, 2**64 - 1, 60, dtype=np.uint64), 5000) for _ in range(2))
+    pairs, place, short, counts = ngram_trie._counted_children(above.copy(), words.copy())
+    got = dict(zip(zip(pairs[place].tolist(), short.tolist()), counts.tolist()))
+    assert got == Counter(zip(above.tolist(), (words >> np.uint64(24)).tolist()))
+    assert (np.diff(place.astype(float) * 2.0**40 + short) > 0).all() and (np.diff(pairs.astype(float)) > 0).all()
+
+
 def test_the_files_of_a_large_trie_stay_open(tmp_path, monkeypatch):
     """Each chunk of tokens meets every file, so a smaller number of open ones would open each again and again."""
     opened, old = [], ngram_trie._mapped
