@@ -3,12 +3,13 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.operators import scopes, tags as tg, text
 from stratalens.operators.graph import tag_pairs
 from stratalens.plans.samples import SAMPLES
 from stratalens.sources import lexing
-from stratalens.sources.rules import RULES, Rule, marking
+from stratalens.sources.rules import RULES, Rule, first_sign, guarded, marking
 
 FILES = "repo_id string, path string, content string"
 
@@ -90,6 +91,26 @@ def test_marking():
         marking(rule.pattern)
 
 
+def test_first_sign():
+    assert first_sign(r"\bstruct\s+(\w+)") == r"(?=[\x{73}])"
+    assert first_sign(r"^\s*(?:pub\s+)?(fn)") == r"^(?=[\s\x{66}\x{70}])"
+    assert first_sign(r"(?:\bnew\s+|(?!^)\G\s*,)([^\s(]+)") == r"(?=[\s\x{2c}\x{6e}])"
+    # What can be empty, begins with anything, or is read otherwise by Java, has none.
+    for other in (r"(a*)", r".(a)", r"\p{L}(a)", r"[a[bc]](d)", r"(?i)a(b)", r"\Qa\E(b)", r"\h(a)", r"\\G(?<n>a)(", r"[a&&b](c)"):
+        assert first_sign(other) == "", other
+
+
+def test_first_sign_changes_no_match(make):
+    """All rules on all samples, cut anywhere: the test of the first sign leaves what is set off as it is."""
+    texts = [(lang, lexing.scan(s.text.replace("{k}", "7")[at:], lang)[0]) for lang, s in SAMPLES.items() for at in (0, 40, 111)]
+    off = F.lit("${skip}${before}<${name}>${after}${pass}")
+    both = [(r.lang, F.regexp_replace("code", F.lit(marking(r.pattern)), off), F.regexp_replace("code", F.lit(guarded(r.pattern)), off)) for r in RULES]
+    table = make(texts, "lang string, code string")
+    for lang in SAMPLES:
+        same = [plain.eqNullSafe(tested) for name, plain, tested in both if name == lang]
+        assert table.where(F.col("lang") == lang).where(~F.forall(F.array(*same), lambda x: x)).count() == 0, lang
+
+
 def test_own_rules_on_whole_texts(make, rows):
     own = [Rule("note", "def", "head", r"^#\s+(\w+)$"), Rule("note", "ref", "link", r"!\[\w+\]|\[\s*(\w+)\s*\]"), Rule("note", "ref", "word", "(none)")]
     files = make([("r", "a.note", "# One\n#\n\nTwo\n[ One\n] ![No] [\nTwo ] \u0001\u0002")], FILES)

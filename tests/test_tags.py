@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.operators import graph, rank, scopes, tags as tg, text
+from stratalens.plans import pipelines
 from stratalens.sources.rules import EXTENSION_LANGUAGES, RULES, Rule, read_rules, rules_table
 
 FILES = "repo_id string, path string, content string"
@@ -251,3 +252,22 @@ def test_ranked_tags_broadcast_no_tags(spark, texts):
         assert listed.where("ident = 'part7' and line = 0").count() == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _run_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_definitions_are_found_once(texts):
+    """No filter that Spark infers finds them, and what is code, once more."""
+    plan = _run_plan(tg.tag_definitions(texts, with_text=True, with_scopes=True))
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("macro_rules!") == 1
+
+
+def test_map_reads_texts_once(texts):
+    """Definitions come from the kept tags, so what is left to do reads no text."""
+    blocks = pipelines.repo_map_blocks(texts)
+    assert "ArrowEvalPython" not in _run_plan(blocks)
+    assert blocks.count() == 400
+    assert blocks.where("path = 'src/7.py'").first()["text"] == "src/7.py"  # its only name is not referred to
