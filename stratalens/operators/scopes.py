@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PLACE = ["repo_id", "path", "line"]
@@ -12,20 +14,26 @@ def tag_scopes(definitions: DataFrame) -> DataFrame:
     """(repo_id, path, line, name, depth, heads, qualified_name) of each definition of ``tag_files(..., with_scopes=True)``.
 
     ``heads`` are the lines of the blocks that enclose it, outermost first, ``depth`` their number. ``qualified_name`` leads with
-    the names defined on those lines; a block without a definition, such as a loop, adds none. Names are joined by lines, so
-    a file of any size is spread over the cluster. The join is not left to Spark's guess of a size: both sides are made from
-    texts, of which it sees only the table before them.
+    the names defined on those lines; a block without a definition, such as a loop, adds none. Definitions are dealt out by their
+    file once. All that follows happens in place, by sorted rows: each stands on its own line and on those of its heads, where it
+    meets the names defined there.
     """
-    found = definitions.where(F.col("kind") == "def").select(*_PLACE, "name", "scopes").distinct()
-    # Of several definitions on one line the first by name stands for it.
-    named = found.groupBy(*_PLACE).agg(F.min("name").alias("_enclosing"))
-    heads = found.select(
-        "repo_id", "path", F.col("line").alias("_line"), "name", F.posexplode_outer(F.col("scopes.line")).alias("_at", "line")
+    # Heads differ by their texts too, of which a number is enough.
+    found = (
+        definitions.where(F.col("kind") == "def")
+        .select(*_PLACE, "name", F.col("scopes.line").alias("_heads"), F.xxhash64("scopes").alias("_texts"))
+        .repartition("repo_id", "path")
+        .distinct()
     )
+    lines = F.concat(F.array("line"), F.coalesce("_heads", F.array().cast("array<int>")))
+    rows = found.select("repo_id", "path", F.col("line").alias("_line"), "name", F.posexplode(lines).alias("_at", "line"))
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in _PLACE))
+    # Of several definitions on one line the first by name stands for it.
+    enclosing = F.min(F.when((F.col("_at") == 0) & known, F.col("name"))).over(Window.partitionBy(*_PLACE))
     chains = (
-        heads.join(named.hint("merge"), _PLACE, "left")
+        rows.withColumn("_enclosing", enclosing)
         .groupBy("repo_id", "path", F.col("_line").alias("line"), "name")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "line", "_enclosing")))).alias("_chain"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("_at") > 0, F.struct("_at", "line", "_enclosing")))).alias("_chain"))
     )
     return chains.select(
         *_PLACE,

@@ -271,3 +271,34 @@ def test_map_reads_texts_once(texts):
     assert "ArrowEvalPython" not in _run_plan(blocks)
     assert blocks.count() == 400
     assert blocks.where("path = 'src/7.py'").first()["text"] == "src/7.py"  # its only name is not referred to
+
+
+def test_scopes_are_dealt_out_once(texts):
+    plan = _run_plan(scopes.tag_scopes(tg.tag_definitions(texts, with_text=True, with_scopes=True)))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_scopes_of_odd_rows(make, rows):
+    """Rows of one path meet, exact copies are one, and without a repository no name is found for a head."""
+    schema = "repo_id string, path string, line int, name string, kind string, scopes array<struct<line:int,text:string>>"
+    inner = lambda text: [(0, text), (1, "if")]
+    found = make(
+        [
+            ("r", "a", 0, "B", "def", []), ("r", "a", 0, "A", "def", []), ("r", "a", 0, "A", "def", []),
+            ("r", "a", 2, "f", "def", inner("A B")), ("r", "a", 2, "f", "def", inner("A B")), ("r", "a", 2, "f", "ref", None),
+            ("r", "b", 0, "C", "def", []), ("r", "b", 2, "f", "def", inner("C")), ("r", "b", 2, "f", "def", inner("D")),
+            (None, "a", 0, "A", "def", []), (None, "a", 2, "f", "def", inner("A")), ("r", "c", 3, "g", "def", None),
+        ],
+        schema,
+    )
+    assert rows(scopes.tag_scopes(found)) == [
+        (None, "a", 0, "A", 0, [], "A"),
+        (None, "a", 2, "f", 2, [0, 1], "f"),
+        ("r", "a", 0, "A", 0, [], "A"),
+        ("r", "a", 0, "B", 0, [], "B"),
+        ("r", "a", 2, "f", 2, [0, 1], "A.f"),
+        ("r", "b", 0, "C", 0, [], "C"),
+        ("r", "b", 2, "f", 4, [0, 0, 1, 1], "C.C.f"),
+        ("r", "c", 3, "g", 0, [], "g"),
+    ]
