@@ -270,11 +270,12 @@ def test_map_reads_texts_once(texts):
     blocks = pipelines.repo_map_blocks(texts)
     assert "ArrowEvalPython" not in _run_plan(blocks)
     assert blocks.count() == 400
-    assert blocks.where("path = 'src/7.py'").first()["text"] == "src/7.py"  # its only name is not referred to
+    assert blocks.where("path = 'src/7.py'").first()["text"] == "src/7.py:\ndef part7():"
 
 
 def test_scopes_are_dealt_out_once(texts):
-    plan = _run_plan(scopes.tag_scopes(tg.tag_definitions(texts, with_text=True, with_scopes=True)))
+    files = texts.withColumn("repo_id", F.substring("path", 5, 1))  # a constant would not be dealt out by
+    plan = _run_plan(scopes.tag_scopes(tg.tag_definitions(files, with_text=True, with_scopes=True)))
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("ArrowEvalPython") == 1
 
